@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgrain.llm import sentencepiece, token_counts
+from siftgrain.llm import jaccard_join, sentencepiece, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece.query,
+        "op8_jaccard_join": jaccard_join.query,
         "op10_token_counts": token_counts.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator."""
-    return {}
+    return {"op8_jaccard_join": jaccard_join.SQL}

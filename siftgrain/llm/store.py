@@ -6,8 +6,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
+FILTER_BITS = 1 << 24
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a folder of our own is set."""
@@ -48,3 +52,18 @@ def unique_names(df: DataFrame, wanted: list[str]) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def only_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is in `ids` (one column of the same name).
+
+    A bitmap of fixed size keeps most of the other rows out of the shuffle of
+    the join that decides.
+    """
+    word, bits, slot = unique_names(df, ["slot_word", "slot_bits", "slot"])
+    at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(`{slot}` % 64 AS INT))")
+    words = ids.select(at.alias(slot)).groupBy(F.expr(f"`{slot}` div 64").alias(word)).agg(F.bit_or(bit).alias(bits))
+    marked = df.withColumn(slot, at).withColumn(word, F.expr(f"`{slot}` div 64"))
+    likely = marked.join(F.broadcast(words), word).filter(F.col(bits).bitwiseAND(bit) != 0)
+    return likely.select(*[F.col(f"`{c}`") for c in df.columns]).join(ids, id_col, "left_semi")
