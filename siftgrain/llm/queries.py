@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgrain.llm import jaccard_join, sentencepiece, token_counts
+from siftgrain.llm import embedding_dedup, jaccard_join, sentencepiece, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece.query,
+        "op3_embedding_dedup": embedding_dedup.query,
         "op8_jaccard_join": jaccard_join.query,
         "op10_token_counts": token_counts.query,
     }
@@ -19,4 +20,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator."""
-    return {"op8_jaccard_join": jaccard_join.SQL}
+    return {"op3_embedding_dedup": embedding_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
