@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one kernel call handles; a longer document is a call of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _U64 = np.uint64
 _MASK = (1 << 64) - 1

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.llm.pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, Pieces, marked, segments
-from siftgrain.llm.trie import SHORT_BYTES, DoubleArray, char_sizes, matrix
+from siftgrain.llm.trie import SHORT_BYTES, WORDS, DoubleArray, char_sizes, matrix
 
 #: What an unknown character scores below the least score of a piece.
 UNKNOWN_PENALTY = 10.0
@@ -50,10 +50,10 @@ class Viterbi:
             ids, score[k] = self._one(data[start[k] : end[k]].tobytes())
             row_parts.append(np.full(len(ids), k))
             id_parts.append(np.array(ids, np.int32))
-        if len(many):
-            words, sizes = matrix(data, start[many], end[many])
-            rows, ids, score[many] = self._many(words, sizes)
-            row_parts.append(many[rows])
+        for k in range(0, len(many), WORDS):
+            part = many[k : k + WORDS]
+            rows, ids, score[part] = self._many(*matrix(data, start[part], end[part]))
+            row_parts.append(part[rows])
             id_parts.append(ids)
         row = np.concatenate(row_parts or [np.zeros(0, np.int64)])
         ids = np.concatenate(id_parts or [np.zeros(0, np.int32)])

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.llm.pieces import Pieces, marked, segments
-from siftgrain.llm.trie import SHORT_BYTES, DoubleArray, char_sizes, matrix
+from siftgrain.llm.trie import SHORT_BYTES, WORDS, DoubleArray, char_sizes, matrix
 
 #: Pairs of pieces that a task remembers at a time; beyond it they are checked anew.
 MEMO_PAIRS = 1 << 19
@@ -91,22 +91,25 @@ class PrefixCounter:
         order = np.argsort(-size, kind="stable")
         many = order[size[order] <= SHORT_BYTES]
         out: list[np.ndarray | None] = [None] * len(size)
-        flat = [np.zeros(0, np.int64)]
         chars = np.zeros(len(size), np.int64)
         for k in order[: len(order) - len(many)].tolist():
             out[k] = self._one(data[start[k] : end[k]].tobytes())
             chars[k] = len(out[k])
-        words, sizes = matrix(data, start[many], end[many])
-        count, opens = self._many(words, sizes)
-        ends = np.zeros(opens.shape, bool)
-        ends[:, 1:] = opens[:, 1:]
-        ends[np.arange(len(many)), sizes] = True
-        chars[many] = ends.sum(1)
+        parts = []
+        for k in range(0, len(many), WORDS):
+            part = many[k : k + WORDS]
+            words, sizes = matrix(data, start[part], end[part])
+            count, ends = self._many(words, sizes)
+            ends[:, 0] = False
+            ends[np.arange(len(part)), sizes] = True
+            chars[part] = ends.sum(1)
+            parts.append((part, count[ends]))
         at = np.concatenate([[0], np.cumsum(chars)])
         flat = np.zeros(at[-1], np.int64)
-        row, col = np.nonzero(ends)
-        rank = np.arange(len(row)) - np.repeat(np.cumsum(chars[many]) - chars[many], chars[many])
-        flat[at[many][row] + rank] = count[row, col]
+        for part, own in parts:
+            many_chars = chars[part]
+            rank = np.arange(len(own)) - np.repeat(np.cumsum(many_chars) - many_chars, many_chars)
+            flat[np.repeat(at[part], many_chars) + rank] = own
         for k, own in enumerate(out):
             if own is not None:
                 flat[at[k] : at[k + 1]] = own

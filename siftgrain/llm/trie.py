@@ -9,6 +9,9 @@ import numpy as np
 #: Longer words are handled one by one.
 SHORT_BYTES = 48
 
+#: Words that a lattice holds at a time.
+WORDS = 1 << 15
+
 
 class DoubleArray:
     """base, check and value arrays: the child of node s by byte b is t = base[s] + b + 1 if check[t] == s."""
