@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgrain.llm import embedding_dedup, jaccard_join, sentencepiece, token_counts
+from siftgrain.llm import embedding_dedup, jaccard_join, sentencepiece, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece.query,
         "op3_embedding_dedup": embedding_dedup.query,
+        "op6_suffix_dedup": suffix_dedup.query,
         "op8_jaccard_join": jaccard_join.query,
         "op10_token_counts": token_counts.query,
     }
