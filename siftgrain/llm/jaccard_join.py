@@ -15,11 +15,13 @@ with at most K such segments leaves them out: of its equal segments one at least
 is none of them. Records with more index all contents. Which shingles count as
 common, and K, change the cost, never the result.
 
-Every candidate is verified on the exact sets. Records of equal sets are one
-class from the start. A content's records are paired with the least of them
-first; records that verified links have not joined are then paired with each
-other (only across components), so that no link between groups is lost and a
-large group of copies costs no more than its size.
+Candidates that differ too much already by a parity sketch (a lower bound of the
+difference, never above it) go; every other one is verified on the exact sets.
+Records of equal sets are one class from the start. The few records of a usual
+content are all paired. Of a content with more records each is paired with the
+least first; records that verified links have not joined are then paired with
+each other (only across components), so that no link between groups is lost and
+a large group of copies costs no more than its size.
 """
 
 from __future__ import annotations
@@ -44,6 +46,8 @@ SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
 COMMON_IN = 4
 #: Index rows that one task sorts.
 INDEX_ROWS = 2_000_000
+#: Records of a content that are all paired; and records of one batch from which on only the least goes into the index.
+PAIRED, PREPAIRED = 5, 16
 _U64 = np.uint64
 
 
@@ -194,11 +198,21 @@ def common_shingles(texts: DataFrame, n: int, rows: int) -> np.ndarray:
     return np.sort(top.column("h").to_numpy().view(_U64))
 
 
-def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray) -> DataFrame:
-    """id, size, two halves of the set's digest, keys (of the first of equal sets in a batch) for every text.
+def sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the counts of a set's hashes by their low bits, as 64-bit words (a power of 2 of them).
 
-    Of keys that several records of a batch have, only the least record's goes
-    on; the others are in `near` as (key, least record, record).
+    Sets differ in at least as many elements as the sketches in bits.
+    """
+    bits = 1 << max(6, len(s).bit_length() - 1)
+    odd = np.bincount((s & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray, key_bits: int) -> DataFrame:
+    """id, size, two halves of the set's digest, sketch, and keys (of the first of equal sets in a batch) for every text.
+
+    Of a key that very many records of a batch have, only the least record's
+    goes on; the others are in `near` as (key, least record, record).
     """
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
@@ -210,7 +224,7 @@ def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray) ->
             size = np.zeros(len(ids), np.int64)
             digest = np.zeros((2, len(ids)), _U64)
             seen: set[tuple[int, int, int]] = set()
-            keys, owner = [], []
+            keys, owner, sketches = [], [], []
             for i, j in K.chunks(start, end):
                 own, at = K.gather(data, start[i:j], end[i:j])
                 sets = shingle_hashes(own, at, n)
@@ -223,29 +237,31 @@ def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray) ->
                 for k, s in enumerate(sets, i):
                     b = a + len(s)
                     size[k] = len(s)
+                    sketches.append(sketch(s))
                     if len(s):
                         digest[0, k] = s.sum()
                         digest[1, k] = K.mix(s + _U64(0x632BE59BD9B4E019)).sum()
                         mark = (len(s), int(digest[0, k]), int(digest[1, k]))
                         if mark not in seen:
                             seen.add(mark)
-                            keys.append(index_keys(s, rare[a:b], threshold, plans))
+                            keys.append(index_keys(s, rare[a:b], threshold, plans) >> _U64(64 - key_bits))
                             owner.append(np.full(len(keys[-1]), k))
                     a = b
-            yield _keyed(ids, size, digest, keys, owner)
+            yield _keyed(ids, size, digest, sketches, keys, owner)
 
-    kind = "id long, size long, h1 long, h2 long, keys array<long>, near array<struct<key: long, a: long>>"
+    kind = "id long, size long, h1 long, h2 long, sketch array<long>, keys array<long>, near array<struct<key: long, a: long>>"
     return texts.mapInArrow(run, kind)
 
 
-def _keyed(ids, size, digest, keys, owner) -> pa.RecordBatch:
+def _keyed(ids, size, digest, sketches, keys, owner) -> pa.RecordBatch:
     key = np.concatenate(keys) if keys else np.zeros(0, _U64)
     row = np.concatenate(owner) if owner else np.zeros(0, np.int64)
     order = np.lexsort((ids[row], key))
     key, row = key[order], row[order]
-    same = np.concatenate([[False], (key[1:] == key[:-1])]) if len(key) else np.zeros(0, bool)
-    twice = same & np.concatenate([[False], row[1:] == row[:-1]]) if len(key) else same
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    many = np.diff(np.append(at, len(key)))
+    hot = np.repeat(many >= PREPAIRED, many)
+    head = np.repeat(at, many)
     n = len(ids)
 
     def lists(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -253,58 +269,107 @@ def _keyed(ids, size, digest, keys, owner) -> pa.RecordBatch:
         at = at[np.argsort(row[at], kind="stable")]
         return at, np.bincount(row[at], minlength=n)
 
-    first, n_first = lists(~same)
-    more, n_more = lists(same & ~twice)
+    usual, n_usual = lists(~hot)
+    more, n_more = lists(hot & (row != row[head]))
     near = pa.StructArray.from_arrays([pa.array(_long(key[more])), pa.array(ids[row[head[more]]])], names=["key", "a"])
-    at = np.concatenate([[0], np.cumsum(n_more)]).astype(np.int32)
-    columns = [pa.array(ids), pa.array(size), pa.array(_long(digest[0])), pa.array(_long(digest[1])), K.lists(_long(key[first]), n_first), pa.ListArray.from_arrays(pa.array(at), near)]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "size", "h1", "h2", "keys", "near"])
-
-
-def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, a, b) of index rows (key, id): the least record of a key with each other one. All rows of a key are here."""
-    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    near_at = pa.array(np.concatenate([[0], np.cumsum(n_more)]).astype(np.int32))
+    flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
+    columns = [
+        pa.array(ids),
+        pa.array(size),
+        pa.array(_long(digest[0])),
+        pa.array(_long(digest[1])),
+        K.lists(flat, np.array([len(x) for x in sketches], np.int64)),
+        K.lists(_long(key[usual]), n_usual),
+        pa.ListArray.from_arrays(near_at, near),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=["id", "size", "h1", "h2", "sketch", "keys", "near"])
+
+
+def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, a, b) of index rows (key, id, hot). All rows of a key are here.
+
+    Of a key with few records all pairs, each pair once and without the key;
+    else, and of a hot key, the least record with each other one.
+    """
+    parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches if b.num_rows]
     if not parts:
         return
-    key, own = (np.concatenate(x) for x in zip(*parts, strict=True))
+    key, own, hot = (np.concatenate(x) for x in zip(*parts, strict=True))
     parts.clear()
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = key[1:] == key[:-1]
     keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    key, own = key[keep], own[order[keep]]
+    key, own, hot = key[keep], own[order[keep]], hot[order[keep]]
+    if not len(key):
+        return
     order = np.lexsort((own, key))
-    key, own = key[order], own[order]
-    same = np.concatenate([[False], key[1:] == key[:-1]]) if len(key) else np.zeros(0, bool)
-    head = np.maximum.accumulate(np.where(same, 0, np.arange(len(key)))) if len(key) else np.zeros(0, np.int64)
-    more = np.flatnonzero(same & (own != own[head]))
+    key, own, hot = key[order], own[order], hot[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    many = np.diff(np.append(at, len(key)))
+    large = np.repeat((many > PAIRED) | np.logical_or.reduceat(hot, at), many)
+    head = np.repeat(at, many)
+    pairs = []
+    for step in range(1, PAIRED):
+        i = np.flatnonzero((key[step:] == key[:-step]) & ~large[step:] & (own[step:] != own[:-step]))
+        pairs.append(np.stack([own[i], own[i + step]], 1))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    for k in range(0, len(pairs), 1 << 16):
+        part = pairs[k : k + (1 << 16)]
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["key", "a", "b"])
+    more = np.flatnonzero(large & (own != own[head]))
     for k in range(0, len(more), 1 << 16):
         part = more[k : k + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(own[head[part]]), pa.array(own[part])], names=["key", "a", "b"])
 
 
-def _shingle_table(texts: DataFrame, n: int) -> DataFrame:
-    """id and the set of shingles of each text."""
+def _likely(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sizes and sketches don't rule out a link. known: id, size, sketch."""
+    left, right = known.toDF("a", "na", "sa"), known.toDF("b", "nb", "sb")
+    both = pairs.join(right, "b").join(left, "a")
+    fits = F.least("na", "nb") * threshold.denominator >= F.greatest("na", "nb") * threshold.numerator
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, start, end = K.text_bytes(batch.column(1))
-            for i, j in K.chunks(start, end):
-                own, at = K.gather(data, start[i:j], end[i:j])
-                sets = shingle_hashes(own, at, n)
-                flat = K.lists(_long(np.concatenate(sets)), np.array([len(s) for s in sets]))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), flat], names=["id", "s"])
+    def folded(own: str, other: str):
+        half = F.size(own) / 2
+        fold = F.zip_with(F.slice(own, 1, F.size(own).cast("int") - half.cast("int")), F.slice(own, half.cast("int") + 1, half.cast("int")), lambda x, y: x.bitwiseXOR(y))
+        return F.when(F.size(own) > F.size(other), fold).otherwise(F.col(own))
 
-    return texts.mapInArrow(run, "id long, s array<long>")
+    bits = F.zip_with(folded("sa", "sb"), folded("sb", "sa"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    apart = F.aggregate(bits, F.lit(0), lambda s, x: s + x)
+    t = threshold
+    most = F.floor((F.col("na") + F.col("nb")) * (t.denominator - t.numerator) / (t.denominator + t.numerator))
+    return both.filter(fits).filter(apart <= most).select("a", "b")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, threshold: Fraction) -> DataFrame:
-    """The pairs (a, b) whose sets are alike enough."""
-    left, right = sets.toDF("a", "sa"), sets.toDF("b", "sb")
-    both = pairs.join(right, "b").join(left, "a")
-    common = F.size(F.array_intersect("sa", "sb")).cast("long")
-    union = F.size("sa") + F.size("sb") - common
-    return both.filter(common * threshold.denominator >= union * threshold.numerator).select("a", "b")
+def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """The pairs (a, b) whose sets are alike enough. texts: id, text."""
+    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
+
+    def sets(column: pa.Array) -> list[np.ndarray]:
+        data, start, end = K.text_bytes(column)
+        out = []
+        for i, j in K.chunks(start, end):
+            out += shingle_hashes(*K.gather(data, start[i:j], end[i:j]), n)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for k in range(0, whole.num_rows, 512):
+                batch = whole.slice(k, 512)
+                first = batch.column(0).to_numpy()
+                new = np.concatenate([[True], first[1:] != first[:-1]])  # rows of one a follow each other after the join
+                left = sets(batch.column(2).filter(pa.array(new)))
+                right = sets(batch.column(3))
+                alike = []
+                for at, r in zip((np.cumsum(new) - 1).tolist(), right, strict=True):
+                    both = np.concatenate([left[at], r])
+                    both.sort()
+                    common = int((both[1:] == both[:-1]).sum())
+                    alike.append(common * threshold.denominator >= (len(both) - common) * threshold.numerator)
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike)) for c in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
@@ -321,7 +386,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.filter("id IS NOT NULL")
     common = common_shingles(known, n, known.count())
-    table, path = write_table(_sets(known, n, share, common), "shingle-keys")
+    count = known.count()
+    key_bits = min(63, 24 + (count + 1).bit_length())
+    common = common_shingles(known, n, count)
+    table, path = write_table(_sets(known, n, share, common, key_bits), "shingle-keys")
     sizes = table.select("id", "size", "h1", "h2")
 
     # equal sets: one class, named by its least id
@@ -330,36 +398,41 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     copies, copies_path = write_table(full.join(classes, ["size", "h1", "h2"]).filter("id != rep").select("id", "rep").distinct(), "copies")
 
     rows = table.agg(F.sum(F.size("keys"))).first()[0] or 0
-    index = table.select(F.explode("keys").alias("key"), "id").repartition(tasks(spark, rows, INDEX_ROWS), "key")
     near = table.select(F.explode("near").alias("x"), "id").select("x.key", "x.a", F.col("id").alias("b"))
-    stars, stars_path = write_table(index.mapInArrow(_stars, "key long, a long, b long").union(near), "stars")
+    index = table.select(F.explode("keys").alias("key"), "id", F.lit(False).alias("hot")).union(near.select("key", "a", F.lit(True)).distinct())
+    index = index.repartition(tasks(spark, rows, INDEX_ROWS), "key")
+    stars, stars_path = write_table(index.mapInArrow(_paired, "key long, a long, b long").union(near), "stars")
 
     def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes' least ids, and each pair once."""
+        """Pairs of classes' least ids."""
         a = copies.toDF("a", "ra")
         b = copies.toDF("b", "rb")
         out = pairs.join(b, "b", "left").join(a, "a", "left").select(*(x for x in ("key",) if x in pairs.columns), F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
         return out.filter("a != b")
 
-    members = named(stars)
-    first, first_path = write_table(members.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
+    described = table.select("id", "size", "sketch").dropDuplicates(["id"])
+    pairs = named(stars.select("a", "b").distinct()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    first, first_path = write_table(_likely(pairs, described, share), "pairs")
     wanted = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
-    sets, sets_path = write_table(_shingle_table(only_ids(known, wanted, "id").dropDuplicates(["id"]), n), "sets")
-    links, links_path = write_table(_verified(first, sets, share), "links")
+    bodies, bodies_path = write_table(only_ids(known, wanted, "id").dropDuplicates(["id"]), "texts")
+    links, links_path = write_table(_verified(first, bodies, n, share), "links")
     joined = components(links)
 
     # contents whose records aren't all in one component by now
     label = joined.toDF("id", "label")
+    members = named(stars.filter("key IS NOT NULL"))
     own = members.select("key", F.col("a").alias("id")).union(members.select("key", F.col("b").alias("id"))).distinct()
     own = own.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    own, own_path = write_table(own, "members")
     spread = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    wide = sets.select("id", F.size("s").alias("size"))
-    open_, open_path = write_table(own.join(spread, "key", "left_semi").join(wide, "id").select("key", "id", "label", "size"), "open")
+    open_, open_path = write_table(own.join(spread, "key", "left_semi").join(table.select("id", "size").distinct(), "id").select("key", "id", "label", "size"), "open")
     left = open_.toDF("key", "a", "la", "na")
     right = open_.toDF("key", "b", "lb", "nb")
     fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * share.denominator >= F.greatest("na", "nb") * share.numerator)
     rest = left.join(right, (left.key == right.key) & fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    more, more_path = write_table(_verified(rest, sets, share), "more-links")
+    rest, rest_path = write_table(_likely(rest, described, share), "more-pairs")
+    wanted = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
+    more, more_path = write_table(_verified(rest, only_ids(known, wanted, "id").dropDuplicates(["id"]), n, share), "more-links")
     if more.limit(1).count():
         joined = components(links.union(more))
     label = joined.toDF("rep", "label")
@@ -367,9 +440,11 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = sizes.join(copies.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(label, "rep", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     out, _ = write_table(out, "groups")
-    for p in (path, copies_path, stars_path, first_path, sets_path, links_path, open_path, more_path):
+    for p in (path, copies_path, stars_path, first_path, bodies_path, links_path, own_path, open_path, rest_path, more_path):
         drop_table(spark, p)
-    lost = _shingle_table(texts.filter("id IS NULL"), n).select(F.lit(None).cast("long").alias(id_col), F.size("s").cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
+    lost = _sets(texts.filter("id IS NULL").withColumn("id", F.lit(0).cast("long")), n, share, common, key_bits)
+    null = F.lit(None).cast("long")
+    lost = lost.select(null.alias(id_col), F.col("size").alias("n_shingles"), null.alias("component_id"))
     return out.union(lost)
 
 
