@@ -37,11 +37,11 @@ from siftgrain.llm.suffix_array import maximal_repeats
 #: Bytes of an anchor.
 GRAM = 20
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 #: Blocks of a unit.
-UNIT = 12
-#: Anchors that one task compares, and context bytes that one suffix array is built of.
-ANCHORS, CONTEXT_BYTES = 2_000_000, 3 << 20
+UNIT = 24
+#: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
+ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 1_000_000, 6 << 20, 1 << 20
 #: Blocks that a hot anchor stands in, at least.
 HOT_BLOCKS = 64
 _U64 = np.uint64
@@ -247,7 +247,9 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
     start = np.concatenate([_full(r["starts"], np.int32) for r in rows]).astype(np.int64)
     doc = np.concatenate([np.cumsum(_full(r["ids"], np.int64)) for r in rows])
     at = np.concatenate([[0], np.cumsum(size)])
-    text = K.span_hash(K.prefix_hash(body), at[:-1], at[1:])
+    text = np.zeros(len(size), _U64)
+    for i, j in K.chunks(at[:-1], at[1:], BLOCK_BYTES):
+        text[i:j] = K.span_hash(K.prefix_hash(body[at[i] : at[j]]), at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
     # equal contexts of different blocks are one
     order = np.lexsort((text, key))
     new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -383,7 +385,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spread = announced.repartition(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "part")
     answers, _ = write_table(_met(spread, HOT_BLOCKS), "anchors")
     repeated = answers.agg(F.sum("repeated")).first()[0] or 0
-    shares = max(1, int(repeated * (window + (window - gram) // 2) // CONTEXT_BYTES))
+    shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
 
     def answered(right: pa.Table) -> dict[int, list[dict]]:
         out: dict[int, list[dict]] = {}
