@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgrain.llm import embedding_dedup, jaccard_join, sentencepiece, suffix_dedup, token_counts
+from siftgrain.llm import decontaminate, embedding_dedup, jaccard_join, sentencepiece, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_sentencepiece": sentencepiece.query,
+        "op2_decontaminate": decontaminate.query,
         "op3_embedding_dedup": embedding_dedup.query,
         "op6_suffix_dedup": suffix_dedup.query,
         "op8_jaccard_join": jaccard_join.query,
@@ -21,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator."""
-    return {"op3_embedding_dedup": embedding_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
