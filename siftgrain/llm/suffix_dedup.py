@@ -43,7 +43,7 @@ UNIT = 24
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
 ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 1_000_000, 6 << 20, 1 << 20
 #: Blocks that a hot anchor stands in, at least.
-HOT_BLOCKS = 64
+HOT_BLOCKS = 4096
 _U64 = np.uint64
 
 
@@ -359,7 +359,7 @@ def _cut(r: dict, cuts: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(span_at, spans), kept], names=["id", "n_bytes", "spans", "kept"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
     """For each row of df: id, n_bytes, spans array<struct<start, end>> and kept binary.
 
     spans are the maximal runs of bytes that lie in a string of `window` UTF-8
@@ -383,7 +383,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     announced = _announce(blocks, window, gram, n_parts)
     spread = announced.repartition(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "part")
-    answers, _ = write_table(_met(spread, HOT_BLOCKS), "anchors")
+    answers, _ = write_table(_met(spread, hot_blocks), "anchors")
     repeated = answers.agg(F.sum("repeated")).first()[0] or 0
     shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
 
