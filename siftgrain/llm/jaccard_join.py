@@ -29,7 +29,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from math import ceil, exp, floor
+from math import ceil, floor
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +42,8 @@ from siftgrain.llm.store import drop_table, only_ids, tasks, write_table
 
 #: Rows of the sample from which common shingles are learned, and how many are kept (8 bytes each are broadcast).
 SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
-#: Documents of the sample that a common shingle is in, at least.
-COMMON_IN = 4
+#: A common shingle is in one of so many documents of the sample, at least.
+COMMON_IN = 500
 #: Index rows that one task sorts.
 INDEX_ROWS = 2_000_000
 #: Records of a content that are all paired; and records of one batch from which on only the least goes into the index.
@@ -56,35 +56,24 @@ class Scheme:
     """How the sets of one size band [low, high) are dealt into segments.
 
     The first `double` segments have a double share of the universe and count
-    for two; slack is K as a share of T.
+    for two. For each size of the band `total` has T, in units of capacity, and
+    `slack` K.
     """
 
     low: int
     high: int
-    threshold: Fraction
     segments: int
     double: int
-    slack: float
+    total: np.ndarray
+    slack: np.ndarray
 
     @property
     def capacity(self) -> int:
         return self.segments + self.double
 
-    def differ(self, size: int) -> int:
-        """Shingles in which a set of this size and a larger one can differ at most."""
-        t = self.threshold
-        return floor((1 - t) / (1 + t) * (size + floor(size / t)))
-
-    def needed(self, size: int) -> tuple[int, int]:
-        """T in units of capacity, and K, for a set of this size."""
-        least = self.differ(size) + 1
-        total = min(self.capacity, max(2 * self.double, least + ceil(least * self.slack) + 1))
-        return total, total - least
-
     def least_slack(self, low: int, high: int) -> int:
         """The least K of sizes low to high."""
-        sizes = range(max(self.low, low), high + 1) if self.double else (max(self.low, low),)
-        return min(self.needed(size)[1] for size in sizes)
+        return int(self.slack[max(0, low - self.low) : high + 1 - self.low].min())
 
     def of_capacity(self, total: int) -> int:
         """How many segments come to this capacity."""
@@ -94,24 +83,32 @@ class Scheme:
 def scheme(band: int, threshold: Fraction) -> Scheme:
     """The scheme for sizes of 2**band to 2**(band + 1), with the cheapest number of double segments.
 
-    The cost is the index rows of a set of the band's mean size, and ten more
-    for each time that a set would have to index its empty segments.
+    T leaves room for as many empty segments as a set of the size has, and four
+    standard deviations more. The cost is the index rows of a set of the band's
+    mean size, and those that it adds where it has more empty segments than K.
     """
     low, high = 1 << band, 2 << band
-    mean, best = (low + high) / 2, None
-    least = Scheme(low, high, threshold, 1, 0, 0.0).differ(high - 1) + 1
-    for double in {0, *range(1, 1 + (least + 2) // 2 if high <= 64 else 1)}:
-        empty = exp(-4 * low / high)
-        slack = (empty / (1 - empty) + 2.5 * (empty / max(1, least)) ** 0.5) * (1 - min(1, 2 * double / least) / 2)
-        capacity = max(2 * double, least + ceil(least * slack) + 1)
-        out = Scheme(low, high, threshold, capacity - double, double, slack)
-        share = mean / out.capacity
-        singles = out.segments - double
-        rows = singles + double * (1 + 2 * share)
-        at_risk = singles * exp(-share) + 2 * double * exp(-2 * share) * (1 + share)
-        cost = rows + 10 * max(0.0, at_risk - (capacity - least)) * len(str(high))
+    sizes, share = np.arange(low, high), (1 - threshold) / (1 + threshold)
+    # in how many shingles a set and a larger one can differ, and one more
+    least = np.array([floor(share * (n + floor(n / threshold))) + 1 for n in sizes.tolist()])
+    best = None
+    for double in range(1 + (int(least[-1]) + 2) // 2 if high <= 64 else 1):
+        capacity = max(int(least[-1]) + 1, 2 * double + 1)
+        for _ in range(8):
+            empty = np.exp(-sizes / capacity)
+            total = np.maximum.accumulate(np.ceil((least + 4 * np.sqrt(least * empty) + 1) / (1 - empty)).astype(np.int64))
+            if total[-1] <= capacity or capacity >= 1.35 * least[-1]:
+                break
+            capacity = int(min(total[-1], ceil(1.35 * least[-1]) + 1))
+        total = np.maximum(np.minimum(total, capacity), min(2 * double, capacity))
+        slack = total - least
+        unit = sizes / capacity
+        weak = (total - 2 * double) * np.exp(-unit) + 2 * double * np.exp(-2 * unit) * (1 + unit)
+        rows = (total - 2 * double) * (1 - np.exp(-unit)) + double * (1 + 2 * unit)
+        risk = np.exp(-np.maximum(0, slack - weak))
+        cost = float((rows + 10 * risk * weak).mean())
         if best is None or cost < best[0]:
-            best = (cost, out)
+            best = (cost, Scheme(low, high, capacity - double, double, total, slack))
     return best[1]
 
 
@@ -135,8 +132,7 @@ def contents(s: np.ndarray, rare: np.ndarray, plan: Scheme, role: int, least: in
 
     rare: which of the set's shingles aren't common.
     """
-    total, _ = plan.needed(role)
-    n = plan.of_capacity(total)
+    n = plan.of_capacity(int(plan.total[role - plan.low]))
     unit = ((s >> _U64(32)) * _U64(plan.capacity)) >> _U64(32)
     edges = np.arange(n + 1)
     edges = np.where(edges <= plan.double, 2 * edges, edges + plan.double).astype(_U64)
@@ -193,7 +189,7 @@ def common_shingles(texts: DataFrame, n: int, rows: int) -> np.ndarray:
                 found, times = found[times > 1], times[times > 1]  # what is common shows within a batch
                 yield pa.RecordBatch.from_arrays([pa.array(_long(found)), pa.array(times)], names=["h", "times"])
 
-    counted = sample.mapInArrow(count, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")).filter(F.col("times") >= COMMON_IN)
+    counted = sample.mapInArrow(count, "h long, times long").groupBy("h").agg(F.sum("times").alias("times")).filter(F.col("times") >= max(4, min(rows, SAMPLE_ROWS) // COMMON_IN))
     top = counted.orderBy(F.desc("times"), "h").limit(COMMON).select("h").toArrow()
     return np.sort(top.column("h").to_numpy().view(_U64))
 
