@@ -146,19 +146,23 @@ def positional_index(docs: DataFrame, terms: np.ndarray, anchors: np.ndarray, re
 def _matches(postings: DataFrame, plan: DataFrame, n_terms: DataFrame) -> DataFrame:
     """(window, key, at): where all terms of a window stand at their offsets.
 
-    plan: (window, rank, term, offset), rank 0 the rarest. Candidates are made
-    of the rarest list only, and the second list cuts them before the others come.
+    plan: (window, rank, term, offset), rank 0 the rarest. Candidates come from
+    the rarest term's list; each list after it is asked only for the places
+    that the candidates need, the second first.
     """
-
-    def places(ranks: str) -> DataFrame:
-        own = plan.filter(ranks).select("window", "term", "offset")
-        met = postings.join(F.broadcast(own), "term").select("window", "key", "offset", F.explode("positions").alias("p"))
-        return met.select("window", "key", (F.col("p") - F.col("offset")).alias("at"))
-
-    start = places("rank = 0").filter("at >= 0")
-    second = start.join(places("rank = 1"), ["window", "key", "at"], "left_semi").union(start.join(F.broadcast(n_terms.filter("n = 1").select("window")), "window", "left_semi"))
-    rest = second.join(places("rank >= 2"), ["window", "key", "at"]).groupBy("window", "key", "at").agg(F.count("*").alias("met"))
-    whole = second.join(rest, ["window", "key", "at"], "left").join(F.broadcast(n_terms), "window")
+    rarest = plan.filter("rank = 0").select("window", "term", "offset")
+    start = postings.join(F.broadcast(rarest), "term").select("window", "key", F.explode("positions").alias("p"), "offset")
+    start = start.select("window", "key", (F.col("p") - F.col("offset")).alias("at")).filter("at >= 0").distinct()
+    places = postings.select("key", "term", F.explode("positions").alias("p"))
+
+    def met(candidates: DataFrame, ranks: str) -> DataFrame:
+        """(window, key, at, met): how many of the ranks' terms stand where a candidate needs them."""
+        needed = candidates.join(F.broadcast(plan.filter(ranks)), "window").withColumn("p", F.col("at") + F.col("offset"))
+        return needed.join(places, ["key", "term", "p"], "left_semi").groupBy("window", "key", "at").agg(F.count("*").alias("met"))
+
+    single = F.broadcast(n_terms.filter("n = 1").select("window"))
+    second = met(start, "rank = 1").drop("met").union(start.join(single, "window", "left_semi"))
+    whole = second.join(met(second, "rank >= 2"), ["window", "key", "at"], "left").join(F.broadcast(n_terms), "window")
     return whole.filter(F.coalesce("met", F.lit(0)) == F.greatest(F.col("n") - 2, F.lit(0))).select("window", "key", "at", "n")
 
 
@@ -224,7 +228,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         plan = spark.createDataFrame(rows, "window long, rank int, term long, offset int")
         index, path = write_table(positional_index(keyed, terms, anchors, n - 1), "postings")
         paths.append(path)
-        postings = index.filter(F.size("lists") > 0).dropDuplicates(["key"]).select("key", F.explode("lists").alias("x")).select("key", "x.term", "x.positions")
+        postings = index.filter(F.size("lists") > 0).select("key", F.explode("lists").alias("x")).select("key", "x.term", "x.positions")
         n_terms = plan.groupBy("window").agg(F.count("*").alias("n"))
         found, path = write_table(_matches(postings, plan, n_terms), "matches")
         paths.append(path)
