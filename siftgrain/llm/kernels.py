@@ -5,11 +5,18 @@ All kernels work on the UTF-8 bytes of whole texts. A null text has no bytes.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
+# Workers live for many tasks: large arrays go back to the system when they are freed, not to a heap that only grows.
+with contextlib.suppress(AttributeError, OSError):
+    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
+    pa.set_memory_pool(pa.system_memory_pool())
+
 #: Bytes of text that one kernel call handles; a longer document is a call of its own.
 CHUNK_BYTES = 2 << 20
 

@@ -153,11 +153,12 @@ def _met(announced: DataFrame, hot_blocks: int) -> DataFrame:
     """(unit, block, part, found, repeated, hot): two bits for each announced hash, and how many are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [r for b in batches for r in b.to_pylist()]
         by_part: dict[int, list[dict]] = {}
-        for r in rows:
-            by_part.setdefault(r["part"], []).append(r)
-        for own in by_part.values():
+        for b in batches:
+            for r in b.to_pylist():
+                by_part.setdefault(r["part"], []).append(r)
+        for part in sorted(by_part):
+            own = by_part.pop(part)
             hashes = [np.cumsum(_full(r["hashes"], np.uint8).reshape(8, -1).T.copy().view(_U64).ravel()) for r in own]
             several = [np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)) for r, h in zip(own, hashes, strict=True)]
             all_ = np.concatenate(hashes)
