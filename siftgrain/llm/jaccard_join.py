@@ -18,10 +18,12 @@ common, and K, change the cost, never the result.
 Candidates that differ too much already by a parity sketch (a lower bound of the
 difference, never above it) go; every other one is verified on the exact sets.
 Records of equal sets are one class from the start. The few records of a usual
-content are all paired. Of a content with more records each is paired with the
-least first; records that verified links have not joined are then paired with
-each other (only across components), so that no link between groups is lost and
-a large group of copies costs no more than its size.
+content are all paired. The records of a content with more are compared by their
+sketches, block by block, each block pair a unit of its own; what leaves a unit
+is a spanning forest of the pairs that a sketch doesn't rule out. Where a link of
+a forest turns out to be none, and so records are still in different components,
+all pairs between these components follow. No link between groups is lost, and a
+large group of copies yields no more rows than it has members.
 """
 
 from __future__ import annotations
@@ -46,8 +48,12 @@ SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
 COMMON_IN = 500
 #: Index rows that one task sorts.
 INDEX_ROWS = 2_000_000
-#: Records of a content that are all paired; and records of one batch from which on only the least goes into the index.
-PAIRED, PREPAIRED = 5, 16
+#: Records of a content that are all paired, and records whose sketches are compared at a time.
+PAIRED, BLOCK = 5, 512
+#: Records of one batch from which on a content's records don't go through the index but its least.
+PREPAIRED = 16
+#: Bits of a sketch for each bit of a set's size.
+SKETCH = 4
 _U64 = np.uint64
 
 
@@ -199,7 +205,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
     Sets differ in at least as many elements as the sketches in bits.
     """
-    bits = 1 << max(6, len(s).bit_length() - 1)
+    bits = SKETCH << max(6, len(s).bit_length() - 1)
     odd = np.bincount((s & _U64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
@@ -286,7 +292,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(key, a, b) of index rows (key, id, hot). All rows of a key are here.
 
     Of a key with few records all pairs, each pair once and without the key;
-    else, and of a hot key, the least record with each other one.
+    else, and of a hot key, (key, record, null).
     """
     parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches if b.num_rows]
     if not parts:
@@ -296,7 +302,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.argsort(key, kind="stable")
     key = key[order]
     same = key[1:] == key[:-1]
-    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+    keep = np.concatenate([same, [False]]) | np.concatenate([[False], same]) | hot[order]
     key, own, hot = key[keep], own[order[keep]], hot[order[keep]]
     if not len(key):
         return
@@ -305,7 +311,6 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     many = np.diff(np.append(at, len(key)))
     large = np.repeat((many > PAIRED) | np.logical_or.reduceat(hot, at), many)
-    head = np.repeat(at, many)
     pairs = []
     for step in range(1, PAIRED):
         i = np.flatnonzero((key[step:] == key[:-step]) & ~large[step:] & (own[step:] != own[:-step]))
@@ -314,10 +319,109 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(pairs), 1 << 16):
         part = pairs[k : k + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.array(part[:, 0]), pa.array(part[:, 1])], names=["key", "a", "b"])
-    more = np.flatnonzero(large & (own != own[head]))
+    more = np.flatnonzero(large)
     for k in range(0, len(more), 1 << 16):
         part = more[k : k + (1 << 16)]
-        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(own[head[part]]), pa.array(own[part])], names=["key", "a", "b"])
+        yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(own[part]), pa.nulls(len(part), pa.int64())], names=["key", "a", "b"])
+
+
+def _units(members: DataFrame) -> DataFrame:
+    """(key, x, y, side, id, label) of (key, id, label): each member in every pair of blocks that its own block is in."""
+    held = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
+    held = held.filter("low != high").drop("low", "high")
+    own = members.join(held, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    side = F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
+    return own.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "label")
+
+
+def _compared(members: DataFrame, known: DataFrame, threshold: Fraction, tasks_: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members of a key, with different labels, that sizes and sketches don't rule out: all of them, or a spanning forest of each unit.
+
+    members: (key, id, label); known: (id, size, sketch). A task gets the
+    sketches of its units' members once.
+    """
+    units = _units(members).withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks_)).cast("int"))
+    wanted = units.select(F.col("part").alias("task"), F.col("id").alias("own")).distinct().join(known.toDF("own", "size", "sketch"), "own")
+
+    def close(size: np.ndarray, words: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(i, j, distance) of the pairs of left and right."""
+        found = []
+        kinds = np.array([len(w) for w in words])
+        for wide in np.unique(kinds[left]).tolist():
+            for other in np.unique(kinds[right]).tolist():
+                i, j = left[kinds[left] == wide], right[kinds[right] == other]
+                w = min(wide, other)
+
+                def folded(rows, w=w):
+                    x = np.stack([words[k] for k in rows])
+                    while x.shape[1] > w:
+                        half = x.shape[1] // 2
+                        x = x[:, :half] ^ x[:, half:]
+                    return x
+
+                a, b = folded(i), folded(j)
+                step = max(1, (1 << 21) // max(1, b.size))
+                for k in range(0, len(i), step):
+                    part = i[k : k + step]
+                    far = np.bitwise_count(a[k : k + step, None] ^ b[None]).sum(2, dtype=np.int64)
+                    na, nb = size[part][:, None], size[j][None]
+                    most = (na + nb) * (threshold.denominator - threshold.numerator) // (threshold.denominator + threshold.numerator)
+                    fits = (far <= most) & (label[part][:, None] != label[j][None])
+                    fits &= np.minimum(na, nb) * threshold.denominator >= np.maximum(na, nb) * threshold.numerator
+                    p, q = np.nonzero(fits)
+                    found.append((part[p], j[q], far[p, q]))
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def tree(n: int, i: np.ndarray, j: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """A spanning forest of the pairs: from each tree's first member outwards, each next one by its closest link."""
+        a, b, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([far, far])
+        order = np.argsort(d, kind="stable")
+        a, b = a[order], b[order]
+        done = np.zeros(n, bool)
+        out = []
+        while len(a):
+            front = np.zeros(n, bool)
+            front[a.min()] = True
+            while front.any():
+                done |= front
+                edge = np.flatnonzero(front[a] & ~done[b])
+                first = np.unique(b[edge], return_index=True)[1]
+                out.append(np.stack([a[edge[first]], b[edge[first]]]))
+                front = np.zeros(n, bool)
+                front[b[edge]] = True
+            rest = ~done[a]
+            a, b = a[rest], b[rest]
+        both = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
+        return both[0], both[1]
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        key, x, y, side, own, label = (left.column(c).to_numpy() for c in ("key", "x", "y", "side", "id", "label"))
+        ids, size = right.column("own").to_numpy(), right.column("size").to_numpy()
+        sketches = right.column("sketch").combine_chunks()
+        offsets, flat = np.asarray(sketches.offsets).astype(np.int64), np.asarray(sketches.values).view(_U64)
+        by_id = np.argsort(ids)
+        row = by_id[np.searchsorted(ids[by_id], own)] if len(ids) else np.zeros(0, np.int64)
+        order = np.lexsort((own, y, x, key))
+        new = np.concatenate([[True], (np.diff(key[order]) != 0) | (np.diff(x[order]) != 0) | (np.diff(y[order]) != 0)]) if len(order) else np.zeros(0, bool)
+        at = np.append(np.flatnonzero(new), len(order))
+        pairs = []
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            rows = order[a:b]
+            words = [flat[offsets[k] : offsets[k + 1]] for k in row[rows].tolist()]
+            lefts, rights = np.flatnonzero(side[rows] != 2), np.flatnonzero(side[rows] != 1)
+            if not len(lefts) or not len(rights):
+                continue
+            i, j, far = close(size[row[rows]], words, label[rows], lefts, rights)
+            keep = own[rows][i] < own[rows][j] if (side[rows] == 0).all() else own[rows][i] != own[rows][j]
+            i, j, far = i[keep], j[keep], far[keep]
+            if forest:
+                i, j = tree(len(rows), i, j, far)
+            pairs.append(np.stack([own[rows][i], own[rows][j]], 1))
+        both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
+
+    return units.groupBy("part").cogroup(wanted.groupBy("task")).applyInArrow(run, "a long, b long").distinct()
 
 
 def _likely(pairs: DataFrame, known: DataFrame, threshold: Fraction) -> DataFrame:
@@ -397,38 +501,38 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     near = table.select(F.explode("near").alias("x"), "id").select("x.key", "x.a", F.col("id").alias("b"))
     index = table.select(F.explode("keys").alias("key"), "id", F.lit(False).alias("hot")).union(near.select("key", "a", F.lit(True)).distinct())
     index = index.repartition(tasks(spark, rows, INDEX_ROWS), "key")
-    stars, stars_path = write_table(index.mapInArrow(_paired, "key long, a long, b long").union(near), "stars")
+    met = index.mapInArrow(_paired, "key long, a long, b long").union(near.select("key", F.col("b"), F.lit(None).cast("long")))
+    met, met_path = write_table(met, "met")
 
-    def named(pairs: DataFrame) -> DataFrame:
-        """Pairs of classes' least ids."""
-        a = copies.toDF("a", "ra")
-        b = copies.toDF("b", "rb")
-        out = pairs.join(b, "b", "left").join(a, "a", "left").select(*(x for x in ("key",) if x in pairs.columns), F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-        return out.filter("a != b")
+    def named(frame: DataFrame, column: str) -> DataFrame:
+        """frame with the class's least id instead of an id."""
+        by = copies.toDF(column, "rep")
+        return frame.join(by, column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
 
     described = table.select("id", "size", "sketch").dropDuplicates(["id"])
-    pairs = named(stars.select("a", "b").distinct()).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    first, first_path = write_table(_likely(pairs, described, share), "pairs")
-    wanted = first.select(F.col("a").alias("id")).union(first.select(F.col("b").alias("id"))).distinct()
-    bodies, bodies_path = write_table(only_ids(known, wanted, "id").dropDuplicates(["id"]), "texts")
-    links, links_path = write_table(_verified(first, bodies, n, share), "links")
+    pairs = named(named(met.filter("key IS NULL").select("a", "b"), "a"), "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    members = named(met.filter("key IS NOT NULL").select("key", F.col("a").alias("id")), "id").distinct()
+    members, members_path = write_table(members, "members")
+    parts = tasks(spark, members.count(), INDEX_ROWS // 20)
+    first = _likely(pairs, described, share).union(_compared(members.withColumn("label", F.col("id")), described, share, parts, forest=True)).distinct()
+    first, first_path = write_table(first, "pairs")
+
+    def verified(these: DataFrame) -> tuple[DataFrame, str]:
+        wanted = these.select(F.col("a").alias("id")).union(these.select(F.col("b").alias("id"))).distinct()
+        bodies, bodies_path = write_table(only_ids(known, wanted, "id").dropDuplicates(["id"]), "texts")
+        out = write_table(_verified(these, bodies, n, share), "links")
+        drop_table(spark, bodies_path)
+        return out
+
+    links, links_path = verified(first)
     joined = components(links)
 
-    # contents whose records aren't all in one component by now
+    # contents whose records aren't all in one component by now: a forest's link was none, or led nowhere
     label = joined.toDF("id", "label")
-    members = named(stars.filter("key IS NOT NULL"))
-    own = members.select("key", F.col("a").alias("id")).union(members.select("key", F.col("b").alias("id"))).distinct()
-    own = own.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    own, own_path = write_table(own, "members")
-    spread = own.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("key")
-    open_, open_path = write_table(own.join(spread, "key", "left_semi").join(table.select("id", "size").distinct(), "id").select("key", "id", "label", "size"), "open")
-    left = open_.toDF("key", "a", "la", "na")
-    right = open_.toDF("key", "b", "lb", "nb")
-    fits = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.least("na", "nb") * share.denominator >= F.greatest("na", "nb") * share.numerator)
-    rest = left.join(right, (left.key == right.key) & fits).select("a", "b").distinct().join(first, ["a", "b"], "left_anti")
-    rest, rest_path = write_table(_likely(rest, described, share), "more-pairs")
-    wanted = rest.select(F.col("a").alias("id")).union(rest.select(F.col("b").alias("id"))).distinct()
-    more, more_path = write_table(_verified(rest, only_ids(known, wanted, "id").dropDuplicates(["id"]), n, share), "more-links")
+    members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
+    rest = _compared(members, described, share, parts, forest=False).join(first, ["a", "b"], "left_anti")
+    rest, rest_path = write_table(rest, "more-pairs")
+    more, more_path = verified(rest)
     if more.limit(1).count():
         joined = components(links.union(more))
     label = joined.toDF("rep", "label")
@@ -436,7 +540,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     out = sizes.join(copies.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
     out = out.join(label, "rep", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
     out, _ = write_table(out, "groups")
-    for p in (path, copies_path, stars_path, first_path, bodies_path, links_path, own_path, open_path, rest_path, more_path):
+    for p in (path, copies_path, met_path, members_path, first_path, links_path, rest_path, more_path):
         drop_table(spark, p)
     lost = _sets(texts.filter("id IS NULL").withColumn("id", F.lit(0).cast("long")), n, share, common, key_bits)
     null = F.lit(None).cast("long")

@@ -66,4 +66,5 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     words = ids.select(at.alias(slot)).groupBy(F.expr(f"`{slot}` div 64").alias(word)).agg(F.bit_or(bit).alias(bits))
     marked = df.withColumn(slot, at).withColumn(word, F.expr(f"`{slot}` div 64"))
     likely = marked.join(F.broadcast(words), word).filter(F.col(bits).bitwiseAND(bit) != 0)
-    return likely.select(*[F.col(f"`{c}`") for c in df.columns]).join(ids, id_col, "left_semi")
+    # not a semi-join, which would be moved below the filter
+    return likely.select(*[F.col(f"`{c}`") for c in df.columns]).join(ids.distinct(), id_col)
