@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftgrain.llm import decontaminate, embedding_dedup, jaccard_join, language_id, quality, sentencepiece, suffix_dedup, token_counts
+from siftgrain.llm import decontaminate, embedding_dedup, jaccard_join, katz, language_id, licenses, quality, sentencepiece, suffix_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_sentencepiece": sentencepiece.query,
         "op2_decontaminate": decontaminate.query,
         "op3_embedding_dedup": embedding_dedup.query,
+        "op4_katz_scores": katz.query,
+        "op5_license_scan": licenses.query,
         "op6_suffix_dedup": suffix_dedup.query,
         "op7_language_id": language_id.query,
         "op8_jaccard_join": jaccard_join.query,
