@@ -1,16 +1,86 @@
-"""A corpus pipeline of the operators in siftgrain.llm."""
+"""A corpus pipeline: language, near-duplicates, repeats, benchmark passages, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written and
+read again as the next stage's documents. All stages but the last return the
+columns of documents. Null texts are as empty ones; documents with a null id go
+through no comparison and stay; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from siftgrain.llm import decontaminate, jaccard_join, language_id, sentencepiece, suffix_dedup
+from siftgrain.llm.pieces import Pieces
+from siftgrain.llm.store import without_ids, write_table
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: A language with a lower score is no finding.
+LEAST_SCORE = 0.35
+#: The public vocabulary of the last stage.
+TOKENIZER = "piece_bpe_32k.model"
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages that the corpus names, with the predicted one as lang; texts without letters, and of no language, go."""
+    key = F.struct("doc_id", "source", "n_chars", "text").alias("key")
+    predicted = language_id.predict(docs.select(key, "text"), language_id.learned(docs), "key")
+    kept = predicted.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return kept.select("key.doc_id", "key.text", F.col("lang_pred").alias("lang"), "key.source", "key.n_chars")
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that with the least id, of each group of near-duplicates."""
+    groups = jaccard_join.similar_groups(docs)
+    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id")
+    repeated = groups.groupBy("doc_id").count().filter("count > 1 AND doc_id IS NOT NULL").select("doc_id")
+    kept = without_ids(docs, gone, "doc_id").select(*COLUMNS)
+    if not repeated.limit(1).count():
+        return kept
+    return without_ids(kept, repeated, "doc_id").union(kept.join(repeated, "doc_id", "left_semi").select(*COLUMNS).dropDuplicates(["doc_id"]))
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 50-byte strings of earlier documents; documents of which nothing is left go."""
+    out = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), whole_chars=True)
+    text = F.col("kept").cast("string")
+    left = (F.col("n_bytes") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
+    return out.filter(left).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    found = decontaminate.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without_ids(docs, found.filter("contaminated AND doc_id IS NOT NULL").select("doc_id"), "doc_id").select(*COLUMNS)
+
+
+def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document, how many they are, and the text that they decode to."""
+    pieces = Pieces.read(public_tokenizers.path(TOKENIZER))
+    key = F.struct("doc_id", "lang", "source").alias("key")
+    encoded = sentencepiece.encode(docs.select(key, "text"), pieces, "key")
+    decoded = sentencepiece.decode(encoded, pieces)
+    return decoded.select("key.doc_id", "key.lang", "key.source", F.col("decoded").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+
 
-STAGES: list = []
+STAGES = [
+    ("language ID", by_language),
+    ("n-gram Jaccard join", without_near_copies),
+    ("suffix-array dedup", without_repeats),
+    ("benchmark decontamination", without_benchmark),
+    ("SentencePiece", as_tokens),
+]
+#: Kernel predictions can't be expressed in SQL; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to the documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k + 1 < len(STAGES):
+            docs, _ = write_table(docs, "stage")
     return docs

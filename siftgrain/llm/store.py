@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,17 +54,31 @@ def unique_names(df: DataFrame, wanted: list[str]) -> list[str]:
     return out
 
 
+def _marked(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
+    """df with the bits of a fixed-size bitmap of the ids beside its rows, and whether a row's id may be among them."""
+    word, bits, slot = unique_names(df, ["slot_word", "slot_bits", "slot"])
+    at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
+    bit = F.expr(f"shiftleft(1L, CAST(`{slot}` % 64 AS INT))")
+    words = ids.select(at.alias(slot)).groupBy(F.expr(f"`{slot}` div 64").alias(word)).agg(F.bit_or(bit).alias(bits))
+    marked = df.withColumn(slot, at).withColumn(word, F.expr(f"`{slot}` div 64")).join(F.broadcast(words), word, "left")
+    return marked, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
+
+
 def only_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is in `ids` (one column of the same name).
 
     A bitmap of fixed size keeps most of the other rows out of the shuffle of
     the join that decides.
     """
-    word, bits, slot = unique_names(df, ["slot_word", "slot_bits", "slot"])
-    at = F.pmod(F.xxhash64(id_col), F.lit(FILTER_BITS))
-    bit = F.expr(f"shiftleft(1L, CAST(`{slot}` % 64 AS INT))")
-    words = ids.select(at.alias(slot)).groupBy(F.expr(f"`{slot}` div 64").alias(word)).agg(F.bit_or(bit).alias(bits))
-    marked = df.withColumn(slot, at).withColumn(word, F.expr(f"`{slot}` div 64"))
-    likely = marked.join(F.broadcast(words), word).filter(F.col(bits).bitwiseAND(bit) != 0)
+    marked, likely = _marked(df, ids, id_col)
     # not a semi-join, which would be moved below the filter
-    return likely.select(*[F.col(f"`{c}`") for c in df.columns]).join(ids.distinct(), id_col)
+    return marked.filter(likely).select(*[F.col(f"`{c}`") for c in df.columns]).join(ids.distinct(), id_col)
+
+
+def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id isn't in `ids`; only those that the bitmap can't tell apart are shuffled. Null ids stay."""
+    gone = ids.distinct().withColumn("gone", F.lit(True)).withColumnRenamed(id_col, "gone_id")
+    marked, likely = _marked(df, ids, id_col)
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    unsure = marked.filter(likely).select(*columns).join(gone, F.col(id_col) == F.col("gone_id"), "left").filter("gone IS NULL")
+    return marked.filter(~likely).select(*columns).union(unsure.select(*columns))

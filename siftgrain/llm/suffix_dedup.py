@@ -85,7 +85,7 @@ def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
 
 
 def _pack(docs: DataFrame) -> DataFrame:
-    """(id long, text) as blocks: (unit, block, ids, ends, body)."""
+    """(id long, text, carried struct) as blocks: (unit, block, ids, ends, body, carried)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, block = TaskContext.get().partitionId(), 0
@@ -100,11 +100,13 @@ def _pack(docs: DataFrame) -> DataFrame:
                     pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids),
                     pa.array([at[1:].tolist()], pa.list_(pa.int64())),
                     pa.array([_squeezed(own)], pa.binary()),
+                    pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), batch.column(2).slice(i, j - i)),
                 ]
-                yield pa.RecordBatch.from_arrays(columns, names=["unit", "block", "ids", "ends", "body"])
+                yield pa.RecordBatch.from_arrays(columns, names=["unit", "block", "ids", "ends", "body", "carried"])
                 block += 1
 
-    return docs.mapInArrow(run, "unit long, block int, ids array<long>, ends array<long>, body binary")
+    kind = docs.schema["carried"].dataType.simpleString()
+    return docs.mapInArrow(run, f"unit long, block int, ids array<long>, ends array<long>, body binary, carried array<{kind}>")
 
 
 def _block(ends, body: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -343,8 +345,8 @@ def _union(x: np.ndarray) -> np.ndarray:
     return np.stack([x[at, 0], x[at, 1], reach[np.append(at[1:], len(x)) - 1] - lift[at]], 1)
 
 
-def _cut(r: dict, cuts: list[dict]) -> pa.RecordBatch:
-    """(id, n_bytes, spans, kept) of a block's rows."""
+def _cut(r: dict, carried: pa.Array, cuts: list[dict], whole_chars: bool) -> pa.RecordBatch:
+    """(id, n_bytes, spans, kept, carried) of a block's rows."""
     data, at = _block(r["ends"], r["body"])
     n = len(at) - 1
     x = _union(np.concatenate([_full(c["cuts"], np.int64).reshape(-1, 3) for c in cuts])) if cuts else np.zeros((0, 3), np.int64)
@@ -353,14 +355,17 @@ def _cut(r: dict, cuts: list[dict]) -> pa.RecordBatch:
     gone[at[x[:, 0]] + x[:, 1]] += 1
     np.subtract.at(gone, at[x[:, 0]] + x[:, 2], 1)
     stay = np.cumsum(gone[:-1]) == 0
+    if whole_chars and len(data):  # a character of which a byte stays, stays
+        begins = np.flatnonzero((data & 0xC0) != 0x80)
+        stay = np.repeat(np.logical_or.reduceat(stay, begins), np.diff(np.append(begins, len(data))))
     kept_at = np.concatenate([[0], np.cumsum(stay)])[at].astype(np.int32)
     kept = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(kept_at), pa.py_buffer(np.ascontiguousarray(data[stay]))])
     spans = pa.StructArray.from_arrays([pa.array(x[:, 1]), pa.array(x[:, 2])], names=["start", "end"])
     span_at = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
-    return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(span_at, spans), kept], names=["id", "n_bytes", "spans", "kept"])
+    return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(span_at, spans), kept, carried], names=["id", "n_bytes", "spans", "kept", "carried"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_blocks: int = HOT_BLOCKS) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_blocks: int = HOT_BLOCKS, carry: tuple[str, ...] = (), whole_chars: bool = False) -> DataFrame:
     """For each row of df: id, n_bytes, spans array<struct<start, end>> and kept binary.
 
     spans are the maximal runs of bytes that lie in a string of `window` UTF-8
@@ -374,7 +379,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     spark = df.sparkSession
     gram = min(GRAM, window)
     name = f"siftgrain_blocks_{uuid.uuid4().hex}"
-    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
     packed = _pack(docs)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.rdd.getNumPartitions())
     packed.write.format("parquet").bucketBy(buckets, "unit").sortBy("unit").option("path", f"{shared_folder(spark)}/siftgrain/{name}").saveAsTable(name)
@@ -394,14 +399,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             out.setdefault(x["block"], []).append(x)
         return out
 
-    def each(left: pa.Table) -> Iterator[dict]:
+    def each(left: pa.Table) -> Iterator[tuple[dict, pa.RecordBatch]]:
+        """Each row, and the batch that it is, without what is only carried."""
+        at = left.column_names.index("carried")
         for b in left.to_batches():
             for k in range(b.num_rows):
-                yield b.slice(k, 1).to_pylist()[0]
+                one = b.slice(k, 1)
+                yield one.select([n for n in one.schema.names if n != "carried"]).to_pylist()[0], one.column(at)
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
         by_block, schema = answered(right), _schema(_CONTEXTS)
-        parts = [x for r in each(left) if r["block"] in by_block for x in _contexts(r, by_block[r["block"]], window, gram, n_parts, shares)]
+        parts = [x for r, _ in each(left) if r["block"] in by_block for x in _contexts(r, by_block[r["block"]], window, gram, n_parts, shares)]
         return pa.Table.from_pylist(parts, schema=schema)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,15 +421,17 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from _grouped(_spans(by_share.pop(share), window)).to_batches()
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_block = answered(right)
-        return pa.Table.from_batches([_cut(r, by_block.get(r["block"], [])) for r in each(left)], schema=cut_schema)
+        by_block, out = answered(right), []
+        for r, carried in each(left):
+            out.append(_cut(r, carried.flatten(), by_block.get(r["block"], []), whole_chars))
+        return pa.Table.from_batches(out)
 
-    cut_schema = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
+    carried = docs.schema["carried"].dataType.simpleString()
     found = blocks.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(contexts, _CONTEXTS)
     shared = found.repartition(max(shares, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "share")
     cuts, _ = write_table(shared.mapInArrow(spans, "unit long, block int, cuts binary"), "cuts")
-    out = blocks.groupBy("unit").cogroup(cuts.groupBy("unit")).applyInArrow(cut, "id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
-    return out.withColumnRenamed("id", id_col)
+    out = blocks.groupBy("unit").cogroup(cuts.groupBy("unit")).applyInArrow(cut, f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, carried {carried}")
+    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carried.{c}") for c in carry])
 
 
 def _schema(ddl: str) -> pa.Schema:
