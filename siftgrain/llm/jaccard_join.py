@@ -52,6 +52,8 @@ INDEX_ROWS = 2_000_000
 PAIRED, BLOCK = 5, 512
 #: Records of one batch from which on a content's records don't go through the index but its least.
 PREPAIRED = 16
+#: Records of large contents whose sketches one task gets.
+COMPARED_ROWS = 30_000
 #: Bits of a sketch for each bit of a set's size.
 SKETCH = 4
 _U64 = np.uint64
@@ -510,10 +512,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return frame.join(by, column, "left").withColumn(column, F.coalesce("rep", column)).drop("rep")
 
     described = table.select("id", "size", "sketch").dropDuplicates(["id"])
-    pairs = named(named(met.filter("key IS NULL").select("a", "b"), "a"), "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    pairs = named(named(met.filter("key IS NULL").select("a", "b").distinct(), "a"), "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     members = named(met.filter("key IS NOT NULL").select("key", F.col("a").alias("id")), "id").distinct()
     members, members_path = write_table(members, "members")
-    parts = tasks(spark, members.count(), INDEX_ROWS // 20)
+    parts = 1 + members.count() // COMPARED_ROWS
     first = _likely(pairs, described, share).union(_compared(members.withColumn("label", F.col("id")), described, share, parts, forest=True)).distinct()
     first, first_path = write_table(first, "pairs")
 
