@@ -323,6 +323,7 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
         return run
 
     def each(left: pa.Table, right: pa.Table) -> Iterator[tuple[_Unit, dict[int, dict[int, dict]]]]:
+        K.settle()
         answers: dict[int, dict[int, dict]] = {}
         for x in right.to_pylist():
             answers.setdefault(x["level"], {})[x["part"]] = x

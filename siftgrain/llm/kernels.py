@@ -12,10 +12,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-# Workers live for many tasks: large arrays go back to the system when they are freed, not to a heap that only grows.
-with contextlib.suppress(AttributeError, OSError):
-    ctypes.CDLL(None).mallopt(-3, 2 << 20)  # M_MMAP_THRESHOLD
-    pa.set_memory_pool(pa.system_memory_pool())
+pa.set_memory_pool(pa.system_memory_pool())
+
+
+def settle() -> None:
+    """Give freed memory back to the system; workers live for many tasks, and a heap that only grows is held for all of them."""
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
 
 #: Bytes of text that one kernel call handles; a longer document is a call of its own.
 CHUNK_BYTES = 2 << 20
@@ -82,6 +86,13 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U64))
 
 
+def rolling_hash(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the byte strings of one size that begin at each place, as span_hash gives them."""
+    down = POWERS.get(len(sums))[1]
+    n = len(sums) - size
+    return mix((sums[size:] - sums[:n]) * down[:n] + _U64(size))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes of a string or binary column, and each row's start and end; a null row is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -102,6 +113,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def chunks(start: np.ndarray, end: np.ndarray, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of rows with at most `limit` bytes each, or one row."""
+    settle()
     i, n = 0, len(start)
     total = np.concatenate([[0], np.cumsum(end - start)])
     while i < n:

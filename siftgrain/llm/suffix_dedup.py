@@ -63,15 +63,15 @@ def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[
     n = len(data) - window + 1
     if n <= 0:
         return none.astype(_U64), none, none, none
-    place = np.arange(len(data) - gram + 1)
-    h = K.span_hash(K.prefix_hash(data), place, place + gram)
-    least, size, wide = place.astype(np.int32), 1, window - gram + 1
+    h = K.rolling_hash(K.prefix_hash(data), gram)
+    # the upper bits of a hash with its place below them: the least is the least hash, and the leftmost of equal ones
+    low = _U64((1 << len(h).bit_length()) - 1)
+    least, size, wide = (h & ~low) | np.arange(len(h), dtype=_U64), 1, window - gram + 1
     while size * 2 <= wide:
-        a, b = least[:-size], least[size:]
-        least, size = np.where(h[a] <= h[b], a, b), size * 2
+        least, size = np.minimum(least[:-size], least[size:]), size * 2
     if wide > size:
-        a, b = least[: n], least[wide - size : wide - size + n]
-        least = np.where(h[a] <= h[b], a, b)
+        least = np.minimum(least[:n], least[wide - size : wide - size + n])
+    least = (least & low).astype(np.int64)
     row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
     whole = np.arange(n) + window <= at[row + 1]
     starts = np.flatnonzero(whole)
@@ -128,6 +128,7 @@ def _announce(blocks: DataFrame, window: int, gram: int, parts: int) -> DataFram
     """(part, unit, block, several, hashes): the blocks' distinct anchor hashes by part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.settle()
         for batch in batches:
             for r in batch.select(["unit", "block", "ends", "body"]).to_pylist():
                 h, row, _, _ = _anchors(*_block(r["ends"], r["body"]), window, gram)
@@ -155,6 +156,7 @@ def _met(announced: DataFrame, hot_blocks: int) -> DataFrame:
     """(unit, block, part, found, repeated, hot): two bits for each announced hash, and how many are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.settle()
         by_part: dict[int, list[dict]] = {}
         for b in batches:
             for r in b.to_pylist():
@@ -276,7 +278,9 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
         later = edges[edges >= stop]  # whole keys together
         stop = int(later[0]) if stop < len(rest) and len(later) else len(rest)
         own = rest[begin:stop]
-        parts.append(_repeats(body, at, sample[own], own, least[own], window))
+        own = own[_sharing(body, at, sample[own], window)]
+        if len(own):
+            parts.append(_repeats(body, at, sample[own], own, least[own], window))
         begin = stop
     context, offset, length, by = (np.concatenate(x) for x in zip(*parts, strict=True))
     # each occurrence with the spans of its context
@@ -297,6 +301,20 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
             yield rows[s]["unit"], rows[s]["block"], doc_row[o], start[o] + offset[x], start[o] + offset[x] + length[x]
 
 
+def _sharing(body: np.ndarray, at: np.ndarray, sample: np.ndarray, window: int) -> np.ndarray:
+    """Which of the contexts have a string that stands twice among them; the others need no suffix array."""
+    own, own_at = K.gather(body, at[sample], at[sample + 1])
+    n = np.diff(own_at) - window + 1
+    which = np.repeat(np.arange(len(n)), n)
+    start = np.arange(n.sum()) + np.repeat(own_at[:-1] - (np.cumsum(n) - n), n)
+    h = K.rolling_hash(K.prefix_hash(own), window)[start]
+    order = np.argsort(h, kind="stable")
+    same = h[order][1:] == h[order][:-1]
+    out = np.zeros(len(n), bool)
+    out[which[order[1:][same]]] = out[which[order[:-1][same]]] = True
+    return out
+
+
 def _repeats(body: np.ndarray, at: np.ndarray, sample: np.ndarray, name: np.ndarray, least: np.ndarray, window: int):
     """(context, offset, length, least document) of the maximal repeats among distinct contexts."""
     own, own_at = K.gather(body, at[sample], at[sample + 1])
@@ -394,6 +412,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
 
     def answered(right: pa.Table) -> dict[int, list[dict]]:
+        K.settle()
         out: dict[int, list[dict]] = {}
         for x in right.to_pylist():
             out.setdefault(x["block"], []).append(x)
@@ -413,6 +432,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_pylist(parts, schema=schema)
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.settle()
         by_share: dict[int, list[dict]] = {}
         for b in batches:
             for r in b.to_pylist():
