@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import sys
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,8 +17,8 @@ def _c(x: ColumnOrName | float) -> Column:
 def finite(x: ColumnOrName, default: float | None = None) -> Column:
     """x as a double, or the default where it is no number, NaN or infinite."""
     v = _c(x).try_cast("double")
-    ok = v.isNotNull() & ~F.isnan(v) & (F.abs(v) != F.lit(float("inf")))
-    return F.when(ok, v).otherwise(F.lit(default).cast("double"))
+    # NaN sorts above all numbers, and so fails as infinity does
+    return F.when(F.abs(v) <= F.lit(sys.float_info.max), v).otherwise(F.lit(default).cast("double"))
 
 
 def clamp(x: ColumnOrName, low: float, high: float) -> Column:
