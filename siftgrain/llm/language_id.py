@@ -113,10 +113,16 @@ def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int
         F.col(label_col).cast("string").alias("label"), F.struct(F.xxhash64(id_col).alias("h"), F.xxhash64(text_col).alias("t")).alias("h"), F.col(text_col).alias("text")
     )
     names = [r.label for r in own.groupBy("label").count().orderBy(F.desc("count"), "label").limit(rows).collect()]
-    found = []
+    picked = None  # which rows, without their texts
     for name in sorted(names):
-        found += own.filter(F.col("label") == name).orderBy("h").limit(max(1, rows // len(names))).select("label", "text").collect()
-    return [r.text for r in found], [r.label for r in found]
+        part = own.filter(F.col("label") == name).select("label", "h").orderBy("h").limit(max(1, rows // len(names)))
+        picked = part if picked is None else picked.union(part)
+    if picked is None:
+        return [], []
+    picked = picked.distinct().toDF("its_label", "its_h")
+    found = own.join(F.broadcast(picked), (F.col("label") == F.col("its_label")) & (F.col("h") == F.col("its_h"))).dropDuplicates(["label", "h"])
+    held = sorted(((r.label, r.h.h, r.h.t, r.text) for r in found.select("label", "h", "text").collect()), key=lambda r: r[:3])
+    return [r[3] for r in held], [r[0] for r in held]
 
 
 def predict(df: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
