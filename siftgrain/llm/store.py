@@ -1,41 +1,16 @@
-"""Tables that cut lineage, in the folder that driver and executors share."""
+"""Tables in the shared folder, and joins by id that shuffle little."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from siftgrain.operators.store import drop_table, shared_folder, write_table
 
 #: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
 FILTER_BITS = 1 << 24
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that spark.checkpoint.dir names; where it is unset, as in tests, a folder of our own is set."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="siftgrain-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def write_table(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet in the shared folder and read it again; gives the new DataFrame and its path."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/siftgrain/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema])
-    return spark.read.schema(schema).parquet(path), path
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    """Delete a table of write_table that nothing reads any more."""
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+__all__ = ["drop_table", "only_ids", "shared_folder", "tasks", "without_ids", "write_table"]
 
 
 def tasks(spark: SparkSession, rows: int, each: int) -> int:
