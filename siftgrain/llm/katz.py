@@ -11,9 +11,9 @@ and one type for all unknown words.
 Texts become units of tokens, written once and bucketed by unit. Order by order
 the units send their distinct n-grams, with training counts and lower-order
 probabilities, to tables partitioned by context; back come, for each n-gram that
-a unit asked for, its count, and for each context how many words it has once,
-twice, ..., and the sum of their lower-order probabilities. From these each unit
-evaluates its tokens recursively. Contexts with a very large share of the corpus
+a unit asked for, its count, and for each context that has words which the unit
+doesn't, how many words it has once, twice, ..., and the sum of their lower-order
+probabilities. From these each unit evaluates its tokens recursively. Contexts with a very large share of the corpus
 are spread over all partitions by word, and their sums, a bounded number of
 them, are combined separately.
 """
@@ -34,7 +34,7 @@ from siftgrain.llm import kernels as K
 from siftgrain.llm.store import drop_table, shared_folder, write_table
 
 #: Text bytes of a unit, tokens that one task counts, and the largest count that is discounted.
-UNIT_BYTES, PART_TOKENS, LARGEST = 6 << 20, 1_500_000, 5
+UNIT_BYTES, PART_TOKENS, LARGEST = 8 << 20, 2_500_000, 5
 #: A context is spread over the partitions from so many occurrences, or from so large a share of the corpus, whichever is more.
 HOT_COUNT, HOT_SHARE = 1 << 20, 1000
 _U64 = np.uint64
@@ -80,6 +80,13 @@ def discounts(nr: list[int]) -> np.ndarray:
     return d
 
 
+def unigram_probability(count: np.ndarray, stats: dict) -> np.ndarray:
+    """Of words by their training counts; that of count 0 is what all unknown words have together."""
+    d, total = discounts(stats["nr"]), max(1, stats["total"])
+    kept = np.where(count > LARGEST, 1.0, d[np.minimum(count, LARGEST)])
+    return np.where(count > 0, kept * count / total * stats["scale"], stats["left"])
+
+
 def _tokenized(docs: DataFrame) -> DataFrame:
     """(id, train, text) as units (unit, ids, train, sizes, words, tokens)."""
 
@@ -110,7 +117,7 @@ def _tokenized(docs: DataFrame) -> DataFrame:
 
 
 _ENTRIES = "part int, unit long, contexts binary, n binary, words binary, counts binary, lower binary, kinds binary, hot binary"
-_ANSWERS = "level int, part int, unit long, counts binary, names binary, sums binary, lower binary, total long, types long, nr array<long>, hot array<struct<context: long, n: array<long>, lower: double>>"
+_ANSWERS = "level int, part int, unit long, counts binary, names binary, shared binary, sums binary, lower binary, total long, types long, nr array<long>, hot array<struct<context: long, n: array<long>, lower: double>>"
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -156,10 +163,8 @@ class _Unit:
         for p, x in answers.items():
             own = self.order[self.edges[p] : self.edges[p + 1]]
             self.count[own], self.name[own] = _open(x["counts"], np.int64), _open(x["names"], _U64)
-        d, total = discounts(stats["nr"]), max(1, stats["total"])
-        kept = np.where(self.count > LARGEST, 1.0, d[np.minimum(self.count, LARGEST)])
-        left = stats["left"]
-        self.p = np.where(self.count > 0, kept * self.count / total * stats["scale"], left)
+        self.p = unigram_probability(self.count, stats)
+        self.word_count = self.count
         self.key = self.name
 
     def grams(self, level: int, hot: float, begin: int) -> Iterator[dict]:
@@ -181,7 +186,10 @@ class _Unit:
         for p in np.flatnonzero(np.diff(self.next[4])).tolist():
             own = order[self.next[4][p] : self.next[4][p + 1]]
             change = np.flatnonzero(np.concatenate([[True], ctx[own][1:] != ctx[own][:-1]]))
-            kinds, kind = np.unique(lower[own], return_inverse=True)
+            if level == 2:  # the word's count says it
+                kinds, kind = np.zeros(0), self.word_count[own_word[own]]
+            else:
+                kinds, kind = np.unique(lower[own], return_inverse=True)
             yield {
                 "part": p,
                 "unit": self.unit,
@@ -202,11 +210,14 @@ class _Unit:
         count, sums, below = np.zeros(n, np.int64), np.zeros((LARGEST + 1, n), np.int64), np.zeros(n)
         for p, x in answers.items():
             own = order[edges[p] : edges[p + 1]]
-            count[own] = _open(x["counts"], np.int32)
+            count[own] = c = _open(x["counts"], np.int32)
             change = np.concatenate([[True], ctx[own][1:] != ctx[own][:-1]])
             at = np.cumsum(change) - 1
-            sums[:, own] = _open(x["sums"], np.int64).reshape(LARGEST + 1, -1)[:, at]
-            below[own] = _open(x["lower"], np.float64)[at]
+            total, low = _sums(at, c, lower[own])
+            others = np.flatnonzero(np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=total.shape[1]))
+            total[:, others] = _open(x["sums"], np.int64).reshape(LARGEST + 1, -1)
+            low[others] = _open(x["lower"], np.float64)
+            sums[:, own], below[own] = total[:, at], low[at]
         for key, (n_, low) in stats["hot"].items():
             mine = hot_gram & (ctx == _U64(key))
             sums[:, mine], below[mine] = np.array(n_)[:, None], low
@@ -221,7 +232,6 @@ class _Unit:
         own = np.where(count > LARGEST, 1.0, d[np.minimum(count, LARGEST)]) * count / some
         self.short = gram
         self.p = np.where(count > 0, own, np.where(total > 0, left * lower, lower))
-        self.count_of_word = self.count if level == 2 else self.count_of_word
         self.gram, self.count = gram, count
         self.key = K.mix(ctx * _U64(0x9E3779B97F4A7C15) + word + _U64(level))
 
@@ -257,12 +267,23 @@ def _counted(rows: list[dict], parts: int) -> Iterator[dict]:
     yield {"level": 1, "part": rows[0]["part"], "unit": -1, "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr, "hot": []}
 
 
-def _reduced(rows: list[dict], level: int) -> Iterator[dict]:
+def _sums(of: np.ndarray, count: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """By context (`of`, from 0 without gaps): how many words have counts 1 to LARGEST, the sum of the larger counts, and of all words' lower-order probabilities."""
+    n = int(of[-1]) + 1 if len(of) else 0
+    by_count = [np.bincount(of[count == k], minlength=n) for k in range(1, LARGEST + 1)]
+    large = np.bincount(of, np.where(count > LARGEST, count, 0), n).astype(np.int64)
+    return np.stack([*by_count, large]).astype(np.int64), np.bincount(of, np.where(count > 0, lower, 0.0), n)
+
+
+def _reduced(rows: list[dict], level: int, unigrams: dict) -> Iterator[dict]:
     """Answers to the n-grams of one part."""
     contexts, sizes = [_from_steps(r["contexts"]) for r in rows], [_open(r["n"], np.int32) for r in rows]
     ctx = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)])
     word = np.concatenate([_open(r["words"], _U64) for r in rows])
-    lower = np.concatenate([_open(r["kinds"], np.float64)[_open(r["lower"], np.int32)] for r in rows])
+    if level == 2:
+        lower = unigram_probability(np.concatenate([_open(r["lower"], np.int32) for r in rows]).astype(np.int64), unigrams)
+    else:
+        lower = np.concatenate([_open(r["kinds"], np.float64)[_open(r["lower"], np.int32)] for r in rows])
     given = np.concatenate([_open(r["counts"], np.int32) for r in rows])
     hot = np.concatenate([np.repeat(_open(r["hot"], np.uint8), n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
     order = np.lexsort((word, ctx))
@@ -272,15 +293,17 @@ def _reduced(rows: list[dict], level: int) -> Iterator[dict]:
     head = np.flatnonzero(new)
     count = np.add.reduceat(given[order].astype(np.int64), head)
     of_ctx = np.cumsum(new_ctx)[head] - 1
-    n_ctx = int(of_ctx[-1]) + 1
-    sums = np.stack([*(np.bincount(of_ctx[count == k], minlength=n_ctx) for k in range(1, LARGEST + 1)), np.bincount(of_ctx, np.where(count > LARGEST, count, 0), n_ctx).astype(np.int64)]).astype(np.int64)
-    below = np.bincount(of_ctx, np.where(count > 0, lower[order][head], 0.0), n_ctx)
+    sums, below = _sums(of_ctx, count, lower[order][head])
+    known = np.bincount(of_ctx, count > 0)
     count_of, ctx_of = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     count_of[order], ctx_of[order] = count[np.cumsum(new) - 1], np.cumsum(new_ctx) - 1
     ends = np.cumsum([int(n.sum()) for n in sizes])
     for r, n, a, b in zip(rows, sizes, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         mine = ctx_of[a:b][np.cumsum(n) - n]
-        yield {"level": level, "part": r["part"], "unit": r["unit"], "counts": _pack(count_of[a:b].astype(np.int32)), "sums": _pack(sums[:, mine].ravel()), "lower": _pack(below[mine])}
+        own = np.bincount(np.repeat(np.arange(len(n)), n), count_of[a:b] > 0, len(n))
+        shared = known[mine] != own
+        some = mine[shared]
+        yield {"level": level, "part": r["part"], "unit": r["unit"], "counts": _pack(count_of[a:b].astype(np.int32)), "shared": np.packbits(shared).tobytes(), "sums": _pack(sums[:, some].ravel()), "lower": _pack(below[some])}
     nr = [int((count == k).sum()) for k in range(1, LARGEST + 2)]
     at = np.unique(ctx_of[hot]).tolist()
     first = c[np.flatnonzero(new_ctx)]
@@ -369,7 +392,7 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
 
     for level in range(2, order + 1):
         asked = units.groupBy("unit").cogroup(all_answers().groupBy("of")).applyInArrow(ask(level), _ENTRIES)
-        met = asked.repartition(max(least, parts), "part").mapInArrow(by_part(lambda rows, level=level: _reduced(rows, level)), _ANSWERS)
+        met = asked.repartition(max(least, parts), "part").mapInArrow(by_part(lambda rows, level=level: _reduced(rows, level, stats[0])), _ANSWERS)
         tables.append(write_table(met, f"grams-{level}"))
         stats.append(_stats(tables[-1][0], level))
 
