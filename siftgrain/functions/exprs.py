@@ -141,13 +141,14 @@ def bytes_text(n: ColumnOrName) -> Column:
 
 def score_text(v: ColumnOrName) -> Column:
     """A score in hundredths; a dash where there is none."""
-    return F.coalesce(F.format_string("%d", F.floor(_c(v) * 100 + 0.5).cast("long")), F.lit("—"))
+    n = F.floor(_c(v) * 100 + 0.5).cast("long")
+    return F.when(n.isNull(), "—").otherwise(n.cast("string"))
 
 
 def delta_text(v: ColumnOrName) -> Column:
     """A difference in hundredths with its sign."""
     n = F.floor(_c(v) * 100 + 0.5).cast("long")
-    return F.coalesce(F.when(n > 0, F.format_string("+%d", n)).otherwise(F.format_string("%d", n)), F.lit("—"))
+    return F.when(n.isNull(), "—").when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))
 
 
 def clip_text(shadow: ColumnOrName, highlight: ColumnOrName) -> Column:

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 METRIC_FIELDS = (
     "brightness_mean", "brightness_median", "brightness_p01", "brightness_p05", "brightness_p95", "brightness_p99", "shadow_clip_ratio", "highlight_clip_ratio", "dynamic_range_p05_p95",
@@ -160,10 +161,10 @@ def decode(row: dict) -> np.ndarray:
     return a.reshape(row["height"], row["width"], 3) if n and a.size == 3 * n else a.reshape(row["height"], row["width"])
 
 
-def _guarded(f: Callable[[dict], dict], names: tuple[str, ...], kind: str):
+def _guarded(f: Callable[[dict], dict], names: tuple[str, ...], kind: T.DataType):
     """f over a column of structs, as a pandas UDF that gives (fields..., error); a failure doesn't end the task."""
 
-    @F.pandas_udf(", ".join(f"{n} {kind}" for n in names) + ", error string")
+    @F.pandas_udf(T.StructType([*(T.StructField(n, kind) for n in names), T.StructField("error", T.StringType())]))
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
@@ -177,8 +178,8 @@ def _guarded(f: Callable[[dict], dict], names: tuple[str, ...], kind: str):
     return run
 
 
-image_metrics = _guarded(lambda row: metrics(decode(row)), METRIC_FIELDS, "double")
-image_hashes = _guarded(lambda row: hashes(grey(decode(row))), ("ahash", "dhash", "phash"), "string")
+image_metrics = _guarded(lambda row: metrics(decode(row)), METRIC_FIELDS, T.DoubleType())
+image_hashes = _guarded(lambda row: hashes(grey(decode(row))), ("ahash", "dhash", "phash"), T.StringType())
 
 
 def analyze(photos: DataFrame, load: Callable[[], Callable[[list[bytes]], list[dict]]], schema: str, content: str = "content", key: str = "source_id", batch: int = 16) -> DataFrame:

@@ -588,10 +588,10 @@ def _(spark, sf_dir):
     return stats.replicated(table(spark, sf_dir, "nation").select("n_nationkey"), 4)
 
 
-@query("vector_stats", f"WITH {PHOTO} SELECT photo_no, round(sqrt(list_dot_product(e, e)), 4) AS l2_norm, round(list_avg(e), 4) AS mean, round(list_stddev_pop(e), 4) AS std, round(list_min(e), 4) AS min, round(list_max(e), 4) AS max FROM photo")
+@query("vector_stats", f"WITH {PHOTO} SELECT photo_no, round(sqrt(list_dot_product(e, e)), 4) AS l2_norm, round(list_avg(e), 4) + 0.0 AS mean, round(list_stddev_pop(e), 4) AS std, round(list_min(e), 4) AS min, round(list_max(e), 4) AS max FROM photo")
 def _(spark, sf_dir):
     own = photos(spark, sf_dir).select("photo_no", X.vector_stats("embedding").alias("s"))
-    return own.select("photo_no", *[F.round(f"s.{c}", 4).alias(c) for c in ("l2_norm", "mean", "std", "min", "max")])
+    return own.select("photo_no", *[(F.round(f"s.{c}", 4) + 0.0).alias(c) for c in ("l2_norm", "mean", "std", "min", "max")])
 
 
 @query("brightness_hist", f"WITH {PHOTO}, h AS (SELECT photo_no, list_transform(range(16), lambda k: len(list_filter(e, lambda x: least(15, floor((x + 0.5) * 256 * 16 / 256)::INT) = k)) / 64) AS h FROM photo) SELECT photo_no, round(h[9], 4) AS h8, round(h[8], 4) AS h7, round(list_sum(h), 4) AS total FROM h")
