@@ -1,7 +1,8 @@
 """Operator 5: a trained paragraph classifier for licence families, with DataFrame functions only.
 
 A paragraph is a line. Its features are the n-grams of up to three words that
-hold a key word of the templates. A multinomial logistic regression over the
+hold a key word of the templates; a line with less than two of these words is
+no licence, whatever else it says. A multinomial logistic regression over the
 licence families and `unknown` gives each family's probability; a temperature,
 fitted on paragraphs kept from training, calibrates it. A predicted family counts
 as confirmed when one of the family's templates is in the paragraph in large
@@ -73,6 +74,8 @@ OTHERS = [
     "no license is required for this purpose and no fee",
     "the law was written without the public and without the commons",
 ]
+#: Different key words that a licence paragraph has, at least.
+LEAST_KEYS = 2
 # Words too common to mark a licence.
 COMMON = frozenset("a an and any are as at be by for from has he her here his in is it its may nor not of on or that the their this to was were will with you your all no she one up out if so do".split())
 
@@ -185,7 +188,7 @@ def _values(spark: SparkSession, rows: list[str], columns: str) -> DataFrame:
 
 
 def scan_paragraphs(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.75) -> DataFrame:
-    """(key, paragraph, text, family, probability, similarity, confirmed) of every paragraph with a key word.
+    """(key, paragraph, text, family, probability, similarity, confirmed) of every paragraph with LEAST_KEYS key words.
 
     key is struct<id, digest> of the row; rows of equal id and text are one. The
     paragraph is its place among the row's lines, from 0. similarity is the
@@ -195,15 +198,19 @@ def scan_paragraphs(df: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     spark = df.sparkSession
     keys = key_words()
     lines = df.filter(F.col(text_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("key"), F.posexplode(F.split(text_col, "\n")).alias("paragraph", "line"))
-    own = lines.withColumn("w", words(F.col("line"))).filter(F.exists("w", lambda w: w.isin(keys)))
-    own = own.withColumn("is_key", F.transform("w", lambda w: w.isin(keys)))
-
-    def grams(n: int) -> Column:
-        at = F.when(F.size("w") >= n, F.sequence(F.lit(1), F.size("w") - n + 1)).otherwise(F.array().cast("array<int>"))
-        held = F.filter(at, lambda i: F.exists(F.slice("is_key", i, n), lambda k: k))
-        return F.transform(held, lambda i: F.array_join(F.slice("w", i, n), " "))
-
-    own = own.select("key", "paragraph", "line", "w", F.array_distinct(F.concat(grams(1), grams(2), grams(3))).alias("grams")).distinct()
+    w = F.split(F.lower("line"), _SPLIT)
+    likely = F.size(F.array_intersect(w, F.array(*map(F.lit, keys)))) >= LEAST_KEYS
+    own = lines.filter(likely).distinct().withColumn("w", words(F.col("line")))
+    at_key = F.filter(F.transform("w", lambda x, i: F.when(x.isin(keys), i + 1)), lambda i: i.isNotNull())
+    own = own.withColumn("at", at_key)
+
+    def gram(at: Column, ahead: int, n: int) -> Column:
+        """The n words from `ahead` words ahead of a key word; null where there are not so many."""
+        begin = at - ahead
+        return F.when((begin >= 1) & (begin + n - 1 <= F.size("w")), F.array_join(F.slice("w", F.greatest(begin, F.lit(1)), n), " "))
+
+    around = F.transform("at", lambda i: F.array(*[gram(i, ahead, n) for n in (1, 2, 3) for ahead in range(n)]))
+    own = own.select("key", "paragraph", "line", "w", F.array_distinct(F.array_compact(F.flatten(around))).alias("grams"))
     f = len(model.families)
     weights = _values(spark, [f"('{g}', array({', '.join(f'{v}D' for v in v_)}))" for g, v_ in sorted(model.weights.items())], "gram, weight")
     features = own.select("key", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
