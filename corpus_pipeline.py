@@ -60,9 +60,8 @@ def as_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, how many they are, and the text that they decode to."""
     pieces = Pieces.read(public_tokenizers.path(TOKENIZER))
     key = F.struct("doc_id", "lang", "source").alias("key")
-    encoded = sentencepiece.encode(docs.select(key, "text"), pieces, "key")
-    decoded = sentencepiece.decode(encoded, pieces)
-    return decoded.select("key.doc_id", "key.lang", "key.source", F.col("decoded").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
+    encoded = sentencepiece.encode(docs.select(key, "text"), pieces, "key", decoded=True)
+    return encoded.select("key.doc_id", "key.lang", "key.source", F.col("decoded").alias("text"), F.size("ids").cast("long").alias("n_tokens"), "ids")
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -137,19 +138,47 @@ class Viterbi:
         return out[::-1], float(best[len(word)])
 
 
-def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+class Decoder:
+    """What each id stands for, one after another."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        own = [b"" for _ in pieces.texts]
+        for i, (text, kind) in enumerate(zip(pieces.texts, pieces.kinds, strict=True)):
+            if kind == BYTE:
+                own[i] = bytes([int(text[3:5], 16)])
+            elif kind == UNKNOWN:
+                own[i] = " ⁇ ".encode()
+            elif kind != CONTROL:
+                own[i] = text.replace(MARK, " ").encode()
+        self.n, self.prefix = len(own), pieces.dummy_prefix
+        self.pool = np.frombuffer(b"".join(own), np.uint8)
+        self.at = np.concatenate([[0], np.cumsum([len(x) for x in own] + [0])])
+
+    def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
+        """The texts of rows of ids at ids[at[i]:at[i + 1]]."""
+        ids = np.where((ids >= 0) & (ids < self.n), ids, self.n).astype(np.int64)
+        flat, flat_at = K.gather(self.pool, self.at[:-1][ids], self.at[1:][ids])
+        at = flat_at[at]
+        drop = (np.diff(at) > 0) & self.prefix
+        drop[drop] = flat[at[:-1][drop]] == 0x20
+        return _strings(*K.gather(flat, at[:-1] + drop, at[1:]))
+
+
+def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
     """One row for each row of df: id, n_bytes long, ids array<int> and score double (sum of log scores).
 
+    decoded: with the text that the ids decode to, as `decode` gives it, made in the same pass.
+
     A null or empty text has no ids and score 0; a null id is kept; repeated
     rows stay; other columns, whatever their names, are not looked at; an empty
     table gives an empty table. Whole texts are encoded, whatever their length.
     """
     shared = df.sparkSession.sparkContext.broadcast(pieces)
-    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, ids array<int>, score double"
+    schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, ids array<int>, score double" + ", decoded string" * decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        viterbi = Viterbi(own)
+        viterbi, decoder = Viterbi(own), Decoder(own) if decoded else None
         for batch in batches:
             data, start, end = K.text_bytes(batch.column(1))
             for i, j in K.chunks(start, end):
@@ -161,7 +190,11 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
                 flat, flat_at = K.gather(ids, ids_at[:-1][inverse], ids_at[1:][inverse])
                 total = np.concatenate([[0.0], np.cumsum(score[inverse])])[first] if len(score) else np.zeros(len(first))
                 columns = [batch.column(0).slice(i, j - i), pa.array(np.diff(at)), K.lists(flat, np.diff(flat_at[first]), pa.int32()), pa.array(np.diff(total))]
-                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "n_bytes", "ids", "score"])
+                names = [id_col, "n_bytes", "ids", "score"]
+                if decoder is not None:
+                    columns.append(decoder.decode(flat, flat_at[first]))
+                    names.append("decoded")
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return df.select(F.col(id_col), F.col(text_col)).mapInArrow(run, schema)
 
@@ -176,48 +209,35 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str = "
     """
     from pyspark.sql import types as T
 
-    own = [b"" for _ in pieces.texts]
-    for i, (text, kind) in enumerate(zip(pieces.texts, pieces.kinds, strict=True)):
-        if kind == BYTE:
-            own[i] = bytes([int(text[3:5], 16)])
-        elif kind == UNKNOWN:
-            own[i] = " ⁇ ".encode()
-        elif kind != CONTROL:
-            own[i] = text.replace(MARK, " ").encode()
-    sizes = np.array([len(x) for x in own] + [0], np.int64)
-    shared = df.sparkSession.sparkContext.broadcast((np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum(sizes)]), pieces.dummy_prefix))
-    position, n_pieces = df.columns.index(ids_col), len(own)
+    shared = df.sparkSession.sparkContext.broadcast(pieces)
+    position = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool, pool_at, prefix = shared.value
+        decoder = Decoder(shared.value)
         for whole in batches:
             lists = whole.column(position)
             offsets = np.asarray(lists.offsets).astype(np.int64)
             for i, j in K.chunks(offsets[:-1], offsets[1:]):
                 batch = whole.slice(i, j - i)
                 ids = lists.values.slice(offsets[i], offsets[j] - offsets[i]).to_numpy(zero_copy_only=False)
-                ids = np.where((ids >= 0) & (ids < n_pieces), ids, n_pieces).astype(np.int64)
-                flat, flat_at = K.gather(pool, pool_at[:-1][ids], pool_at[1:][ids])
-                at = flat_at[offsets[i : j + 1] - offsets[i]]
-                drop = (np.diff(at) > 0) & prefix
-                drop[drop] = flat[at[:-1][drop]] == 0x20
-                text, text_at = K.gather(flat, at[:-1] + drop, at[1:])
-                yield pa.RecordBatch.from_arrays([*batch.columns, _strings(text, text_at, batch.column(position))], names=[*whole.schema.names, out_col])
+                text = decoder.decode(ids, offsets[i : j + 1] - offsets[i])
+                own = batch.column(position)
+                if own.null_count:
+                    text = pa.compute.if_else(own.is_valid(), text, pa.scalar(None, pa.string()))
+                yield pa.RecordBatch.from_arrays([*batch.columns, text], names=[*whole.schema.names, out_col])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
 
 
-def _strings(data: np.ndarray, at: np.ndarray, like: pa.Array) -> pa.Array:
+def _strings(data: np.ndarray, at: np.ndarray) -> pa.Array:
     raw = data.tobytes()
     try:
         raw.decode()
         out = pa.StringArray.from_buffers(len(at) - 1, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw))
         out.validate(full=True)
+        return out
     except (UnicodeDecodeError, pa.ArrowInvalid):
-        out = pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
-    if like.null_count:
-        out = pa.compute.if_else(like.is_valid(), out, pa.scalar(None, pa.string()))
-    return out
+        return pa.array([raw[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -229,9 +249,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     pieces = Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
-    encoded = encode(with_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")), pieces, "key")
+    encoded = encode(with_digest(spark.read.parquet(f"{sf_dir}/documents.parquet")), pieces, "key", decoded=True)
     ids = F.col("ids")
-    return decode(encoded, pieces).select(
+    return encoded.select(
         "key.doc_id",
         "n_bytes",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -246,4 +266,4 @@ def with_digest(docs: DataFrame) -> DataFrame:
     return docs.select(F.struct("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("digest")).alias("key"), "text")
 
 
-__all__ = ["Viterbi", "decode", "encode", "query", "with_digest"]
+__all__ = ["Decoder", "Viterbi", "decode", "encode", "query", "with_digest"]
