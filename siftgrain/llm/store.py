@@ -52,8 +52,9 @@ def only_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id isn't in `ids`; only those that the bitmap can't tell apart are shuffled. Null ids stay."""
-    gone = ids.distinct().withColumn("gone", F.lit(True)).withColumnRenamed(id_col, "gone_id")
+    gone_id = unique_names(df, ["gone_id"])[0]
+    gone = ids.distinct().withColumnRenamed(id_col, gone_id)
     marked, likely = _marked(df, ids, id_col)
     columns = [F.col(f"`{c}`") for c in df.columns]
-    unsure = marked.filter(likely).select(*columns).join(gone, F.col(id_col) == F.col("gone_id"), "left").filter("gone IS NULL")
+    unsure = marked.filter(likely).select(*columns).join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     return marked.filter(~likely).select(*columns).union(unsure.select(*columns))
