@@ -25,10 +25,10 @@ TOKENIZER = "piece_bpe_32k.model"
 
 def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in one of the languages that the corpus names, with the predicted one as lang; texts without letters, and of no language, go."""
-    key = F.struct("doc_id", "source", "n_chars", "text").alias("key")
-    predicted = language_id.predict(docs.select(key, "text"), language_id.learned(docs), "key")
+    key = F.struct("doc_id", "source", "n_chars").alias("key")
+    predicted = language_id.predict(docs.select(key, "text"), language_id.learned(docs), "key", keep_text=True)
     kept = predicted.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return kept.select("key.doc_id", "key.text", F.col("lang_pred").alias("lang"), "key.source", "key.n_chars")
+    return kept.select("key.doc_id", "text", F.col("lang_pred").alias("lang"), "key.source", "key.n_chars")
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ def settle() -> None:
 
 
 #: Bytes of text that one kernel call handles; a longer document is a call of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
 _MASK = (1 << 64) - 1

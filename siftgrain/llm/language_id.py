@@ -30,8 +30,8 @@ UNKNOWN = "und"
 FIT_ROWS, LANDMARKS = 2000, 96
 #: Places that n-grams are hashed into.
 SPACE = 1 << 15
-#: Rows that one matrix product scores.
-ROWS = 256
+#: Rows, and bytes of their texts, that one matrix product scores.
+ROWS, ROW_BYTES = 128, 1 << 19
 _U64 = np.uint64
 
 #: Bytes as they count: a-z and all beyond ASCII; 0 is a break.
@@ -56,18 +56,18 @@ def presences(data: np.ndarray, at: np.ndarray, longest: int) -> np.ndarray:
     """For each text the places that its n-grams of 1 to `longest` bytes have; n-grams don't cross breaks."""
     n = len(at) - 1
     out = np.zeros((n, SPACE), bool)
-    own = _CLASS[data].astype(np.int64)
-    row = np.repeat(np.arange(n), np.diff(at))
+    own = _CLASS[data]
+    row = np.repeat(np.arange(n, dtype=np.int32), np.diff(at))
     whole = np.ones(len(own), bool)
-    code = np.zeros(len(own), np.int64)
+    code = np.zeros(len(own), np.uint32)
     for size in range(longest):
         if len(own) <= size:
             break
         m = len(own) - size
         ahead = own[size:]
         whole = whole[:m] & (ahead > 0) & (row[:m] == row[size:])
-        code = (code[:m] * 257 + ahead + 1) % 2147483647
-        place = (code * 40503 + (code >> 11) * (2 * size + 1)) & (SPACE - 1)
+        code = code[:m] * np.uint32(257) + ahead + np.uint32(1)
+        place = (code * np.uint32(2654435769)) >> np.uint32(17)
         out[row[:m][whole], place[whole]] = True
     return out
 
@@ -98,12 +98,13 @@ def fit(texts: list[str], labels: list[str], longest: int = 3, landmarks: int =
 def scores(model: KernelModel, data: np.ndarray, at: np.ndarray) -> np.ndarray:
     """One-versus-rest scores of each text, in blocks of rows."""
     out = np.zeros((len(at) - 1, len(model.labels)))
-    for k in range(0, len(at) - 1, ROWS):
-        stop = min(k + ROWS, len(at) - 1)
-        x = presences(data[at[k] : at[stop]], at[k : stop + 1] - at[k], model.longest)
-        kernel = x[:, model.columns].astype(np.float32) @ model.landmarks
-        norm = np.sqrt(np.maximum(1, x.sum(1)))
-        out[k:stop] = (kernel / norm[:, None]) @ model.weights + model.bias
+    for i, j in K.chunks(at[:-1], at[1:], ROW_BYTES):
+        for k in range(i, j, ROWS):
+            stop = min(k + ROWS, j)
+            x = presences(data[at[k] : at[stop]], at[k : stop + 1] - at[k], model.longest)
+            kernel = x[:, model.columns].astype(np.float32) @ model.landmarks
+            norm = np.sqrt(np.maximum(1, x.sum(1)))
+            out[k:stop] = (kernel / norm[:, None]) @ model.weights + model.bias
     return out
 
 
@@ -125,8 +126,8 @@ def sample(df: DataFrame, id_col: str, text_col: str, label_col: str, rows: int
     return [r[3] for r in held], [r[0] for r in held]
 
 
-def predict(df: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of df: id, lang_pred string, score double (0 to 1).
+def predict(df: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """One row for each row of df: id, lang_pred string, score double (0 to 1), and with keep_text the text.
 
     The score is the softmax of the one-versus-rest scores. A text that is null
     or has no letter is `und` with score 1; so is every text, with score 0, of a
@@ -150,9 +151,10 @@ def predict(df: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col:
                     s = np.exp(s - s.max(1, keepdims=True))
                     best = np.where(letters[i:j], s.argmax(1), best)
                     score = np.where(letters[i:j], s.max(1) / s.sum(1), 1.0)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(score)], names=[id_col, "lang_pred", "score"])
+                columns = [batch.column(0).slice(i, j - i), pa.array(names[best], pa.string()), pa.array(score), *([batch.column(1).slice(i, j - i)] if keep_text else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=[id_col, "lang_pred", "score", *([text_col] if keep_text else [])])
 
-    kind = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double"
+    kind = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, lang_pred string, score double" + f", `{text_col}` string" * keep_text
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
     return df.select(F.col(id_col), F.col(text_col), letter).mapInArrow(run, kind)
 
