@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftgrain.config import Config
 from siftgrain.functions import exprs as X
 from siftgrain.operators.components import components
+from siftgrain.operators.stats import row_numbers
 
 
 def segments(photos: DataFrame, config: Config) -> DataFrame:
@@ -75,9 +76,9 @@ def review_sets(photos: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def set_names(photos: DataFrame) -> DataFrame:
-    """(set_no, review_set_id): sets numbered by their first photo. One row a set goes through one task."""
-    rank = F.row_number().over(Window.orderBy("set_no"))
-    return photos.select("set_no").distinct().withColumn("review_set_id", F.format_string("set_%06d", rank))
+    """(set_no, review_set_id): sets numbered by the time and name of their first photo."""
+    first = photos.groupBy("set_no").agg(F.min(F.struct("capture_time", "display_id")).alias("first")).select("set_no", "first.*")
+    return row_numbers(first, ["capture_time", "display_id"], "n").select("set_no", F.format_string("set_%06d", "n").alias("review_set_id"))
 
 
 def set_similarity(photos: DataFrame) -> DataFrame:

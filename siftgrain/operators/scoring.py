@@ -94,6 +94,19 @@ def explained(photos: DataFrame) -> DataFrame:
     return out.withColumns({"reasons": fill(F.col("badges"), t["default_reason"]), "weaknesses": fill(weaknesses, t["default_weakness"])})
 
 
+def with_foreground(analysis: DataFrame) -> DataFrame:
+    """analysis (image_metrics, person_mask structs) with the mask's area ratios as image_metrics.foreground; null without a mask."""
+    mask = F.col("person_mask")
+    own = F.struct(mask["foreground_area_ratio"].alias("foreground_area_ratio"), mask["foreground_enhanced_area_ratio"].alias("foreground_enhanced_area_ratio"), F.lit("person_mask").alias("source"))
+    return analysis.withColumn("image_metrics", F.col("image_metrics").withField("foreground", F.when(mask["foreground_area_ratio"].isNotNull(), own)))
+
+
+def empty_features() -> Column:
+    """The frame of score features before anything is known: every category with its weight and no value."""
+    weights = {"technical_quality": 0.35, "face_quality": 0.2, "iqa": 0.25, "composition": 0.2}
+    return F.struct(*[F.struct(F.lit(w).alias("weight"), F.lit(None).cast("double").alias("value")).alias(c) for c, w in weights.items()])
+
+
 def ui_state(recommendation: str) -> Column:
     r = F.col(recommendation)
     return F.when(r == "keep_candidate", "recommended_keep").when(r == "alternate_keeper", "recommended_alternate").when(r == "alternate", "user_undecided").otherwise("not_prioritized")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siftgrain.operators.store import write_table
+
 
 def nearest_rank(values: Column, p: float) -> Column:
     """An aggregate: the value at place round(p / 100 * (n - 1)) of the sorted values, halves to even."""
@@ -53,6 +55,24 @@ def batched(df: DataFrame, by: list[str], order: str, size: int) -> DataFrame:
     return df.withColumn("batch", F.floor((rn - 1) / size).cast("long"))
 
 
+def row_numbers(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """df with a number from 1 by the order columns, which tell all rows apart, over the whole table.
+
+    Rows are dealt out by ranges of the order; each range is numbered by itself,
+    from where the ranges before it end. What the driver holds is one count a range.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    dealt, _ = write_table(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "numbered")
+    before, ends = 0, []
+    for r in dealt.groupBy("_range").agg(F.count("*").alias("n")).orderBy("_range").collect():
+        ends.append((r["_range"], before))
+        before += r.n
+    offsets = spark.createDataFrame(ends, "_range int, _before long")
+    rn = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.withColumn(name, rn).join(F.broadcast(offsets), "_range").withColumn(name, F.col(name) + F.col("_before")).drop("_range", "_before")
+
+
 def review_summary(sets: DataFrame) -> DataFrame:
     """One row of counts over review sets (set_type, photos array<struct<recommendation>>, challenger_queue, keeper_ids)."""
     kind = lambda k: F.count_if(F.col("set_type") == k).alias(f"{k}_sets")

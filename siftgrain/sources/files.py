@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql import Window
 
 from siftgrain.config import EXTENSIONS, SILENT_EXTENSIONS, SILENT_NAMES, Config
 from siftgrain.functions import exprs as X
@@ -123,16 +120,7 @@ def folder_list(lines: DataFrame) -> DataFrame:
     return found.groupBy("folder").agg(F.min("line").alias("line")).orderBy("line")
 
 
-def numbered(df: DataFrame, order: list[str], name: str = "seq") -> DataFrame:
-    """df with a running number by the order columns, given in one task; for logs that are small or already partitioned."""
-    return df.withColumn(name, F.row_number().over(Window.orderBy(*order)))
-
-
 def byte_slice(content: str, offset: str, size: str) -> Column:
     """The JPEG at a place of a binary; null unless it begins like one."""
     part = F.substring(F.col(content), F.col(offset).cast("int") + 1, F.col(size).cast("int"))
     return F.when(F.substring(part, 1, 2) == F.lit(bytes.fromhex("FFD8")), part)
-
-
-def is_absolute(path: str) -> bool:
-    return re.match(r"^([a-z]+:)?/", path) is not None

@@ -122,3 +122,27 @@ def test_group_normalisation_of_one_value_and_no_spread(spark):
     df = spark.createDataFrame(rows, "set_no long, iqa double, score_missing array<string>")
     got = sorted((r.set_no, r.n_iqa) for r in ranking.group_normalized(df, categories=("iqa",)).collect())
     assert got == [(1, 0.3), (2, 0.5), (2, 0.5), (3, 0.1), (3, 0.9)]
+
+
+def test_row_numbers_and_command(spark, tmp_path):
+    from siftgrain.__main__ import main
+    from siftgrain.operators.stats import row_numbers
+
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("k")).repartition(7)
+    assert all(r.k + 1 == r.n for r in row_numbers(df, ["k"], "n").collect())
+    features(spark, 5).write.parquet(str(tmp_path / "photos"))
+    assert main(["review", str(tmp_path / "photos"), "--tables", str(tmp_path / "out"), "--progress", "quiet"], spark) == 0
+    assert spark.read.json(str(tmp_path / "out/summary")).first().photos == 5
+    assert spark.read.json(str(tmp_path / "out/review_sets")).first().review_set_id == "set_000001"
+    assert main(["review", str(tmp_path / "none"), "--tables", str(tmp_path / "out"), "--progress", "quiet"], spark) == 2
+    (tmp_path / "lib").mkdir()
+    (tmp_path / "lib/a.jpg").write_bytes(b"x")
+    spark.createDataFrame([("metadata", "1", "h")], "stage string, version string, config_hash string").write.parquet(str(tmp_path / "out/versions"))
+    assert main(["preprocess", str(tmp_path / "lib"), "--tables", str(tmp_path / "out"), "--progress", "jsonl"], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "out/todo")).count() == 1
+
+
+def test_foreground_enrichment(spark):
+    df = spark.sql("SELECT named_struct('x', 1) AS image_metrics, named_struct('foreground_area_ratio', 0.2D, 'foreground_enhanced_area_ratio', 0.3D) AS person_mask")
+    assert scoring.with_foreground(df).first().image_metrics.foreground.foreground_area_ratio == 0.2
+    assert df.select(scoring.empty_features().alias("f")).first().f.iqa.value is None
