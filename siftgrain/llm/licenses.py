@@ -24,6 +24,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftgrain.llm.store import write_table
+
 UNKNOWN = "unknown"
 
 # Phrases by which public licences are known, by family.
@@ -211,6 +213,7 @@ def scan_paragraphs(df: DataFrame, model: LicenseModel, id_col: str = "doc_id",
 
     around = F.transform("at", lambda i: F.array(*[gram(i, ahead, n) for n in (1, 2, 3) for ahead in range(n)]))
     own = own.select("key", "paragraph", "line", "w", F.array_distinct(F.array_compact(F.flatten(around))).alias("grams"))
+    own, _ = write_table(own, "licence-lines")  # few lines are left; both sides of the join below read them
     f = len(model.families)
     weights = _values(spark, [f"('{g}', array({', '.join(f'{v}D' for v in v_)}))" for g, v_ in sorted(model.weights.items())], "gram, weight")
     features = own.select("key", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
