@@ -26,4 +26,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL where it can express the operator."""
-    return {"op2_decontaminate": decontaminate.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}
+    return {"op2_decontaminate": decontaminate.SQL, "op3_embedding_dedup": embedding_dedup.SQL, "op6_suffix_dedup": suffix_dedup.SQL, "op8_jaccard_join": jaccard_join.SQL}

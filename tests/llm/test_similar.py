@@ -134,6 +134,10 @@ def test_repeats_of_a_whole_table(spark):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.query(spark, DATA).collect()} == want
 
 
+def test_repeats_are_those_of_the_sql(spark, same):
+    same(suffix_dedup.query(spark, DATA), suffix_dedup.SQL)
+
+
 def test_repeats_of_awkward_documents(spark):
     got = removed(docs(spark))
     want = brute_spans([(i, (t or "").encode()) for i, t, _ in awkward()], 50)
