@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import drop_table, write_table
+from siftgrain.llm.store import drop_table, small_batches, write_table
 
 #: Windows of a block of items.
 BLOCK_WINDOWS = 200_000
@@ -214,6 +214,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     out; other columns are not looked at. Empty documents give an empty result;
     without items nothing is hit.
     """
+    small_batches(docs.sparkSession)
     spark = docs.sparkSession
     # rows of equal id and text are alike in all that follows
     keyed = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("key"), F.col(text_col).alias("text"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.operators.components import components
-from siftgrain.llm.store import drop_table, write_table
+from siftgrain.llm.store import drop_table, small_batches, write_table
 
 #: Members of one code that are compared at a time.
 BLOCK = 512
@@ -186,6 +186,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     null id is a row, but its component is null and no component is named by
     it. Other columns are not looked at. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
     table, path = write_table(_prepared(rows), "vectors")

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.operators.components import components
-from siftgrain.llm.store import drop_table, only_ids, tasks, write_table
+from siftgrain.llm.store import drop_table, only_ids, small_batches, tasks, write_table
 
 #: Rows of the sample from which common shingles are learned, and how many are kept (8 bytes each are broadcast).
 SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
@@ -484,6 +484,7 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with a null component. Repeated rows come back repeated. Other columns,
     whatever their names, are not looked at. Empty tables give empty results.
     """
+    small_batches(df.sparkSession)
     spark, share = df.sparkSession, Fraction(str(threshold))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.filter("id IS NOT NULL")

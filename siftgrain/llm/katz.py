@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import drop_table, shared_folder, write_table
+from siftgrain.llm.store import drop_table, shared_folder, small_batches, write_table
 
 #: Text bytes of a unit, tokens that one task counts, and the largest count that is discounted.
 UNIT_BYTES, PART_TOKENS, LARGEST = 8 << 20, 2_500_000, 5
@@ -323,6 +323,7 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
     stand; other columns are not looked at; an empty table gives an empty
     result. hot_count changes the cost only.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     name = f"siftgrain_tokens_{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))

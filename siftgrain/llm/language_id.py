@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
+from siftgrain.llm.store import small_batches
 
 #: The label of a text without a letter.
 UNKNOWN = "und"
@@ -135,6 +136,7 @@ def predict(df: DataFrame, model: KernelModel, id_col: str = "doc_id", text_col:
     and rows with a null id are predicted like any other; other columns are not
     looked at; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.llm.pieces import BYTE, CONTROL, MARK, NORMAL, UNKNOWN, Pieces, marked, segments
+from siftgrain.llm.store import small_batches
 from siftgrain.llm.trie import SHORT_BYTES, WORDS, DoubleArray, char_sizes, matrix
 
 #: What an unknown character scores below the least score of a piece.
@@ -173,6 +174,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
     rows stay; other columns, whatever their names, are not looked at; an empty
     table gives an empty table. Whole texts are encoded, whatever their length.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(pieces)
     schema = f"`{id_col}` {df.schema[id_col].dataType.simpleString()}, n_bytes long, ids array<int>, score double" + ", decoded string" * decoded
 
@@ -209,6 +211,7 @@ def decode(df: DataFrame, pieces: Pieces, ids_col: str = "ids", out_col: str = "
     """
     from pyspark.sql import types as T
 
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(pieces)
     position = df.columns.index(ids_col)
 

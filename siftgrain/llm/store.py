@@ -7,10 +7,23 @@ from pyspark.sql import functions as F
 
 from siftgrain.operators.store import drop_table, shared_folder, write_table
 
+#: Bytes of a batch of rows on its way to Python.
+BATCH_BYTES = 8 << 20
+_BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
+
 #: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
 FILTER_BITS = 1 << 24
 
-__all__ = ["drop_table", "only_ids", "shared_folder", "tasks", "without_ids", "write_table"]
+__all__ = ["drop_table", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on batches of at most BATCH_BYTES go to Python, unless the session's setting isn't the default.
+
+    Rows hold whole texts; each task has a batch and its copies in the executor's memory outside the heap.
+    """
+    if spark.conf.get(_BATCH, str(_DEFAULT)).rstrip("b") == str(_DEFAULT):
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
 def tasks(spark: SparkSession, rows: int, each: int) -> int:

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import shared_folder, write_table
+from siftgrain.llm.store import shared_folder, small_batches, write_table
 from siftgrain.llm.suffix_array import maximal_repeats
 
 #: Bytes of an anchor.
@@ -394,6 +394,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     numbers; other columns are not looked at; an empty table gives an empty
     result.
     """
+    small_batches(df.sparkSession)
     spark = df.sparkSession
     gram = min(GRAM, window)
     name = f"siftgrain_blocks_{uuid.uuid4().hex}"

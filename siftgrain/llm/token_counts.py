@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.llm.pieces import Pieces, marked, segments
+from siftgrain.llm.store import small_batches
 from siftgrain.llm.trie import SHORT_BYTES, WORDS, DoubleArray, char_sizes, matrix
 
 #: Pairs of pieces that a task remembers at a time; beyond it they are checked anew.
@@ -187,6 +188,7 @@ def prefix_token_counts(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", t
     their names, are not looked at; an empty table gives an empty table. Texts
     of any length are handled, one at a time when long.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(pieces)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
