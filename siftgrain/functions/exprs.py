@@ -111,12 +111,15 @@ def source_id(rel_path: ColumnOrName) -> Column:
     return short_hash(rel_path, 20)
 
 
-def sanitize_display_id(stem: ColumnOrName, extension: ColumnOrName, rel_path: ColumnOrName) -> Column:
-    """stem_EXT with runs of other characters than letters, digits, '.', '_' and '-' as '_', and none of '._-' around."""
-    ext = F.upper(F.ltrim(_c(extension), F.lit(".")))
-    raw = F.when(ext == "", _c(stem)).otherwise(F.concat(_c(stem), F.lit("_"), ext))
-    out = F.btrim(F.regexp_replace(raw, "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
-    return F.when(out == "", F.concat(F.lit("photo_"), short_hash(rel_path, 8))).otherwise(out)
+def sanitize_display_id(stem: ColumnOrName, extension: ColumnOrName, file_name: ColumnOrName) -> Column:
+    """stem_EXT with runs of other characters than letters, digits, '.', '_' and '-' as '_', and none of '._-' around.
+
+    A file without a stem is a `photo`, one without an extension a `FILE`; where nothing is left, part of the name's hash names it.
+    """
+    first = F.coalesce(F.nullif(F.trim(_c(stem)), F.lit("")), F.lit("photo"))
+    ext = F.coalesce(F.nullif(F.upper(F.ltrim(_c(extension), F.lit("."))), F.lit("")), F.lit("FILE"))
+    out = F.btrim(F.regexp_replace(F.concat(first, F.lit("_"), ext), "[^A-Za-z0-9._-]+", "_"), F.lit("._-"))
+    return F.when(out == "", F.concat(F.lit("photo_"), short_hash(file_name, 8))).otherwise(out)
 
 
 def safe_name(x: ColumnOrName) -> Column:
@@ -130,9 +133,9 @@ def append_error(*parts: ColumnOrName) -> Column:
 
 
 def bytes_text(n: ColumnOrName) -> Column:
-    """A size in B, KB, ..., with one decimal below 10 (of all but B)."""
+    """A size in B, KB, ..., with one decimal below 10 (of all but B); 0 B for what is no size."""
     units = ["B", "KB", "MB", "GB", "TB"]
-    v = _c(n).cast("double")
+    v = F.greatest(F.lit(0.0), finite(n, 0.0))
     step = F.least(F.lit(4), F.when(v >= 1, F.floor(F.log(v) / F.log(F.lit(1024.0)) + 1e-12)).otherwise(0)).cast("int")
     x = v / F.pow(F.lit(1024.0), step)
     text = F.when((x < 10) & (step > 0), F.format_string("%.1f", x)).otherwise(F.format_string("%.0f", x))
@@ -141,19 +144,20 @@ def bytes_text(n: ColumnOrName) -> Column:
 
 def score_text(v: ColumnOrName) -> Column:
     """A score in hundredths; a dash where there is none."""
-    n = F.floor(_c(v) * 100 + 0.5).cast("long")
+    n = F.floor(finite(v) * 100 + 0.5).cast("long")
     return F.when(n.isNull(), "—").otherwise(n.cast("string"))
 
 
 def delta_text(v: ColumnOrName) -> Column:
-    """A difference in hundredths with its sign."""
-    n = F.floor(_c(v) * 100 + 0.5).cast("long")
-    return F.when(n.isNull(), "—").when(n > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))
+    """A difference in hundredths with a plus if it is positive; null where there is none."""
+    n = F.floor(finite(v) * 100 + 0.5).cast("long")
+    return F.when(finite(v) > 0, F.concat(F.lit("+"), n.cast("string"))).otherwise(n.cast("string"))
 
 
 def clip_text(shadow: ColumnOrName, highlight: ColumnOrName) -> Column:
-    """Shares of clipped shadows and highlights in percent."""
-    return F.format_string("阴影 %.1f%% · 高光 %.1f%%", finite(shadow, 0.0) * 100, finite(highlight, 0.0) * 100)
+    """Shares of clipped shadows and highlights in percent; null unless both are known."""
+    s, h = finite(shadow) * 100, finite(highlight) * 100
+    return F.when(s.isNotNull() & h.isNotNull(), F.format_string("阴影 %.1f%% · 高光 %.1f%%", s, h))
 
 
 # Media types by extension.

@@ -8,13 +8,25 @@ from pyspark.sql import functions as F
 from siftgrain.config import Config
 from siftgrain.functions import exprs as X
 
-ARTIFACTS = {"preview": "previews/{}.jpg", "thumb": "thumbs/{}.jpg", "analysis": "analysis/{}.json", "metadata": "metadata/{}.json", "embedding": "embeddings/{}.npy", "foreground_embedding": "embeddings/{}.fg.npy", "background_embedding": "embeddings/{}.bg.npy", "mask": "masks/{}.png", "foreground": "masks/{}.fg.jpg", "background": "masks/{}.bg.jpg"}
+# Where a photo's artifacts are below the cache folder.
+ARTIFACTS = {
+    "preview": "previews/{}.jpg",
+    "thumb": "thumbs/{}.jpg",
+    "embedding": "embeddings/{}.npy",
+    "foreground_embedding": "foreground_embeddings/{}.npy",
+    "background_embedding": "background_embeddings/{}.npy",
+    "person_mask": "masks/{}__person.png",
+    "person_enhanced_mask": "masks/{}__person_enhanced.png",
+    "foreground": "foregrounds/{}.jpg",
+    "background": "backgrounds/{}.jpg",
+    "analysis": "analysis/{}/analysis.json",
+}
 
 
 def identified(files: DataFrame) -> DataFrame:
     """files (rel_path, file_name, extension) with source_id and display_id; where several files have one display id, all get part of their source id."""
     stem = F.expr("substring(file_name, 1, length(file_name) - length(extension))")
-    out = files.withColumn("source_id", X.source_id("rel_path")).withColumn("base_id", X.sanitize_display_id(stem, "extension", "rel_path"))
+    out = files.withColumn("source_id", X.source_id("rel_path")).withColumn("base_id", X.sanitize_display_id(stem, "extension", "file_name"))
     several = F.count("*").over(Window.partitionBy("base_id")) > 1
     return out.withColumn("display_id", F.when(several, F.concat("base_id", F.lit("_"), F.substring("source_id", 1, 8))).otherwise(F.col("base_id"))).drop("base_id")
 

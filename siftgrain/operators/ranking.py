@@ -34,6 +34,24 @@ def blended(photos: DataFrame) -> DataFrame:
     return photos.withColumn("overall", X.weighted([(c if c == "base_overall" else f"n_{c}", w) for c, w in BLEND.items()]))
 
 
+# Why a photo is worth comparing, by code, and what a set's reasons say.
+CHALLENGES = {"close_score": "综合评分接近或更高，值得对比", "better_face": "人脸质量更好，但综合评分略低", "same_scene": "视觉相似度较高，可作为对比候选"}
+SINGLE = ("单张照片，无需组内对比", "建议保留该组唯一照片")
+SIMILAR, MAIN, CANDIDATES, MORE = "同一时间段内视觉相似", "系统默认给出 %d 张主推荐", "该组共有 %d 张候选", "另有 %d 张质量较高的备选保留候选"
+
+
+def challenge_text(reason: Column) -> Column:
+    return F.create_map(*[F.lit(x) for kv in CHALLENGES.items() for x in kv])[reason]
+
+
+def set_reasons(set_type: Column, photos: Column, primaries: Column, alternates: Column) -> Column:
+    """Why a set is as it is, in one to four sentences."""
+    said = X.texts((set_type.isNotNull(), SIMILAR))
+    said = F.concat(said, F.array(F.format_string(MAIN, primaries.cast("int")), F.format_string(CANDIDATES, photos.cast("int"))))
+    said = F.when(alternates > 0, F.concat(said, F.array(F.format_string(MORE, alternates.cast("int"))))).otherwise(said)
+    return F.when(set_type == "single", F.array(*map(F.lit, SINGLE))).otherwise(said)
+
+
 def keep_count(n: Column, config: Config) -> Column:
     wanted = F.when(n >= 9, 3).when(n >= 4, 2).otherwise(1)
     return F.greatest(F.lit(1), F.least(wanted, n, F.lit(config.max_keep)))
@@ -56,7 +74,7 @@ def challenger_queue(photos: DataFrame, key: str = "set_no") -> DataFrame:
     """(key, photo_id, rank, compare_to, is_alternate_keeper, similarity_to_primary, score_delta, reason) of all photos but the first."""
     first = photos.filter("rank = 1").select(key, F.col("display_id").alias("compare_to"), F.col("embedding").alias("_e"), F.col("overall").alias("_o"), F.col("face_quality").alias("_f"))
     met = photos.filter("rank > 1").join(first, key)
-    reason = F.when(F.col("overall") >= F.col("_o") - 0.03, "close_score").when(F.col("face_quality") > F.col("_f"), "better_face").otherwise("same_scene")
+    reason = F.when(F.col("overall") >= F.col("_o"), "close_score").when(F.col("face_quality") > F.col("_f"), "better_face").otherwise("same_scene")
     return met.select(
         key,
         F.col("display_id").alias("photo_id"),

@@ -14,20 +14,10 @@ METRICS = (
 )
 CATEGORIES = ("technical_quality", "face_quality", "iqa", "composition")
 
-# Texts of badges, warnings and weaknesses by code.
-TEXTS = {
-    "sharp": "技术质量好",
-    "face": "人脸质量好",
-    "iqa": "画质评分高",
-    "highlight": "高光溢出",
-    "shadow": "阴影死黑",
-    "underexposed": "曝光不足",
-    "overexposed": "曝光过度",
-    "best": "组内综合得分最高",
-    "default_reason": "综合表现稳定",
-    "default_weakness": "无明显缺点",
-    "missing": "缺少评分:",
-}
+# Reasons by badge, weaknesses by warning, and what stands where there are none.
+REASONS = {"technical_good": "技术质量较好", "face_good": "人脸质量较好", "iqa_good": "IQA 质量分较好"}
+WEAKNESSES = {"highlight_clip": "高光裁切偏多", "shadow_clip": "暗部裁切偏多", "underexposed": "整体亮度偏暗", "overexposed": "整体亮度偏亮"}
+NO_REASON, NO_WEAKNESS, MISSING = "组内综合评分可用", "暂无明显弱点", "缺少 %s 数据"
 
 
 def largest_face(faces: str) -> Column:
@@ -81,17 +71,17 @@ def scored(photos: DataFrame) -> DataFrame:
 
 
 def explained(photos: DataFrame) -> DataFrame:
-    """photos with badges, warnings, reasons and weaknesses."""
-    t = TEXTS
-    badges = X.texts((F.col("technical_quality") >= 0.75, t["sharp"]), ((F.col("face_quality") >= 0.75) & (F.col("face_count") > 0), t["face"]), (F.col("iqa") >= 0.7, t["iqa"]))
+    """photos with badges and warnings (codes), and with reasons and weaknesses (texts)."""
+    badges = X.texts((F.col("technical_quality") >= 0.75, "technical_good"), ((F.col("face_quality") >= 0.75) & (F.col("face_count") > 0), "face_good"), (F.col("iqa") >= 0.7, "iqa_good"))
     b = X.finite("brightness_mean")
     warnings = X.texts(
-        (X.finite("highlight_clip", 0.0) > 0.03, t["highlight"]), (X.finite("shadow_clip", 0.0) > 0.05, t["shadow"]), (b < 70, t["underexposed"]), (b > 190, t["overexposed"])
+        (X.finite("highlight_clip", 0.0) > 0.03, "highlight_clip"), (X.finite("shadow_clip", 0.0) > 0.05, "shadow_clip"), (b < 70, "underexposed"), (b > 190, "overexposed")
     )
     out = photos.withColumns({"badges": badges, "warnings": warnings})
-    weaknesses = F.concat("warnings", F.transform("score_missing", lambda c: F.concat(F.lit(t["missing"]), c)))
+    named = lambda codes, table: F.transform(codes, lambda c: F.create_map(*[F.lit(x) for kv in table.items() for x in kv])[c])
+    weaknesses = F.concat(named(F.col("warnings"), WEAKNESSES), F.transform("score_missing", lambda c: F.format_string(MISSING, c)))
     fill = lambda x, d: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(d)))
-    return out.withColumns({"reasons": fill(F.col("badges"), t["default_reason"]), "weaknesses": fill(weaknesses, t["default_weakness"])})
+    return out.withColumns({"reasons": fill(named(F.col("badges"), REASONS), NO_REASON), "weaknesses": fill(weaknesses, NO_WEAKNESS)})
 
 
 def with_foreground(analysis: DataFrame) -> DataFrame:

@@ -127,7 +127,7 @@ kept AS (SELECT *, CASE WHEN n >= 9 THEN 3 WHEN n >= 4 THEN 2 ELSE 1 END AS keep
 ranked AS (SELECT *, CASE WHEN rank = 1 THEN 'keep_candidate' WHEN rank <= keep_count THEN 'alternate_keeper' WHEN rank <= keep_count + 5 THEN 'alternate' ELSE 'lower_ranked' END AS recommendation FROM kept)"""
 QUEUE = f"""{RANK}, firsts AS (SELECT set_no, display_id AS compare_to, e AS fe, overall AS fo, face_quality AS ff FROM ranked WHERE rank = 1),
 queue AS (SELECT set_no, display_id AS photo_id, rank - 1 AS rank, compare_to, recommendation = 'alternate_keeper' AS is_alternate_keeper, list_cosine_similarity(e, fe) AS sim, overall - fo AS delta, overall,
-  CASE WHEN overall >= fo - 0.03 THEN 'close_score' WHEN face_quality > ff THEN 'better_face' ELSE 'same_scene' END AS reason FROM ranked JOIN firsts USING (set_no) WHERE rank > 1)"""
+  CASE WHEN overall >= fo THEN 'close_score' WHEN face_quality > ff THEN 'better_face' ELSE 'same_scene' END AS reason FROM ranked JOIN firsts USING (set_no) WHERE rank > 1)"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -339,8 +339,8 @@ def _(spark, sf_dir):
 
 
 @query("badges_warnings", f"""WITH {PHOTO}, {SCORE} SELECT photo_no,
-  concat_ws(',', CASE WHEN technical_quality >= 0.75 THEN '技术质量好' END, CASE WHEN face_quality >= 0.75 AND face_count > 0 THEN '人脸质量好' END, CASE WHEN iqa >= 0.7 THEN '画质评分高' END) AS badges,
-  concat_ws(',', CASE WHEN highlight > 0.03 THEN '高光溢出' END, CASE WHEN shadow > 0.05 THEN '阴影死黑' END, CASE WHEN bright < 70 THEN '曝光不足' END, CASE WHEN bright > 190 THEN '曝光过度' END) AS warnings FROM score""")
+  concat_ws(',', CASE WHEN technical_quality >= 0.75 THEN 'technical_good' END, CASE WHEN face_quality >= 0.75 AND face_count > 0 THEN 'face_good' END, CASE WHEN iqa >= 0.7 THEN 'iqa_good' END) AS badges,
+  concat_ws(',', CASE WHEN highlight > 0.03 THEN 'highlight_clip' END, CASE WHEN shadow > 0.05 THEN 'shadow_clip' END, CASE WHEN bright < 70 THEN 'underexposed' END, CASE WHEN bright > 190 THEN 'overexposed' END) AS warnings FROM score""")
 def _(spark, sf_dir):
     own = scoring.explained(scoring.scored(photos(spark, sf_dir)))
     return own.select("photo_no", F.array_join("badges", ",").alias("badges"), F.array_join("warnings", ",").alias("warnings"))
@@ -624,7 +624,7 @@ def _(spark, sf_dir):
     return own.withColumn("time", X.capture_time(F.concat("text", F.lit("+08:00"))).cast("string"))
 
 
-@query("score_text", "SELECT l_orderkey, l_linenumber, floor(l_discount * 100 + 0.5)::BIGINT::VARCHAR AS score, CASE WHEN floor((l_discount - 0.05) * 100 + 0.5) > 0 THEN '+' ELSE '' END || floor((l_discount - 0.05) * 100 + 0.5)::BIGINT AS delta FROM lineitem")
+@query("score_text", "SELECT l_orderkey, l_linenumber, floor(l_discount * 100 + 0.5)::BIGINT::VARCHAR AS score, CASE WHEN l_discount - 0.05 > 0 THEN '+' ELSE '' END || floor((l_discount - 0.05) * 100 + 0.5)::BIGINT AS delta FROM lineitem")
 def _(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", X.score_text("l_discount").alias("score"), X.delta_text(F.col("l_discount") - 0.05).alias("delta"))
 

@@ -32,6 +32,9 @@ class Review:
         queue = self.queue.groupBy("set_no").agg(F.sort_array(F.collect_list(F.struct("rank", "photo_id", "compare_to", "is_alternate_keeper", "similarity_to_primary", "score_delta", "reason"))).alias("challenger_queue"))
         slots = self.slots.groupBy("set_no").agg(F.sort_array(F.collect_list(F.struct("rank", "slot_id", "photo_id", "similarity_to_keeper", "score_delta", "reason"))).alias("slot_queue"))
         out = self.sets.join(members, "set_no").join(first, "set_no").join(queue, "set_no", "left").join(slots, "set_no", "left")
+        n = F.col("photo_count")
+        alternates = F.size(F.filter("photos", lambda p: p["recommendation"] == "alternate_keeper"))
+        out = out.withColumn("reason_summary", ranking.set_reasons(F.col("set_type"), n, F.lit(1), alternates))
         return out.withColumn("keeper_ids", F.array("primary_keeper_id")).withColumn("challenger_queue", F.coalesce("challenger_queue", F.array()))
 
     def summary(self) -> DataFrame:

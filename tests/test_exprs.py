@@ -50,7 +50,8 @@ def test_seconds_apart_has_fractions(spark):
 def test_names(spark):
     clean = X.sanitize_display_id(F.lit("a b/ü"), F.lit(".jpg"), F.lit("a b/ü.jpg"))
     assert one(spark, clean) == "a_b__JPG"
-    assert one(spark, X.sanitize_display_id(F.lit("..."), F.lit(""), F.lit("x"))).startswith("photo_")
+    assert one(spark, X.sanitize_display_id(F.lit("..."), F.lit(""), F.lit("..."))) == "FILE"
+    assert one(spark, X.sanitize_display_id(F.lit(" "), F.lit(".ü"), F.lit("x"))) == "photo"
     assert one(spark, X.safe_name(F.lit("ä b/c"))) == "ä_b_c"
     assert one(spark, X.append_error(F.lit("a"), F.lit(None).cast("string"), F.lit("b"))) == "a; b"
     assert one(spark, X.extension(F.lit("/x/.DS_Store"))) == ""
@@ -68,6 +69,9 @@ def test_texts(spark):
     assert [one(spark, X.bytes_text(F.lit(n))) for n in (0, 500, 1024, 10240, 5 << 30)] == ["0 B", "500 B", "1.0 KB", "10 KB", "5.0 GB"]
     assert one(spark, X.score_text(F.lit(None).cast("double"))) == "—"
     assert one(spark, X.delta_text(F.lit(0.031))) == "+3"
+    assert one(spark, X.delta_text(F.lit(-0.03))) == "-3" and one(spark, X.delta_text(F.lit(None).cast("double"))) is None
+    assert one(spark, X.bytes_text(F.lit(-5))) == "0 B"
+    assert one(spark, X.clip_text(F.lit(0.1), F.lit(0.02))) == "阴影 10.0% · 高光 2.0%" and one(spark, X.clip_text(F.lit(None).cast("double"), F.lit(0.02))) is None
     assert one(spark, X.mime(F.lit("a.HEIC"))) == "image/heic"
     assert one(spark, X.data_url(F.lit("a.png"), F.lit(bytes(range(70))))).startswith("data:image/png;base64,AAEC")
 
