@@ -22,8 +22,8 @@ METRIC_FIELDS = (
 
 
 def grey(rgb: np.ndarray) -> np.ndarray:
-    """Luminance by the usual weights."""
-    return rgb @ np.array([0.299, 0.587, 0.114]) if rgb.ndim == 3 else rgb.astype(float)
+    """Luminance by the usual weights, in whole steps."""
+    return np.floor(rgb @ np.array([0.299, 0.587, 0.114]) + 0.5) if rgb.ndim == 3 else rgb.astype(float)
 
 
 def _shifted(a: np.ndarray) -> np.ndarray:
@@ -60,7 +60,7 @@ def edge_density(g: np.ndarray) -> float:
     x, y = sobel(g)
     size = np.abs(x) + np.abs(y)
     mid = float(np.median(g))
-    low, high = max(0.0, 0.66 * mid), min(255.0, 1.33 * mid)
+    low, high = int(max(0.0, 0.66 * mid)), int(min(255.0, 1.33 * mid))
     angle = (np.degrees(np.arctan2(y, x)) + 180) % 180
     p = _shifted(size)
     h, w = size.shape
@@ -91,16 +91,15 @@ def motion_blur(g: np.ndarray) -> tuple[float, float]:
 
 
 def noise_proxy(g: np.ndarray) -> float:
-    """Deviation from the 3 by 3 mean where the gradient is among the lowest 30 %."""
+    """Deviation from a 5 by 5 Gaussian blur, as a share of the range, where the gradient is among the lowest 30 %."""
     if not g.size:
         return 0.0
-    p = _shifted(g)
-    h, w = g.shape
-    mean = sum(p[a : a + h, b : b + w] for a in (0, 1, 2) for b in (0, 1, 2)) / 9
-    x, y = sobel(g)
-    size = np.hypot(x, y)
-    flat = size <= np.percentile(size, 30)
-    return float((g - mean)[flat].std()) if flat.any() else 0.0
+    kernel = np.array([1, 4, 6, 4, 1]) / 16
+    p = np.pad(g, 2, mode="reflect") if min(g.shape) > 2 else np.pad(g, 2, mode="edge")
+    rows = sum(k * p[i : i + g.shape[0]] for i, k in enumerate(kernel))
+    blur = np.floor(sum(k * rows[:, i : i + g.shape[1]] for i, k in enumerate(kernel)) + 0.5)
+    size = np.hypot(*sobel(g))
+    return float((g - blur)[size <= np.percentile(size, 30)].std() / 255)
 
 
 def metrics(rgb: np.ndarray) -> dict[str, float]:
@@ -114,16 +113,16 @@ def metrics(rgb: np.ndarray) -> dict[str, float]:
     h, w = g.shape
     p01, p05, p50, p95, p99 = np.percentile(g, [1, 5, 50, 95, 99])
     top, low = rgb.max(2), rgb.min(2)
-    saturation = np.where(top > 0, (top - low) / np.maximum(top, 1e-9), 0.0)
+    saturation = np.floor(np.where(top > 0, 255 * (top - low) / np.maximum(top, 1e-9), 0.0) + 0.5)
     means = rgb.reshape(-1, 3).mean(0)
-    y0, x0 = h // 4, w // 4
-    center = g[y0 : max(y0 + 1, h - y0), x0 : max(x0 + 1, w - x0)]
+    center = g[int(h * 0.25) : int(h * 0.75), int(w * 0.25) : int(w * 0.75)]
     lap, center_lap = laplacian_var(g), laplacian_var(center)
+    middle = center.mean() if center.size else 0.0
     anisotropy, angle = motion_blur(g)
     values = (
         g.mean(), p50, p01, p05, p95, p99, (g <= 4).mean(), (g >= 251).mean(), (p95 - p05) / 255,
-        g.std() / 255, saturation.mean(), np.median(saturation), (saturation * 255 >= 250).mean(), top.mean(), np.linalg.norm(means - means.mean()) / 255, (means.max() - means.min()) / 255, lap, tenengrad(g), edge_density(g),
-        center_lap, tenengrad(center), center_lap / lap if lap > 1e-9 else 1.0, w / h, center.mean(), center.mean() - g.mean(), noise_proxy(g), anisotropy, angle,
+        g.std() / 255, saturation.mean() / 255, np.median(saturation) / 255, (saturation >= 250).mean(), top.mean() / 255, np.linalg.norm(means - means.mean()) / 255, (means.max() - means.min()) / max(means.mean(), 1e-6), lap, tenengrad(g), edge_density(g),
+        center_lap, tenengrad(center), (center_lap + 1e-6) / (lap + 1e-6), w / h, middle, middle - g.mean(), noise_proxy(g), anisotropy, angle,
     )
     return dict(zip(METRIC_FIELDS, map(float, values), strict=True))
 
@@ -149,9 +148,18 @@ def hashes(g: np.ndarray) -> dict[str, str]:
     """Average, difference and cosine-transform hashes of 64 bits, as hexadecimal digits."""
     small, wide = resized(g, 8, 8), resized(g, 8, 9)
     big, k = resized(g, 32, 32), np.arange(32)
-    basis = np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / 64)
+    basis = np.cos(np.pi * (2 * k[None] + 1) * k[:, None] / 64) * np.where(k == 0, 1 / 32, 1 / 16)[:, None] ** 0.5
     low = (basis @ big @ basis.T)[:8, :8]
-    return {"ahash": _hex(small > small.mean()), "dhash": _hex(wide[:, 1:] > wide[:, :-1]), "phash": _hex(low > np.median(low))}
+    return {"ahash": _hex(small > small.mean()), "dhash": _hex(wide[:, 1:] > wide[:, :-1]), "phash": _hex(low > np.median(low.ravel()[1:]))}
+
+
+def histograms(rgb: np.ndarray) -> dict[str, list[float]]:
+    """Shares of 16 and 64 steps of brightness, and of 64 steps of each colour."""
+    if rgb.ndim == 2:
+        rgb = np.repeat(rgb[..., None], 3, axis=2)
+    g, n = grey(rgb.astype(float)), max(1, rgb.shape[0] * rgb.shape[1])
+    count = lambda a, bins: (np.histogram(a, bins=bins, range=(0, 256))[0] / n).tolist()
+    return {"brightness_16": count(g, 16), "brightness": count(g, 64), "r": count(rgb[..., 0], 64), "g": count(rgb[..., 1], 64), "b": count(rgb[..., 2], 64)}
 
 
 def decode(row: dict) -> np.ndarray:
@@ -179,6 +187,7 @@ def _guarded(f: Callable[[dict], dict], names: tuple[str, ...], kind: T.DataType
 
 
 image_metrics = _guarded(lambda row: metrics(decode(row)), METRIC_FIELDS, T.DoubleType())
+image_histograms = _guarded(lambda row: histograms(decode(row)), ("brightness_16", "brightness", "r", "g", "b"), T.ArrayType(T.DoubleType()))
 image_hashes = _guarded(lambda row: hashes(grey(decode(row))), ("ahash", "dhash", "phash"), T.StringType())
 
 

@@ -137,7 +137,8 @@ def test_image_kernels(spark):
     assert set(map(len, h.values())) == {16}
     rows = [(24, 16, flat.ravel().tolist()), (24, 16, np.repeat(noisy[..., None], 3, 2).ravel().tolist()), (3, 3, [1])]
     df = spark.createDataFrame(rows, "width int, height int, pixels array<short>").withColumn("p", F.struct("width", "height", "pixels"))
-    got = df.select(images.image_metrics("p").alias("m"), images.image_hashes("p").alias("h")).collect()
+    got = df.select(images.image_metrics("p").alias("m"), images.image_hashes("p").alias("h"), images.image_histograms("p").alias("k")).collect()
+    assert got[0].k.brightness[25] == 1 and got[0].k.brightness_16[6] == 1 and sum(got[1].k.r) == pytest.approx(1)
     assert got[0].m.brightness_mean == pytest.approx(100) and got[1].m.contrast_std_ratio > 0.2 and got[2].m.error and got[2].h.error
 
 
