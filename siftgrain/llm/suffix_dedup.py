@@ -37,13 +37,15 @@ from siftgrain.llm.suffix_array import maximal_repeats
 #: Bytes of an anchor.
 GRAM = 20
 #: Text bytes of a block; a longer document is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 4 << 20
+#: Text bytes of a block that are hashed at a time.
+PIECE_BYTES = 1 << 19
 #: Blocks of a unit.
-UNIT = 24
+UNIT = 2
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
-ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 1_000_000, 6 << 20, 1 << 20
+ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 600_000, 4 << 20, 1 << 20
 #: Blocks that a hot anchor stands in, at least.
-HOT_BLOCKS = 4096
+HOT_BLOCKS = 1024
 _U64 = np.uint64
 
 
@@ -59,6 +61,24 @@ def _full(x: bytes, kind) -> np.ndarray:
 
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, first, last) of the anchors of a block: the strings that begin at first..last have the anchor."""
+    parts = []
+    for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
+        h, row, first, last = _piece(data[at[i] : at[j]], at[i : j + 1] - at[i], window, gram)
+        parts.append((h, row + i, first + at[i], last + at[i]))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _piece(data, at, window, gram)
+
+
+def _span_hashes(data: np.ndarray, at: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of byte strings of a block's rows."""
+    out = np.zeros(len(row), _U64)
+    for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
+        own = np.flatnonzero((row >= i) & (row < j))
+        if len(own):
+            out[own] = K.span_hash(K.prefix_hash(data[at[i] : at[j]]), begin[own] - at[i], end[own] - at[i])
+    return out
+
+
+def _piece(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data) - window + 1
     if n <= 0:
@@ -203,17 +223,17 @@ def _contexts(r: dict, answers: list[dict], window: int, gram: int, parts: int,
     take = found[back] & known[row] if len(h) else np.zeros(0, bool)
     own_hot = hot[back][take] if len(h) else take
     h, row, first, last = h[take], row[take], first[take], last[take]
-    sums = K.prefix_hash(data)
     # the strings of hot anchors one by one
     n = (last - first + 1)[own_hot]
     starts = np.repeat(first[own_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    key = np.concatenate([h[~own_hot], K.span_hash(sums, starts, starts + window)])
-    row = np.concatenate([row[~own_hot], np.repeat(row[own_hot], n)])
+    hot_row = np.repeat(row[own_hot], n)
+    key = np.concatenate([h[~own_hot], _span_hashes(data, at, hot_row, starts, starts + window)])
+    row = np.concatenate([row[~own_hot], hot_row])
     begin = np.concatenate([first[~own_hot], starts])
     end = np.concatenate([last[~own_hot], starts]) + window
     if not len(key):
         return
-    text = K.span_hash(sums, begin, end)
+    text = _span_hashes(data, at, row, begin, end)
     order = np.lexsort((ids[row], text, key))
     key, row, begin, end, text = key[order], row[order], begin[order], end[order], text[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
@@ -253,7 +273,7 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
     doc = np.concatenate([np.cumsum(_full(r["ids"], np.int64)) for r in rows])
     at = np.concatenate([[0], np.cumsum(size)])
     text = np.zeros(len(size), _U64)
-    for i, j in K.chunks(at[:-1], at[1:], BLOCK_BYTES):
+    for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
         text[i:j] = K.span_hash(K.prefix_hash(body[at[i] : at[j]]), at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
     # equal contexts of different blocks are one
     order = np.lexsort((text, key))
