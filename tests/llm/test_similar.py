@@ -164,6 +164,13 @@ def test_decontamination_is_its_sql(spark, same):
     same(decontaminate.query(spark, DATA), decontaminate.SQL)
 
 
+def test_decontamination_in_blocks_of_items(spark, monkeypatch):
+    tables = [spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark")]
+    want = sorted(map(tuple, decontaminate.contamination(*tables).collect()), key=str)
+    monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", 400)
+    assert sorted(map(tuple, decontaminate.contamination(*tables).collect()), key=str) == want
+
+
 def test_decontamination_of_awkward_tables(spark):
     items = spark.createDataFrame([(1, prose(30, 1)), (2, None), (3, ""), (4, "ONE"), (None, prose(40, 13)), (4, "one"), (10, prose(200, 4)[100:300])], "item_id long, text string").withColumn("doc_id", F.lit(1))
     rows = decontaminate.contamination(docs(spark), items).collect()
