@@ -47,13 +47,13 @@ SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
 #: A common shingle is in one of so many documents of the sample, at least.
 COMMON_IN = 500
 #: Index rows that one task sorts.
-INDEX_ROWS = 2_000_000
+INDEX_ROWS = 1_000_000
 #: Records of a content that are all paired, and records whose sketches are compared at a time.
-PAIRED, BLOCK = 5, 512
+PAIRED, BLOCK = 5, 256
 #: Records of one batch from which on a content's records don't go through the index but its least.
 PREPAIRED = 16
 #: Records of large contents whose sketches one task gets.
-COMPARED_ROWS = 30_000
+COMPARED_ROWS = 20_000
 #: Bits of a sketch for each bit of a set's size.
 SKETCH = 4
 _U64 = np.uint64
@@ -296,6 +296,7 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     Of a key with few records all pairs, each pair once and without the key;
     else, and of a hot key, (key, record, null).
     """
+    K.settle()
     parts = [tuple(b.column(k).to_numpy(zero_copy_only=False) for k in range(3)) for b in batches if b.num_rows]
     if not parts:
         return
@@ -325,6 +326,8 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, len(more), 1 << 16):
         part = more[k : k + (1 << 16)]
         yield pa.RecordBatch.from_arrays([pa.array(key[part]), pa.array(own[part]), pa.nulls(len(part), pa.int64())], names=["key", "a", "b"])
+    del key, own, hot, order, large, pairs
+    K.settle()
 
 
 def _units(members: DataFrame) -> DataFrame:
@@ -363,7 +366,7 @@ def _compared(members: DataFrame, known: DataFrame, threshold: Fraction, tasks_:
                     return x
 
                 a, b = folded(i), folded(j)
-                step = max(1, (1 << 21) // max(1, b.size))
+                step = max(1, (1 << 19) // max(1, b.size))
                 for k in range(0, len(i), step):
                     part = i[k : k + step]
                     far = np.bitwise_count(a[k : k + step, None] ^ b[None]).sum(2, dtype=np.int64)
@@ -398,6 +401,7 @@ def _compared(members: DataFrame, known: DataFrame, threshold: Fraction, tasks_:
         return both[0], both[1]
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        K.settle()
         key, x, y, side, own, label = (left.column(c).to_numpy() for c in ("key", "x", "y", "side", "id", "label"))
         ids, size = right.column("own").to_numpy(), right.column("size").to_numpy()
         sketches = right.column("sketch").combine_chunks()
@@ -421,6 +425,8 @@ def _compared(members: DataFrame, known: DataFrame, threshold: Fraction, tasks_:
                 i, j = tree(len(rows), i, j, far)
             pairs.append(np.stack([own[rows][i], own[rows][j]], 1))
         both = np.unique(np.sort(np.concatenate(pairs), axis=1), axis=0) if pairs else np.zeros((0, 2), np.int64)
+        pairs.clear()
+        K.settle()
         return pa.Table.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
     return units.groupBy("part").cogroup(wanted.groupBy("task")).applyInArrow(run, "a long, b long").distinct()

@@ -336,6 +336,7 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
 
     def by_part(answer):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            K.settle()
             held: dict[int, list[dict]] = {}
             for b in batches:
                 for r in b.to_pylist():
@@ -343,6 +344,8 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
             for p in sorted(held):
                 rows = sorted(held.pop(p), key=lambda r: r["unit"])
                 yield pa.RecordBatch.from_pylist(list(answer(rows)), schema=_schema(_ANSWERS))
+            rows = None
+            K.settle()
 
         return run
 

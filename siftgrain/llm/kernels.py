@@ -121,6 +121,7 @@ def chunks(start: np.ndarray, end: np.ndarray, limit: int = CHUNK_BYTES) -> Iter
         j = min(n, max(j, i + 1))
         yield i, j
         i = j
+    settle()
 
 
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -201,6 +201,8 @@ def _met(announced: DataFrame, hot_blocks: int) -> DataFrame:
                     columns = [[r["unit"]], [r["block"]], [r["part"]], [np.packbits(found[a:b]).tobytes()], [np.packbits(hot[a:b]).tobytes()], [int(found[a:b].sum())]]
                     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["unit", "block", "part", "found", "hot", "repeated"])
+            del own, hashes, several, all_, order, ordered, group, found, hot
+            K.settle()
 
     return announced.mapInArrow(run, "unit long, block int, part int, found binary, hot binary, repeated long")
 
