@@ -2,7 +2,10 @@
 
 A paragraph is a line. Its features are the n-grams of up to three words that
 hold a key word of the templates; a line with less than two of these words is
-no licence, whatever else it says. A multinomial logistic regression over the
+no licence, whatever else it says. A licence that is wrapped over several lines,
+or stands beside another one, is found as a passage: a run of words, over lines
+with words in them, that holds a template in large part and little else; it is
+classified as a paragraph is. A multinomial logistic regression over the
 licence families and `unknown` gives each family's probability; a temperature,
 fitted on paragraphs kept from training, calibrates it. A predicted family counts
 as confirmed when one of the family's templates is in the paragraph in large
@@ -82,6 +85,8 @@ LEAST_KEYS = 2
 COMMON = frozenset("a an and any are as at be by for from has he her here his in is it its may nor not of on or that the their this to was were will with you your all no she one up out if so do".split())
 
 _SPLIT = r"[^a-z0-9.]+|\.(?![0-9])"
+#: As _SPLIT, with line ends as words.
+_TOKENS = r"[^a-z0-9.\n]+|\.(?![0-9])|(?<=\n)|(?=\n)"
 
 
 def tokens(text: str) -> list[str]:
@@ -203,8 +208,15 @@ def scan_paragraphs(df: DataFrame, model: LicenseModel, id_col: str = "doc_id",
     w = F.split(F.lower("line"), _SPLIT)
     likely = F.size(F.array_intersect(w, F.array(*map(F.lit, keys)))) >= LEAST_KEYS
     own = lines.filter(likely).distinct().withColumn("w", words(F.col("line")))
+    return _classified(own, model, keys, confirm)
+
+
+def _classified(own: DataFrame, model: LicenseModel, keys: list[str], confirm: float) -> DataFrame:
+    """family, probability, similarity and confirmed of each row of own (key, paragraph, line, w and perhaps others); line is renamed text."""
+    spark, by = own.sparkSession, [c for c in own.columns if c not in ("line", "w")]
     at_key = F.filter(F.transform("w", lambda x, i: F.when(x.isin(keys), i + 1)), lambda i: i.isNotNull())
     own = own.withColumn("at", at_key)
+    held = [c for c in own.columns if c != "at"]
 
     def gram(at: Column, ahead: int, n: int) -> Column:
         """The n words from `ahead` words ahead of a key word; null where there are not so many."""
@@ -212,39 +224,113 @@ def scan_paragraphs(df: DataFrame, model: LicenseModel, id_col: str = "doc_id",
         return F.when((begin >= 1) & (begin + n - 1 <= F.size("w")), F.array_join(F.slice("w", F.greatest(begin, F.lit(1)), n), " "))
 
     around = F.transform("at", lambda i: F.array(*[gram(i, ahead, n) for n in (1, 2, 3) for ahead in range(n)]))
-    own = own.select("key", "paragraph", "line", "w", F.array_distinct(F.array_compact(F.flatten(around))).alias("grams"))
+    own = own.select(*held, F.array_distinct(F.array_compact(F.flatten(around))).alias("grams"))
     own, _ = write_table(own, "licence-lines")  # few lines are left; both sides of the join below read them
     f = len(model.families)
     weights = _values(spark, [f"('{g}', array({', '.join(f'{v}D' for v in v_)}))" for g, v_ in sorted(model.weights.items())], "gram, weight")
-    features = own.select("key", "paragraph", F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
-    sums = features.groupBy("key", "paragraph").agg(*[F.sum(F.col("weight")[k]).alias(f"z{k}") for k in range(f)])
-    scored = own.join(sums, ["key", "paragraph"], "left")
+    features = own.select(*by, F.size("grams").alias("n"), F.explode("grams").alias("gram")).join(F.broadcast(weights), "gram")
+    sums = features.groupBy(*by).agg(*[F.sum(F.col("weight")[k]).alias(f"z{k}") for k in range(f)])
+    scored = own.join(sums, by, "left")
     scale = F.sqrt(F.size("grams").cast("double"))
     z = F.array(*[(F.lit(b) + F.coalesce(F.col(f"z{k}"), F.lit(0.0)) / scale) / model.temperature for k, b in enumerate(model.bias)])
     scored = scored.withColumn("z", z).withColumn("top", F.array_max("z"))
     e = F.aggregate(F.transform("z", lambda x: F.exp(x - F.col("top"))), F.lit(0.0), lambda s, x: s + x)
     best = F.array_position("z", F.col("top")).cast("int")
-    scored = scored.select("key", "paragraph", F.col("line").alias("text"), "w", F.element_at(F.array(*map(F.lit, model.families)), best).alias("family"), (1 / e).alias("probability"))
+    scored = scored.select(*held, F.element_at(F.array(*map(F.lit, model.families)), best).alias("family"), (1 / e).alias("probability"))
     rows = [f"('{k}', array({', '.join(repr(w) for w in sorted(set(tokens(t))))}))" for k, own_ in sorted(TEMPLATES.items()) for t in own_]
     templates = _values(spark, rows, "family, template").groupBy("family").agg(F.collect_list("template").alias("templates"))
     met = scored.join(F.broadcast(templates), "family", "left")
     share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("w"))) / F.size(t))
     similarity = F.coalesce(F.array_max(share), F.lit(0.0))
-    return met.select("key", "paragraph", "text", "family", "probability", similarity.alias("similarity"), ((F.col("family") != UNKNOWN) & (similarity >= confirm)).alias("confirmed"))
+    return met.select(*[F.col(c).alias("text") if c == "line" else c for c in held if c != "w"], "family", "probability", similarity.alias("similarity"), ((F.col("family") != UNKNOWN) & (similarity >= confirm)).alias("confirmed"))
+
+
+def _without_overlaps(spans: Column) -> Column:
+    """Of an array of structs with place, begin and end, best first, those that no better one of the same place overlaps."""
+
+    def free(held: Column, x: Column) -> Column:
+        return F.when(F.exists(held, lambda y: (y["place"] == x["place"]) & (y["begin"] <= x["end"]) & (x["begin"] <= y["end"])), held).otherwise(F.concat(held, F.array(x)))
+
+    return F.aggregate(spans, F.filter(spans, lambda x: F.lit(False)), free)
+
+
+def scan_passages(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text", confirm: float = 0.75) -> DataFrame:
+    """(key, paragraph, last, place, begin, end, text, family, probability, similarity) of the passages that a template confirms.
+
+    paragraph and last are the places of the lines where the passage begins and
+    ends; place, begin and end its place among the words. A passage has at most
+    1 / confirm times a template's words, and no line without words in it.
+    """
+    keys = key_words()
+    longest = math.ceil(max(len(tokens(t)) for own in TEMPLATES.values() for t in own) / confirm)
+    rows = [F.struct(F.array(*map(F.lit, sorted(set(tokens(t))))).alias("d"), F.lit(math.ceil(len(tokens(t)) / confirm)).alias("most")) for _, own_ in sorted(TEMPLATES.items()) for t in own_]
+    templates, known = F.array(*rows), sorted({w for own_ in TEMPLATES.values() for t in own_ for w in tokens(t)})
+
+    def held(t: Column, w: Column) -> Column:
+        return F.size(F.array_intersect(t["d"], w)) >= confirm * F.size(t["d"])
+
+    # few documents have the words of a template at all; an array of one binds them, so that the text is split once
+    some = F.array(F.array_intersect(F.split(F.lower(text_col), _SPLIT), F.array(*map(F.lit, known))))
+    likely = F.exists(some, lambda w: (F.size(F.array_intersect(w, F.array(*map(F.lit, keys)))) >= LEAST_KEYS) & F.exists(templates, lambda t: held(t, w)))
+    own = df.filter(F.col(text_col).isNotNull() & likely).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("key"), F.filter(F.split(F.lower(text_col), _TOKENS), lambda x: x != "").alias("t"))
+    own = own.withColumn("at", F.filter(F.transform("t", lambda x, i: F.when(x.isin(keys), i + 1)), lambda i: i.isNotNull()))
+    own, _ = write_table(own, "licence-documents")  # else the filters below would split the texts again, for each element
+    # regions of words around key words; between two regions lie more words than a passage has
+    far = 4 * longest  # t has line ends as well
+
+    def ends(step: int) -> Column:
+        beside = F.transform("at", lambda i, k: F.when(F.abs(F.coalesce(F.try_element_at("at", F.when(k + step >= 0, k + 1 + step)), F.lit(-far)) - i) >= far, i))
+        return F.filter(beside, lambda i: i.isNotNull())
+
+    own = own.filter(F.size("at") >= LEAST_KEYS).select("key", "t", F.arrays_zip(ends(-1).alias("a"), ends(1).alias("b")).alias("regions"))
+    begin = lambda r: F.greatest(r["a"] - far // 2 + 1, F.lit(1))
+    regions = F.transform("regions", lambda r: F.struct(begin(r).alias("place"), F.slice("t", begin(r), r["b"] + far // 2 - begin(r)).alias("t")))
+    likely = F.filter(regions, lambda r: F.size(F.array_distinct(F.filter(r["t"], lambda x: x.isin(keys)))) >= LEAST_KEYS)
+    lines_before = F.transform("regions", lambda r: F.struct(r["place"], r["t"], F.size(F.filter(F.slice("t", 1, r["place"] - 1), lambda x: x == "\n")).alias("before")))
+    own = own.select("key", "t", likely.alias("regions")).filter(F.size("regions") > 0).select("key", F.explode(lines_before).alias("r")).select("key", "r.*").distinct()
+    # words with their lines; a line without words stands as one empty word
+    parts = F.split(F.array_join("t", " "), "\n")
+    of_line = F.transform(parts, lambda x, k: F.transform(F.coalesce(F.nullif(F.filter(F.split(x, " "), lambda w: w != ""), F.array().cast("array<string>")), F.array(F.lit(""))), lambda w: F.struct(w.alias("w"), (k + F.col("before")).alias("line"))))
+    own = own.select("key", "place", F.flatten(of_line).alias("x")).select("key", "place", F.col("x.w").alias("words"), F.col("x.line").alias("lines"))
+    own, _ = write_table(own, "licence-regions")
+    met = F.filter(templates, lambda t: held(t, F.col("words")))
+    own = own.select("key", "place", "words", "lines", F.explode(met).alias("template")).select("key", "place", "words", "lines", "template.*")
+    begins = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("d", w), i + 1)), lambda i: i.isNotNull())
+    own = own.withColumn("runs", F.transform(begins, lambda i: F.struct(i.alias("begin"), F.element_at(F.split(F.array_join(F.slice("words", i, F.col("most")), " "), "  | $"), 1).alias("run"))))
+    own = own.withColumn("runs", F.transform("runs", lambda r: F.struct(r["begin"], F.split(r["run"], " ").alias("run"))))
+    own = own.withColumn("runs", F.transform("runs", lambda r: F.struct(r["begin"], F.transform(F.array_intersect("d", r["run"]), lambda w: F.array_position(r["run"], w)).alias("found"))))
+    spans = F.transform(F.filter("runs", lambda r: F.size(r["found"]) >= confirm * F.size("d")), lambda r: F.struct((-F.size(r["found"])).alias("order"), F.array_max(r["found"]).alias("n"), r["begin"].alias("begin"), (r["begin"] + F.array_max(r["found"]) - 1).alias("end"), F.col("place").alias("place")))
+    own = own.withColumn("s", F.array_sort(spans)).withColumn("s", F.explode(_without_overlaps(F.col("s"))))
+    w = F.slice("words", F.col("s.begin"), F.col("s.n").cast("int"))
+    own = own.select("key", F.element_at("lines", F.col("s.begin").cast("int")).alias("paragraph"), F.element_at("lines", F.col("s.end").cast("int")).alias("last"), "place", "s.begin", "s.end", F.array_join(w, " ").alias("line"), w.alias("w"))
+    return _classified(own.distinct(), model, keys, confirm).filter("confirmed").drop("confirmed")
 
 
 def scan(df: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For each row of df: id, n_paragraphs, licences array<struct<paragraph, family, probability, similarity>> (confirmed ones, in order), families array<string>, n_doubtful.
 
-    n_doubtful counts paragraphs that were given a family that no template
-    confirmed. A null text has no paragraphs, an empty one has one. Rows with a
+    Passages are licences of the line that they begin in, unless a line that they
+    touch is one of the same family, or a passage that holds more of its template
+    overlaps them. n_doubtful counts paragraphs that were given a family that no
+    template confirmed, neither in them nor in a passage that touches them. A null text has no paragraphs, an empty one has one. Rows with a
     null id, and repeated rows, are rows of their own; other columns are not
     looked at; an empty table gives an empty result.
     """
     found = scan_paragraphs(df, model, id_col, text_col).filter(F.col("family") != UNKNOWN)
     part = F.struct("paragraph", "family", "probability", "similarity")
-    held = found.groupBy("key").agg(F.sort_array(F.collect_list(F.when(F.col("confirmed"), part))).alias("licences"), F.sum((~F.col("confirmed")).cast("long")).alias("n_doubtful"))
-    held = held.select(F.col("key.id").alias("held_id"), F.col("key.digest").alias("held_digest"), "licences", "n_doubtful")
+    found = found.groupBy("key").agg(F.collect_list(F.when(F.col("confirmed"), part)).alias("whole"), F.collect_list(F.when(~F.col("confirmed"), F.col("paragraph"))).alias("doubtful"))
+    best = F.struct((-F.col("similarity")).alias("s"), (-F.col("probability")).alias("p"), "place", "begin", "end", "last", part.alias("part"))
+    passages = scan_passages(df, model, id_col, text_col).groupBy("key").agg(F.sort_array(F.collect_list(best)).alias("passages"))
+    passages = passages.withColumn("passages", _without_overlaps(F.col("passages")))
+    held = found.join(passages, "key", "full").withColumns({"whole": F.coalesce("whole", F.transform(F.filter("passages", lambda x: F.lit(False)), lambda x: x["part"])), "doubtful": F.coalesce("doubtful", F.array().cast("array<int>"))})
+
+    def within(x: Column, line: Column) -> Column:
+        return (x["part"]["paragraph"] <= line) & (line <= x["last"])
+
+    added = F.filter("passages", lambda x: ~F.exists("whole", lambda y: (y["family"] == x["part"]["family"]) & within(x, y["paragraph"])))
+    licences = F.sort_array(F.concat("whole", F.coalesce(F.transform(added, lambda x: x["part"]), F.filter("whole", lambda x: F.lit(False)))))
+    doubtful = F.filter("doubtful", lambda line: ~F.coalesce(F.exists("passages", lambda x: within(x, line)), F.lit(False)))
+    held = held.select(F.col("key.id").alias("held_id"), F.col("key.digest").alias("held_digest"), licences.alias("licences"), F.coalesce(F.size(doubtful), F.lit(0)).cast("long").alias("n_doubtful"))
     rows = df.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).alias("n"), F.col(text_col).isNull().alias("none"))
     out = rows.join(held, F.col("id").eqNullSafe(F.col("held_id")) & (F.col("digest") == F.col("held_digest")), "left")
     empty = F.filter(F.array(F.struct(F.lit(0).alias("paragraph"), F.lit("").alias("family"), F.lit(0.0).alias("probability"), F.lit(0.0).alias("similarity"))), lambda x: F.lit(False))

@@ -188,3 +188,34 @@ def test_licences_of_awkward_documents(spark, model):
     assert licenses.scan(empty(spark), model).count() == 0
     plan = licenses.scan(df, model)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+WRAPPED = {
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software and associated documentation files (the\n\"Software\"), to deal in the Software without restriction.",
+    "bsd": "# Redistribution and use in source and binary forms, with or without\n# modification, are permitted provided that the following conditions are\n# met: no others",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\r\npurpose with or without fee is hereby granted, provided that the above\r\ncopyright notice appears.",
+}
+BOTH = "Released under the MIT License, and some parts are licensed under the Apache License, Version 2.0."
+
+
+def test_licences_over_lines_and_beside_each_other(spark, model):
+    from textwrap import fill
+
+    rows = [(k, text, "en") for k, text in enumerate(WRAPPED.values())]
+    rows += [(10 + k, "words of a story\n" * 300 + "\n" + fill(text, 20) + "\n\nthe end", "en") for k, text in enumerate(WRAPPED.values())]
+    rows += [(20, BOTH, "en"), (21, fill(BOTH, 30), "en"), (22, WRAPPED["mit"] + "\n\n" + WRAPPED["bsd"], "en"), (23, WRAPPED["mit"].replace("\n", "\n\n"), "en"), (None, WRAPPED["isc"], "en")]
+    got = {r.doc_id: r for r in licenses.scan(docs(spark, rows), model).collect()}
+    for k, family in enumerate(WRAPPED):
+        assert got[k].families == [family] and len(got[k].licences) == 1 and got[k].licences[0].paragraph == 0, family
+        assert got[10 + k].families == [family] and got[10 + k].licences[0].paragraph == 301 and got[10 + k].n_doubtful == 0
+    assert got[20].families == got[21].families == ["apache", "mit"]
+    assert [x.family for x in got[22].licences] == ["mit", "bsd"] and got[23].families == [] and got[None].families == ["isc"]
+
+
+def test_each_template_is_found_however_it_is_wrapped(spark, model):
+    from textwrap import fill
+
+    every = [(family, t) for family, own in sorted(licenses.TEMPLATES.items()) for t in own]
+    rows = [(100 * width + k, fill(t, width, break_long_words=False), "en") for width in (1, 20, 72) for k, (_, t) in enumerate(every)]
+    for r in licenses.scan(docs(spark, rows), model).collect():
+        assert r.families == [every[r.doc_id % 100][0]], (r, every[r.doc_id % 100])
