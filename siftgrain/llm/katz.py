@@ -311,7 +311,7 @@ def _reduced(rows: list[dict], level: int, unigrams: dict) -> Iterator[dict]:
     yield {"level": level, "part": rows[0]["part"], "unit": -1, "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr, "hot": parts}
 
 
-def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = 2, hot_count: int = HOT_COUNT) -> DataFrame:
+def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3, hot_count: int = HOT_COUNT) -> DataFrame:
     """For each row of df: id, n_tokens, n_known, train_tokens, base_score and score.
 
     train: the name of a boolean column that says which rows the model learns from
@@ -441,7 +441,7 @@ def held_out(id_col: str):
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op4: bigram Katz scores of all documents, learned from those that aren't held out."""
+    """op4: trigram Katz scores of all documents, learned from those that aren't held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", (~held_out("doc_id")).alias("train"))
     out = katz_scores(docs, "train")
     return out.select("doc_id", held_out("doc_id").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -71,6 +71,14 @@ def test_katz_is_brute_force(spark, order, hot):
         assert got[i].score == pytest.approx(b.score(own), rel=1e-9)
 
 
+def test_katz_query_is_of_order_3(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    b = Brute([tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    got = {r.doc_id: r.score for r in katz.query(spark, DATA).collect()}
+    short = sorted(rows, key=lambda r: len(r[1] or ""))[:40]
+    assert all(got[i] == pytest.approx(b.score(tokens(t)), rel=1e-9) for i, t in short)
+
+
 def test_katz_distributions_sum_to_one():
     texts = [tokens(t) for t in ("a b a b a c", "a b c d e a b", "f a b a b a b a b a b a b", "c c c c c c c c")]
     b = Brute(texts, 3)
