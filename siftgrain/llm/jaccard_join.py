@@ -16,14 +16,16 @@ is none of them. Records with more index all contents. Which shingles count as
 common, and K, change the cost, never the result.
 
 Candidates that differ too much already by a parity sketch (a lower bound of the
-difference, never above it) go; every other one is verified on the exact sets.
-Records of equal sets are one class from the start. The few records of a usual
-content are all paired. The records of a content with more are compared by their
-sketches, block by block, each block pair a unit of its own; what leaves a unit
-is a spanning forest of the pairs that a sketch doesn't rule out. Where a link of
-a forest turns out to be none, and so records are still in different components,
-all pairs between these components follow. No link between groups is lost, and a
-large group of copies yields no more rows than it has members.
+difference, never above it) go; every other one is verified on the words of both
+texts. Records of equal sets, by 128 bits of digest and size, are one class from
+the start. The few records of a usual content are all paired. The records of a
+content with more are dealt into blocks, and each block is compared by sketches
+with itself and the content's least record; what leaves a block is a spanning
+forest of the pairs that a sketch doesn't rule out. Where records are still in
+different components after that, all pairs between these components follow, block
+pair by block pair; blocks of one component aren't compared with each other. No
+link between groups is lost, and a large group of copies costs a number of
+comparisons that grows with its members, not with their square.
 """
 
 from __future__ import annotations
@@ -40,7 +42,8 @@ from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
 from siftgrain.operators.components import components
-from siftgrain.llm.store import drop_table, only_ids, small_batches, tasks, write_table
+from siftgrain.operators.stats import row_numbers
+from siftgrain.llm.store import drop_table, hot_count, looked_up, only_ids, small_batches, tasks, write_table
 
 #: Rows of the sample from which common shingles are learned, and how many are kept (8 bytes each are broadcast).
 SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
@@ -50,8 +53,8 @@ COMMON_IN = 500
 INDEX_ROWS = 1_000_000
 #: Records of a content that are all paired, and records whose sketches are compared at a time.
 PAIRED, BLOCK = 5, 512
-#: Records of one batch from which on a content's records don't go through the index but its least.
-PREPAIRED = 16
+#: Records of one batch from which on, in its task, a content's records don't go through the index but one.
+PREPAIRED = 4
 #: Records of large contents whose sketches one task gets.
 COMPARED_ROWS = 20_000
 #: Bits of a sketch for each bit of a set's size.
@@ -135,6 +138,26 @@ def shingle_hashes(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]
     return out
 
 
+def exact_sets(data: np.ndarray, at: np.ndarray, n: int) -> list[np.ndarray]:
+    """Each text's distinct shingles as ascending numbers; the same words, byte by byte, have the same number in all of the texts."""
+    data = K.LOWER[data]
+    start, end, first = K.word_spans(data, at, K.NOT_SPACE)
+    word = K.distinct_spans(data, start, end)[1].astype(np.int64)
+    run, size = word, 1  # numbers of the runs of `size` words from each word on
+    while size < n and len(run):
+        step = min(size, n - size)
+        run = np.unique(run[:-step] * (run.max() + 1) + run[step:], return_inverse=True)[1].astype(np.int64)
+        size += step
+    short: dict[tuple[int, ...], int] = {}
+    out = []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        if b - a >= n:
+            out.append(np.unique(run[a : b - n + 1]))
+        else:  # the whole sequence, below 0
+            out.append(np.array([-1 - short.setdefault(tuple(word[a:b].tolist()), len(short))] if b > a else [], np.int64))
+    return out
+
+
 def contents(s: np.ndarray, rare: np.ndarray, plan: Scheme, role: int, least: int) -> np.ndarray:
     """The index keys of a set under a scheme: the role's size gives T, and the least size of a partner gives K.
 
@@ -215,19 +238,21 @@ def sketch(s: np.ndarray) -> np.ndarray:
 def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray, key_bits: int) -> DataFrame:
     """id, size, two halves of the set's digest, sketch, and keys (of the first of equal sets in a batch) for every text.
 
-    Of a key that very many records of a batch have, only the least record's
-    goes on; the others are in `near` as (key, least record, record).
+    Of a key that several records of a batch have, only the least record's goes
+    on; the others, and all later ones of the task, are in `near` as (key, that
+    record, record). So a task sends few rows of a key, however common it is.
     """
     shared = texts.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plans: dict[int, Scheme] = {}
+        seen: set[tuple[int, int, int]] = set()
+        hot = (np.zeros(0, _U64), np.zeros(0, np.int64))  # keys that several records had, and the record that stands for each
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
             data, start, end = K.text_bytes(batch.column(1))
             size = np.zeros(len(ids), np.int64)
             digest = np.zeros((2, len(ids)), _U64)
-            seen: set[tuple[int, int, int]] = set()
             keys, owner, sketches = [], [], []
             for i, j in K.chunks(start, end):
                 own, at = K.gather(data, start[i:j], end[i:j])
@@ -251,21 +276,30 @@ def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray, key
                             keys.append(index_keys(s, rare[a:b], threshold, plans) >> _U64(64 - key_bits))
                             owner.append(np.full(len(keys[-1]), k))
                     a = b
-            yield _keyed(ids, size, digest, sketches, keys, owner)
+            out, hot = _keyed(ids, size, digest, sketches, keys, owner, hot)
+            yield out
 
     kind = "id long, size long, h1 long, h2 long, sketch array<long>, keys array<long>, near array<struct<key: long, a: long>>"
     return texts.mapInArrow(run, kind)
 
 
-def _keyed(ids, size, digest, sketches, keys, owner) -> pa.RecordBatch:
+def _keyed(ids, size, digest, sketches, keys, owner, hot_) -> tuple[pa.RecordBatch, tuple[np.ndarray, np.ndarray]]:
+    """The rows of _sets, and hot_ with the keys that this batch adds."""
     key = np.concatenate(keys) if keys else np.zeros(0, _U64)
     row = np.concatenate(owner) if owner else np.zeros(0, np.int64)
     order = np.lexsort((ids[row], key))
     key, row = key[order], row[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
     many = np.diff(np.append(at, len(key)))
-    hot = np.repeat(many >= PREPAIRED, many)
-    head = np.repeat(at, many)
+    place = np.minimum(np.searchsorted(hot_[0], key[at]), max(0, len(hot_[0]) - 1))
+    known = hot_[0][place] == key[at] if len(hot_[0]) else np.zeros(len(at), bool)
+    stands = np.where(known, hot_[1][place], ids[row[at]]) if len(hot_[0]) else ids[row[at]]
+    fresh = ~known & (many >= PREPAIRED)
+    grown = np.concatenate([hot_[0], key[at][fresh]])
+    by_key = np.argsort(grown, kind="stable")
+    held = (grown[by_key], np.concatenate([hot_[1], stands[fresh]])[by_key])
+    hot = np.repeat(known | fresh, many)
+    of = np.repeat(stands, many)
     n = len(ids)
 
     def lists(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -274,8 +308,8 @@ def _keyed(ids, size, digest, sketches, keys, owner) -> pa.RecordBatch:
         return at, np.bincount(row[at], minlength=n)
 
     usual, n_usual = lists(~hot)
-    more, n_more = lists(hot & (row != row[head]))
-    near = pa.StructArray.from_arrays([pa.array(_long(key[more])), pa.array(ids[row[head[more]]])], names=["key", "a"])
+    more, n_more = lists(hot & (ids[row] != of))
+    near = pa.StructArray.from_arrays([pa.array(_long(key[more])), pa.array(of[more])], names=["key", "a"])
     near_at = pa.array(np.concatenate([[0], np.cumsum(n_more)]).astype(np.int32))
     flat = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
     columns = [
@@ -287,7 +321,7 @@ def _keyed(ids, size, digest, sketches, keys, owner) -> pa.RecordBatch:
         K.lists(_long(key[usual]), n_usual),
         pa.ListArray.from_arrays(near_at, near),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["id", "size", "h1", "h2", "sketch", "keys", "near"])
+    return pa.RecordBatch.from_arrays(columns, names=["id", "size", "h1", "h2", "sketch", "keys", "near"]), held
 
 
 def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,23 +364,50 @@ def _paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     K.settle()
 
 
-def _units(members: DataFrame) -> DataFrame:
-    """(key, x, y, side, id, label) of (key, id, label): each member in every pair of blocks that its own block is in."""
-    held = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.min("label").alias("low"), F.max("label").alias("high"))
-    held = held.filter("low != high").drop("low", "high")
-    own = members.join(held, "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+def _block(of, n):
+    """Which of n blocks a member is in."""
+    return F.pmod(F.xxhash64(of), n).cast("int")
+
+
+def _own_units(members: DataFrame, rows: int) -> DataFrame:
+    """(key, x, y, side, id, label) of (key, id, label): each member in its block, and the key's least member in all of them."""
+    held = members.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("centre")).filter("n > 1")
+    hot = held.filter(F.col("n") >= hot_count(rows))
+    own = looked_up(members, held.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int")).drop("n"), hot, ["key"], "inner")
+    blocks = F.when(F.col("id") == F.col("centre"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(_block("id", F.col("blocks"))))
+    own = own.withColumn("x", F.explode(blocks)).withColumn("x", F.col("x").cast("long"))
+    return own.select("key", "x", F.col("x").alias("y"), F.lit(0).alias("side"), "id", "label")
+
+
+def _cross_units(members: DataFrame, rows: int) -> DataFrame:
+    """(key, x, y, side, id, label) of (key, id, label): block pairs that may hold members of different labels.
+
+    Of a label with BLOCK members or more in a key the blocks hold nothing else,
+    and aren't paired with each other; all other members of a key share blocks.
+    """
+    groups = members.groupBy("key", "label").agg(F.count("*").alias("n"))
+    pure = F.when(F.col("n") >= BLOCK, F.struct("label", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")))
+    held = groups.groupBy("key").agg(F.count("*").alias("labels"), F.sum("n").alias("n"), F.collect_list(pure).alias("pure"), F.ceil(F.sum(F.when(F.col("n") < BLOCK, F.col("n")).otherwise(0)) / BLOCK).cast("int").alias("mixed"))
+    held = held.filter("labels > 1").drop("labels")
+    own = looked_up(members, held.drop("n"), held.filter(F.col("n") >= hot_count(rows)), ["key"], "inner")
+    own = own.withColumn("whole", F.filter("pure", lambda p: p["label"] == F.col("label")))
+    alone = F.size("whole") > 0
+    name = lambda label, k: F.xxhash64(label, k)  # noqa: E731  equal names by chance bring two blocks together, which costs nothing but time
+    no = F.lit(None).cast("long")
+    mine = F.when(alone, name(F.col("label"), _block("id", F.col("whole")[0]["blocks"]))).otherwise(name(no, _block("id", F.greatest(F.col("mixed"), F.lit(1)))))
+    mixed = F.transform(F.filter(F.sequence(F.lit(0), F.col("mixed")), lambda k: k < F.col("mixed")), lambda k: name(no, k))
+    others = F.flatten(F.transform(F.filter("pure", lambda p: p["label"] != F.col("label")), lambda p: F.transform(F.sequence(F.lit(0), p["blocks"] - 1), lambda k: name(p["label"], k))))
+    own = own.withColumn("own", mine).withColumn("other", F.explode(F.array_distinct(F.concat(mixed, others))))
     side = F.expr("CASE WHEN own = other THEN 0 WHEN own < other THEN 1 ELSE 2 END")
     return own.select("key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), side.alias("side"), "id", "label")
 
 
-def _compared(members: DataFrame, known: DataFrame, threshold: Fraction, tasks_: int, forest: bool) -> DataFrame:
-    """Pairs (a, b) of members of a key, with different labels, that sizes and sketches don't rule out: all of them, or a spanning forest of each unit.
+def _compared(units: DataFrame, known: DataFrame, threshold: Fraction, tasks_: int, forest: bool) -> DataFrame:
+    """Pairs (a, b) of members of a unit, with different labels, that sizes and sketches don't rule out: all of them, or a spanning forest of each unit.
 
-    members: (key, id, label); known: (id, size, sketch). A task gets the
-    sketches of its units' members once.
+    known: (id, size, sketch). A task gets the sketches of its units' members once.
     """
-    units = _units(members).withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks_)).cast("int"))
+    units = units.withColumn("part", F.pmod(F.xxhash64("key", "x", "y"), F.lit(tasks_)).cast("int"))
     wanted = units.select(F.col("part").alias("task"), F.col("id").alias("own")).distinct().join(known.toDF("own", "size", "sketch"), "own")
 
     def close(size: np.ndarray, words: list[np.ndarray], label: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -454,28 +515,27 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -
     """The pairs (a, b) whose sets are alike enough. texts: id, text."""
     both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
 
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        data, start, end = K.text_bytes(column)
+    def alike(left: pa.Array, right: pa.Array, new: np.ndarray) -> list[bool]:
+        """Of each right text and the left one of its row; left holds those of the rows where `new` is set."""
+        rows = [K.text_bytes(left), K.text_bytes(right)]
+        parts = [K.gather(*x)[0] for x in rows]
+        at = np.concatenate([[0], np.cumsum(np.concatenate([end - start for _, start, end in rows]))])
+        sets = exact_sets(np.concatenate(parts), at, n)
         out = []
-        for i, j in K.chunks(start, end):
-            out += shingle_hashes(*K.gather(data, start[i:j], end[i:j]), n)
+        for k, r in zip((np.cumsum(new) - 1).tolist(), sets[len(left) :], strict=True):
+            common = len(np.intersect1d(sets[k], r, assume_unique=True))
+            out.append(common * threshold.denominator >= (len(sets[k]) + len(r) - common) * threshold.numerator)
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
+            _, start, end = K.text_bytes(whole.column(3))
+            for i, j in K.chunks(start, end):
+                batch = whole.slice(i, j - i)
                 first = batch.column(0).to_numpy()
                 new = np.concatenate([[True], first[1:] != first[:-1]])  # rows of one a follow each other after the join
-                left = sets(batch.column(2).filter(pa.array(new)))
-                right = sets(batch.column(3))
-                alike = []
-                for at, r in zip((np.cumsum(new) - 1).tolist(), right, strict=True):
-                    both = np.concatenate([left[at], r])
-                    both.sort()
-                    common = int((both[1:] == both[:-1]).sum())
-                    alike.append(common * threshold.denominator >= (len(both) - common) * threshold.numerator)
-                yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(alike)) for c in (0, 1)], names=["a", "b"])
+                keep = pa.array(alike(batch.column(2).filter(pa.array(new)), batch.column(3), new))
+                yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in (0, 1)], names=["a", "b"])
 
     return both.mapInArrow(run, "a long, b long")
 
@@ -484,27 +544,64 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """For each row of df: id, n_shingles and component_id (the least id that links lead to, itself included).
 
     Two texts link when the Jaccard similarity of their sets of word n-grams is
-    at least the threshold. A null or empty text, or one of white space, has no
+    at least the threshold (0.5 or more, else ValueError). A null or empty text, or one of white space, has no
     shingles and links with nothing; a text of 1 to n - 1 words has one. Ids are
     whole numbers; rows with a null id are left out of the links and come back
-    with a null component. Repeated rows come back repeated. Other columns,
+    with a null component. Repeated rows come back repeated; rows of one id and
+    different texts are compared each by itself. Other columns,
     whatever their names, are not looked at. Empty tables give empty results.
     """
+    if threshold < 0.5:
+        raise ValueError("sets of less than half the size aren't compared")
     small_batches(df.sparkSession)
     spark, share = df.sparkSession, Fraction(str(threshold))
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     known = texts.filter("id IS NOT NULL")
-    common = common_shingles(known, n, known.count())
     count = known.count()
-    key_bits = min(63, 24 + (count + 1).bit_length())
     common = common_shingles(known, n, count)
+    key_bits = min(63, 24 + (count + 1).bit_length())
     table, path = write_table(_sets(known, n, share, common, key_bits), "shingle-keys")
+    sets = F.struct("size", "h1", "h2")
+    if table.groupBy("id").agg((F.min(sets) != F.max(sets)).alias("several")).filter("several").limit(1).count():
+        drop_table(spark, path)
+        out = _numbered(known, count, n, threshold)
+    else:
+        out = _grouped(table, known, count, n, share)
+        drop_table(spark, path)
+    lost = _sets(texts.filter("id IS NULL").withColumn("id", F.lit(0).cast("long")), n, share, common, key_bits)
+    null = F.lit(None).cast("long")
+    return out.union(lost.select(null, "size", null)).toDF(id_col, "n_shingles", "component_id")
+
+
+def _numbered(known: DataFrame, count: int, n: int, threshold: float) -> DataFrame:
+    """The result where rows of one id have different texts: (id, digest of the text) get numbers in their order, which stand for ids."""
+    spark = known.sparkSession
+    keyed = known.withColumn("digest", F.xxhash64("text"))
+    number, path = write_table(row_numbers(keyed.select("id", "digest").distinct(), ["id", "digest"], "number"), "numbers")
+    named, named_path = write_table(keyed.join(number, ["id", "digest"]).select("number", "text"), "numbered")
+    groups, groups_path = write_table(similar_groups(named, "number", "text", n, threshold), "groups")
+    # the component of the least number is the one of the least id
+    own = groups.join(number.select("number", "id"), "number")
+    least = number.select(F.col("number").alias("component_id"), F.col("id").alias("component"))
+    hot = groups.groupBy("component_id").count().filter(F.col("count") >= hot_count(count))
+    out, _ = write_table(looked_up(own, least, hot, ["component_id"]).select("id", "n_shingles", "component"), "groups")
+    for p in (path, named_path, groups_path):
+        drop_table(spark, p)
+    return out
+
+
+def _grouped(table: DataFrame, known: DataFrame, count: int, n: int, share: Fraction) -> DataFrame:
+    """(id, n_shingles, component) of the rows of _sets, where rows of one id have one set. known: (id, text)."""
+    spark = known.sparkSession
     sizes = table.select("id", "size", "h1", "h2")
 
     # equal sets: one class, named by its least id
+    equal = ["size", "h1", "h2"]
     full = sizes.filter("size > 0")
-    classes = full.groupBy("size", "h1", "h2").agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1").drop("copies")
-    copies, copies_path = write_table(full.join(classes, ["size", "h1", "h2"]).filter("id != rep").select("id", "rep").distinct(), "copies")
+    classes, classes_path = write_table(full.groupBy(*equal).agg(F.min("id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "classes")
+    hot = classes.filter(F.col("copies") >= hot_count(count))
+    copies = looked_up(full, classes.drop("copies"), hot, equal, "inner").filter("id != rep").select("id", "rep").distinct()
+    copies, copies_path = write_table(copies, "copies")
 
     rows = table.agg(F.sum(F.size("keys"))).first()[0] or 0
     near = table.select(F.explode("near").alias("x"), "id").select("x.key", "x.a", F.col("id").alias("b"))
@@ -522,9 +619,10 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     pairs = named(named(met.filter("key IS NULL").select("a", "b").distinct(), "a"), "b").filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     members = named(met.filter("key IS NOT NULL").select("key", F.col("a").alias("id")), "id").distinct()
     members, members_path = write_table(members, "members")
-    parts = 1 + members.count() // COMPARED_ROWS
-    first = _likely(pairs, described, share).union(_compared(members.withColumn("label", F.col("id")), described, share, parts, forest=True)).distinct()
-    first, first_path = write_table(first, "pairs")
+    many = members.count()
+    parts = 1 + many // COMPARED_ROWS
+    near_ones = _compared(_own_units(members.withColumn("label", F.col("id")), many), described, share, parts, forest=True)
+    first, first_path = write_table(_likely(pairs, described, share).union(near_ones).distinct(), "pairs")
 
     def verified(these: DataFrame) -> tuple[DataFrame, str]:
         wanted = these.select(F.col("a").alias("id")).union(these.select(F.col("b").alias("id"))).distinct()
@@ -536,25 +634,22 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     links, links_path = verified(first)
     joined = components(links)
 
-    # contents whose records aren't all in one component by now: a forest's link was none, or led nowhere
+    # contents whose records aren't all in one component by now
     label = joined.toDF("id", "label")
     members = members.join(label, "id", "left").withColumn("label", F.coalesce("label", "id"))
-    rest = _compared(members, described, share, parts, forest=False).join(first, ["a", "b"], "left_anti")
+    rest = _compared(_cross_units(members, many), described, share, parts, forest=False).join(first, ["a", "b"], "left_anti")
     rest, rest_path = write_table(rest, "more-pairs")
     more, more_path = verified(rest)
     if more.limit(1).count():
         joined = components(links.union(more))
     label = joined.toDF("rep", "label")
 
-    out = sizes.join(copies.groupBy("id").agg(F.min("rep").alias("rep")), "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = out.join(label, "rep", "left").select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component_id"))
+    out = sizes.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
+    out = looked_up(out, label, hot.select("rep"), ["rep"]).select("id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component"))
     out, _ = write_table(out, "groups")
-    for p in (path, copies_path, met_path, members_path, first_path, links_path, rest_path, more_path):
+    for p in (classes_path, copies_path, met_path, members_path, first_path, links_path, rest_path, more_path):
         drop_table(spark, p)
-    lost = _sets(texts.filter("id IS NULL").withColumn("id", F.lit(0).cast("long")), n, share, common, key_bits)
-    null = F.lit(None).cast("long")
-    lost = lost.select(null.alias(id_col), F.col("size").alias("n_shingles"), null.alias("component_id"))
-    return out.union(lost)
+    return out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +26,11 @@ def settle() -> None:
 CHUNK_BYTES = 1 << 20
 
 _U64 = np.uint64
-_MASK = (1 << 64) - 1
-_BASE = 0x9E3779B97F4A7C15 | 1
-_BASE_INV = pow(_BASE, -1, 1 << 64)
-
-_rng = np.random.default_rng(20240607)
-#: A random 64-bit value for each byte.
-BYTE_VALUES = _rng.integers(1, _MASK, 256, dtype=_U64, endpoint=True)
+#: Bytes of a string up to which it is hashed and compared in vectors, 8 bytes at a time; longer ones go one by one.
+LONG = 128
+# Fixed odd constants of the hash.
+_STEP, _SIZE = _U64(0x9E3779B97F4A7C15), _U64(0xC2B2AE3D27D4EB4F)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], _U64)
 
 #: Lower-cases A-Z and leaves every other byte.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -55,42 +54,80 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U64(31))
 
 
-class _Powers:
-    """Powers of the hash base and of its inverse, grown when a longer text comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, _U64)
-
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, CHUNK_BYTES + (1 << 16))
-            up, down = np.full(size, _BASE, _U64), np.full(size, _BASE_INV, _U64)
-            up[0] = down[0] = 1
-            self.up, self.down = np.cumprod(up), np.cumprod(down)
-        return self.up[:n], self.down[:n]
-
-
-POWERS = _Powers()
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """S with S[0] = 0: sums of byte values times powers of the base, modulo 2**64."""
-    out = np.zeros(len(data) + 1, _U64)
-    np.cumsum(BYTE_VALUES[data] * POWERS.get(len(data))[0], out=out[1:])
+def _windows(data: np.ndarray) -> np.ndarray:
+    """The 8 bytes from each place on as a little-endian number; beyond the end stand zeros."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
+
+
+def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte strings [start, end), equal wherever a string stands.
+
+    Each 8 bytes go through a finaliser that isn't linear, so that no pattern of
+    bytes makes strings collide; by chance two do so once in 2**64. Where a
+    result follows from equality, `distinct_spans` or `differ` compares bytes.
+    """
+    size = end - start
+    look = _windows(data)
+    h = mix(_SIZE * (size.astype(_U64) + _U64(1)))
+    own = np.flatnonzero((size > 0) & (size <= LONG))
+    for k in range(0, LONG, 8):
+        if k:
+            own = own[size[own] > k]
+        if not len(own):
+            break
+        part = look[start[own] + k] & _MASKS[np.minimum(size[own] - k, 8)]
+        h[own] = mix(h[own] * _STEP + part) ^ (part + (h[own] >> _U64(32)))
+    h = mix(h)
+    for k in np.flatnonzero(size > LONG).tolist():
+        h[k] = int.from_bytes(blake2b(data[start[k] : end[k]], digest_size=8).digest(), "little")
+    return h
+
+
+def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the byte strings of one size that begin at each place."""
+    n = len(data) - size + 1
+    if n <= 0:
+        return np.zeros(0, _U64)
+    look, h = _windows(data), np.zeros(n, _U64)
+    for k in [*range(0, size - 7, 8), *([max(0, size - 8)] if size % 8 else [])]:
+        h = (h ^ (h >> _U64(32))) * _STEP
+        h += look[k : k + n] & _MASKS[min(8, size)]
+    return mix(h)
+
+
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the `size` bytes from places a on and from places b on differ."""
+    look = _windows(data)
+    out = np.zeros(len(a), bool)
+    own = np.flatnonzero((size <= LONG) & (a != b))
+    for k in range(0, LONG, 8):
+        own = own[size[own] > k]
+        if not len(own):
+            break
+        out[own] |= ((look[a[own] + k] ^ look[b[own] + k]) & _MASKS[np.minimum(size[own] - k, 8)]) != 0
+    for k in np.flatnonzero((size > LONG) & (a != b)).tolist():
+        out[k] = not np.array_equal(data[a[k] : a[k] + size[k]], data[b[k] : b[k] + size[k]])
     return out
 
 
-def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings [start, end), equal wherever the string stands."""
-    down = POWERS.get(len(sums))[1]
-    return mix((sums[end] - sums[start]) * down[start] + (end - start).astype(_U64))
-
-
-def rolling_hash(sums: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of the byte strings of one size that begin at each place, as span_hash gives them."""
-    down = POWERS.get(len(sums))[1]
-    n = len(sums) - size
-    return mix((sums[size:] - sums[:n]) * down[:n] + _U64(size))
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sample, inverse): one span of each distinct byte string, and which of them each span's string is. Exact: hashes find, bytes decide."""
+    _, sample, inverse = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+    size = end - start
+    wrong = size != size[sample][inverse]
+    wrong |= differ(data, start, start[sample][inverse], np.where(wrong, 0, size))
+    if wrong.any():
+        known: dict[bytes, int] = {}
+        first = []
+        for k, (a, b) in enumerate(zip(start.tolist(), end.tolist(), strict=True)):
+            place = known.setdefault(data[a:b].tobytes(), len(first))
+            if place == len(first):
+                first.append(k)
+            inverse[k] = place
+        sample = np.array(first, np.int64)
+    return sample, inverse
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,7 +188,7 @@ def word_hashes(data: np.ndarray, at: np.ndarray, is_word: np.ndarray) -> tuple[
     """Hash, start and end of each word of lower-cased texts, and each text's first word."""
     data = LOWER[data]
     start, end, first = word_spans(data, at, is_word)
-    return span_hash(prefix_hash(data), start, end), start, end, first
+    return span_hash(data, start, end), start, end, first
 
 
 def sequence_hash(h: np.ndarray, n: int) -> np.ndarray:

@@ -187,7 +187,7 @@ def encode(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", text_col: str
                 raw, at = K.gather(data, start[i:j], end[i:j])
                 text, text_at = marked(raw, at, own.dummy_prefix)
                 a, b, first = segments(text, text_at)
-                _, sample, inverse = np.unique(K.span_hash(K.prefix_hash(text), a, b), return_index=True, return_inverse=True)
+                sample, inverse = K.distinct_spans(text, a, b)
                 ids, ids_at, score = viterbi.encode(text, a[sample], b[sample])
                 flat, flat_at = K.gather(ids, ids_at[:-1][inverse], ids_at[1:][inverse])
                 total = np.concatenate([[0.0], np.cumsum(score[inverse])])[first] if len(score) else np.zeros(len(first))

@@ -14,7 +14,10 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
 FILTER_BITS = 1 << 24
 
-__all__ = ["drop_table", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
+#: Keys that are counted as hot, at most, where each of them has a share of 1 / HOT_KEYS of the rows.
+HOT_KEYS = 2000
+
+__all__ = ["HOT_KEYS", "drop_table", "hot_count", "looked_up", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -71,3 +74,20 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in df.columns]
     unsure = marked.filter(likely).select(*columns).join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     return marked.filter(~likely).select(*columns).union(unsure.select(*columns))
+
+
+def hot_count(rows: int) -> int:
+    """Rows of a key from which on it is hot: so many that at most HOT_KEYS keys can be, and two at least."""
+    return max(2, -(-rows // HOT_KEYS))
+
+
+def looked_up(df: DataFrame, table: DataFrame, hot: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
+    """df joined ("left" or "inner") with a table of one row a key; the rows of the `hot` keys (at most HOT_KEYS of them) stay where they are.
+
+    The table's rows of hot keys are broadcast; the rest of df is shuffled. Both are read twice.
+    """
+    known = unique_names(df.join(table.limit(0), keys, "left"), ["is_hot"])[0]
+    few = table.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_semi").withColumn(known, F.lit(True))
+    marked = df.join(F.broadcast(few), keys, "left")
+    rest = marked.filter(F.col(known).isNull()).select(*[F.col(f"`{c}`") for c in df.columns]).join(table, keys, how)
+    return marked.filter(F.col(known)).drop(known).unionByName(rest)

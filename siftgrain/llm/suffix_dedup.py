@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import shared_folder, small_batches, write_table
+from siftgrain.llm.store import drop_table, shared_folder, small_batches, write_table
 from siftgrain.llm.suffix_array import maximal_repeats
 
 #: Bytes of an anchor.
@@ -44,8 +44,10 @@ PIECE_BYTES = 1 << 19
 UNIT = 2
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
 ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 600_000, 4 << 20, 1 << 20
-#: Blocks that a hot anchor stands in, at least.
-HOT_BLOCKS = 1024
+#: Distinct contexts of a hot anchor, summed over the blocks, at least.
+HOT_CONTEXTS = 1024
+#: Buckets of the table of blocks, at most.
+MOST_BUCKETS = 20_000
 _U64 = np.uint64
 
 
@@ -60,30 +62,26 @@ def _full(x: bytes, kind) -> np.ndarray:
 
 
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, row, first, last) of the anchors of a block: the strings that begin at first..last have the anchor."""
+    """(hash, row, first, last) of the anchors of a block: the strings that begin at first..last have the anchor.
+
+    A long text is taken in pieces; an anchor whose strings two pieces hold comes twice, with the strings of each.
+    """
     parts = []
     for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
-        h, row, first, last = _piece(data[at[i] : at[j]], at[i : j + 1] - at[i], window, gram)
-        parts.append((h, row + i, first + at[i], last + at[i]))
+        for begin in range(at[i], at[j], PIECE_BYTES) if j == i + 1 else (at[i],):
+            end = min(at[j], begin + PIECE_BYTES + window - 1) if j == i + 1 else at[j]
+            own = np.array([0, end - begin]) if j == i + 1 else at[i : j + 1] - begin
+            h, row, first, last = _piece(data[begin:end], own, window, gram)
+            parts.append((h, row + i, first + begin, last + begin))
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else _piece(data, at, window, gram)
 
 
-def _span_hashes(data: np.ndarray, at: np.ndarray, row: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of byte strings of a block's rows."""
-    out = np.zeros(len(row), _U64)
-    for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
-        own = np.flatnonzero((row >= i) & (row < j))
-        if len(own):
-            out[own] = K.span_hash(K.prefix_hash(data[at[i] : at[j]]), begin[own] - at[i], end[own] - at[i])
-    return out
-
-
 def _piece(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     none = np.zeros(0, np.int64)
     n = len(data) - window + 1
     if n <= 0:
         return none.astype(_U64), none, none, none
-    h = K.rolling_hash(K.prefix_hash(data), gram)
+    h = K.rolling_hash(data, gram)
     # the upper bits of a hash with its place below them: the least is the least hash, and the leftmost of equal ones
     low = _U64((1 << len(h).bit_length()) - 1)
     least, size, wide = (h & ~low) | np.arange(len(h), dtype=_U64), 1, window - gram + 1
@@ -144,15 +142,29 @@ def _by_hash(h: np.ndarray, row: np.ndarray, parts: int) -> tuple[np.ndarray, np
     return distinct, low < high, np.searchsorted(own, np.arange(parts + 1)), back
 
 
+def _different(data: np.ndarray, back: np.ndarray, first: np.ndarray, last: np.ndarray, window: int) -> np.ndarray:
+    """How many distinct contexts each of a block's anchors has."""
+    out = np.ones(int(back.max()) + 1 if len(back) else 0, np.int64)
+    some = np.flatnonzero(np.bincount(back, minlength=len(out))[back] > 1)
+    text = K.span_hash(data, first[some], last[some] + window)
+    order = np.lexsort((text, back[some]))
+    own, text = back[some][order], text[order]
+    more = np.flatnonzero((own[1:] == own[:-1]) & (text[1:] != text[:-1])) + 1
+    np.add.at(out, own[more], 1)
+    return out
+
+
 def _announce(blocks: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """(part, unit, block, several, hashes): the blocks' distinct anchor hashes by part."""
+    """(part, unit, block, several, contexts, hashes): the blocks' distinct anchor hashes by part, and how many contexts each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.settle()
         for batch in batches:
             for r in batch.select(["unit", "block", "ends", "body"]).to_pylist():
-                h, row, _, _ = _anchors(*_block(r["ends"], r["body"]), window, gram)
-                distinct, several, at, _ = _by_hash(h, row, parts)
+                data, ends = _block(r["ends"], r["body"])
+                h, row, first, last = _anchors(data, ends, window, gram)
+                distinct, several, at, back = _by_hash(h, row, parts)
+                contexts = np.minimum(_different(data, back, first, last, window), HOT_CONTEXTS).astype(np.int16)
                 full = np.flatnonzero(np.diff(at))
                 if not len(full):
                     continue
@@ -163,16 +175,17 @@ def _announce(blocks: DataFrame, window: int, gram: int, parts: int) -> DataFram
                         pa.array(np.full(len(full), r["unit"], np.int64)),
                         pa.array(np.full(len(full), r["block"], np.int32)),
                         pa.array([np.packbits(several[at[p] : at[p + 1]]).tobytes() for p in full], pa.binary()),
+                        pa.array([_squeezed(contexts[at[p] : at[p + 1]]) for p in full], pa.binary()),
                         # bytes of one weight together: the high ones of steps between sorted hashes are zero
                         pa.array([_squeezed(s.view(np.uint8).reshape(-1, 8).T) for s in steps], pa.binary()),
                     ],
-                    names=["part", "unit", "block", "several", "hashes"],
+                    names=["part", "unit", "block", "several", "contexts", "hashes"],
                 )
 
-    return blocks.mapInArrow(run, "part int, unit long, block int, several binary, hashes binary")
+    return blocks.mapInArrow(run, "part int, unit long, block int, several binary, contexts binary, hashes binary")
 
 
-def _met(announced: DataFrame, hot_blocks: int) -> DataFrame:
+def _met(announced: DataFrame, hot_contexts: int) -> DataFrame:
     """(unit, block, part, found, repeated, hot): two bits for each announced hash, and how many are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,7 +207,8 @@ def _met(announced: DataFrame, hot_blocks: int) -> DataFrame:
             again = (n > 1) | (np.maximum.reduceat(np.concatenate(several)[order], at) > 0)
             group = np.cumsum(new) - 1
             found, hot = np.zeros(len(all_), bool), np.zeros(len(all_), bool)
-            found[order], hot[order] = again[group], (n >= hot_blocks)[group]
+            contexts = np.concatenate([_full(r["contexts"], np.int16) for r in own]).astype(np.int64)
+            found[order], hot[order] = again[group], (np.add.reduceat(contexts[order], at) >= hot_contexts)[group]
             ends = np.cumsum([len(h) for h in hashes])
             for r, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
                 if found[a:b].any():
@@ -229,13 +243,13 @@ def _contexts(r: dict, answers: list[dict], window: int, gram: int, parts: int,
     n = (last - first + 1)[own_hot]
     starts = np.repeat(first[own_hot], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     hot_row = np.repeat(row[own_hot], n)
-    key = np.concatenate([h[~own_hot], _span_hashes(data, at, hot_row, starts, starts + window)])
+    key = np.concatenate([h[~own_hot], K.span_hash(data, starts, starts + window)])
     row = np.concatenate([row[~own_hot], hot_row])
     begin = np.concatenate([first[~own_hot], starts])
     end = np.concatenate([last[~own_hot], starts]) + window
     if not len(key):
         return
-    text = _span_hashes(data, at, row, begin, end)
+    text = K.distinct_spans(data, begin, end)[1]
     order = np.lexsort((ids[row], text, key))
     key, row, begin, end, text = key[order], row[order], begin[order], end[order], text[order]
     new = np.concatenate([[True], (key[1:] != key[:-1]) | (text[1:] != text[:-1])])
@@ -274,9 +288,7 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
     start = np.concatenate([_full(r["starts"], np.int32) for r in rows]).astype(np.int64)
     doc = np.concatenate([np.cumsum(_full(r["ids"], np.int64)) for r in rows])
     at = np.concatenate([[0], np.cumsum(size)])
-    text = np.zeros(len(size), _U64)
-    for i, j in K.chunks(at[:-1], at[1:], PIECE_BYTES):
-        text[i:j] = K.span_hash(K.prefix_hash(body[at[i] : at[j]]), at[i:j] - at[i], at[i + 1 : j + 1] - at[i])
+    text = K.distinct_spans(body, at[:-1], at[1:])[1]
     # equal contexts of different blocks are one
     order = np.lexsort((text, key))
     new_key = np.concatenate([[True], key[order][1:] != key[order][:-1]])
@@ -329,7 +341,7 @@ def _sharing(body: np.ndarray, at: np.ndarray, sample: np.ndarray, window: int)
     n = np.diff(own_at) - window + 1
     which = np.repeat(np.arange(len(n)), n)
     start = np.arange(n.sum()) + np.repeat(own_at[:-1] - (np.cumsum(n) - n), n)
-    h = K.rolling_hash(K.prefix_hash(own), window)[start]
+    h = K.rolling_hash(own, window)[start]
     order = np.argsort(h, kind="stable")
     same = h[order][1:] == h[order][:-1]
     out = np.zeros(len(n), bool)
@@ -405,7 +417,7 @@ def _cut(r: dict, carried: pa.Array, cuts: list[dict], whole_chars: bool) -> pa.
     return pa.RecordBatch.from_arrays([pa.array(r["ids"], pa.int64()), pa.array(np.diff(at)), pa.ListArray.from_arrays(span_at, spans), kept, carried], names=["id", "n_bytes", "spans", "kept", "carried"])
 
 
-def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_blocks: int = HOT_BLOCKS, carry: tuple[str, ...] = (), whole_chars: bool = False) -> DataFrame:
+def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, hot_contexts: int = HOT_CONTEXTS, carry: tuple[str, ...] = (), whole_chars: bool = False, derive: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """For each row of df: id, n_bytes, spans array<struct<start, end>> and kept binary.
 
     spans are the maximal runs of bytes that lie in a string of `window` UTF-8
@@ -414,7 +426,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     same id don't count as earlier than each other; a row with a null id is
     kept whole and removes nothing. Matches never cross rows. Ids are whole
     numbers; other columns are not looked at; an empty table gives an empty
-    result.
+    result. carry: columns of df that come along. derive: what is made of the
+    result before it is written, where not all of it is wanted. hot_contexts
+    changes the cost only.
     """
     small_batches(df.sparkSession)
     spark = df.sparkSession
@@ -422,15 +436,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     name = f"siftgrain_blocks_{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
     packed = _pack(docs)
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.rdd.getNumPartitions())
-    packed.write.format("parquet").bucketBy(buckets, "unit").sortBy("unit").option("path", f"{shared_folder(spark)}/siftgrain/{name}").saveAsTable(name)
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.rdd.getNumPartitions()))
+    place = f"{shared_folder(spark)}/siftgrain/{name}"
+    packed.write.format("parquet").bucketBy(buckets, "unit").sortBy("unit").option("path", place).saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum(F.element_at("ends", -1)), F.count("*")).first()
     n_parts = max(1, int((size[0] or 0) * 2 // (window - gram + 2)) // ANCHORS)
 
     announced = _announce(blocks, window, gram, n_parts)
     spread = announced.repartition(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "part")
-    answers, _ = write_table(_met(spread, hot_blocks), "anchors")
+    answers, answers_path = write_table(_met(spread, hot_contexts), "anchors")
     repeated = answers.agg(F.sum("repeated")).first()[0] or 0
     shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
 
@@ -472,9 +487,14 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     carried = docs.schema["carried"].dataType.simpleString()
     found = blocks.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(contexts, _CONTEXTS)
     shared = found.repartition(max(shares, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "share")
-    cuts, _ = write_table(shared.mapInArrow(spans, "unit long, block int, cuts binary"), "cuts")
+    cuts, cuts_path = write_table(shared.mapInArrow(spans, "unit long, block int, cuts binary"), "cuts")
     out = blocks.groupBy("unit").cogroup(cuts.groupBy("unit")).applyInArrow(cut, f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, carried {carried}")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carried.{c}") for c in carry])
+    out = out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carried.{c}") for c in carry])
+    out, _ = write_table(derive(out) if derive else out, "repeats")
+    spark.sql(f"DROP TABLE {name}")
+    for path in (place, answers_path, cuts_path):
+        drop_table(spark, path)
+    return out
 
 
 def _schema(ddl: str) -> pa.Schema:
@@ -484,9 +504,9 @@ def _schema(ddl: str) -> pa.Schema:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op6: bytes of all documents that lie in a 50-byte string of an earlier document, removed."""
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    digest = lambda out: out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"), derive=digest)
 
 
 SQL = """

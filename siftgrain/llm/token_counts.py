@@ -214,8 +214,7 @@ def _chunk(data: np.ndarray, at: np.ndarray, counter: PrefixCounter, prefix: boo
     """Tokens and characters of each text, and the deltas of all characters with where each text's begin."""
     text, text_at = marked(data, at, prefix)
     start, end, first = segments(text, text_at)
-    hashes = K.span_hash(K.prefix_hash(text), start, end)
-    _, sample, inverse = np.unique(hashes, return_index=True, return_inverse=True)
+    sample, inverse = K.distinct_spans(text, start, end)
     counts, pool_at = counter.counts(text, start[sample], end[sample])
     flat = np.diff(counts, prepend=0)
     flat[pool_at[:-1]] = counts[pool_at[:-1]]

@@ -33,3 +33,9 @@ def docs(spark, rows=None):
 
 def empty(spark):
     return docs(spark).filter("false")
+
+
+def thue_morse(n, a="a", t="t"):
+    """A word of n letters, and its complement: they collide in any polynomial hash modulo a power of 2."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join((a, t)[b] for b in bits), "".join((t, a)[b] for b in bits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from siftgrain.llm import decontaminate, embedding_dedup, jaccard_join, suffix_dedup
 from siftgrain.llm.store import only_ids, without_ids
 from siftgrain.llm.suffix_array import maximal_repeats
-from tests.llm.helpers import DATA, awkward, docs, empty, prose
+from tests.llm.helpers import DATA, awkward, docs, empty, prose, thue_morse
 
 
 def shingles(text, n=5):
@@ -98,6 +98,57 @@ def test_jaccard_join_of_awkward_documents(spark):
     assert jaccard_join.similar_groups(empty(spark)).count() == 0
 
 
+def check_groups(spark, rows):
+    sets = {k: shingles(t) for k, (_, t) in enumerate(rows)}
+    want = groups([(k, k) for k in sets], lambda a, b: sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]))
+    least = {}
+    for k, label in want.items():
+        least[label] = min(least.get(label, rows[k][0]), rows[k][0])
+    got = jaccard_join.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted((i, len(sets[k]), least[want[k]]) for k, (i, _) in enumerate(rows))
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_words_do_not_collide(spark, size):
+    a, b = thue_morse(size)
+    check_groups(spark, [(1, a), (2, b), (3, f"{a} {b}"), (4, f"{b} {a}"), (5, f"{a} {b}"), (6, b)])
+    items = spark.createDataFrame([(1, a)], "item_id long, text string")
+    rows = decontaminate.contamination(spark.createDataFrame([(1, a), (2, b), (3, f"{a} {b}")], "doc_id long, text string"), items).collect()
+    assert {r.doc_id: r.n_hit for r in rows} == {1: 1, 2: 0, 3: 1}
+
+
+def test_exact_sets_are_sets_of_words():
+    r = random.Random(3)
+    texts = [" ".join(r.choice("ab") * r.randint(1, 2) for _ in range(r.randint(0, 40))) for _ in range(60)] + [thue_morse(2048)[0], thue_morse(2048)[1], "A b", "a B"]
+    raw = [t.encode() for t in texts]
+    got = jaccard_join.exact_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])]), 5)
+    for i, x in enumerate(texts):
+        for j, y in enumerate(texts[:i]):
+            assert len(np.intersect1d(got[i], got[j])) == len(shingles(x) & shingles(y))
+        assert len(got[i]) == len(shingles(x))
+
+
+def test_rows_of_one_id_and_different_texts(spark):
+    x, y, z = prose(40, 1), prose(40, 2), prose(40, 3)
+    check_groups(spark, [(1, x), (1, y), (2, y), (3, x), (3, z), (4, z), (5, None), (5, prose(9, 9)), (5, prose(9, 9)), (-7, z)])
+
+
+def test_a_content_of_many_records(spark, monkeypatch):
+    # small blocks: near copies in many, a component of its own, and some that a boilerplate alone brings together
+    monkeypatch.setattr(jaccard_join, "BLOCK", 8)
+    r = random.Random(6)
+    hot, other = prose(120, 71).split(), prose(120, 72).split()
+    rows = [edited(hot, 0.03, r) for _ in range(90)] + [edited(hot[:95] + other[95:], 0.03, r) for _ in range(40)] + [edited(other, 0.05, r) for _ in range(40)]
+    rows += [" ".join(hot[:60]) + " " + prose(60, 500 + k) for k in range(40)] + [" ".join(hot)] * 30
+    r.shuffle(rows)
+    check_groups(spark, list(enumerate(rows)))
+
+
+def test_thresholds_below_a_half_are_refused(spark):
+    with pytest.raises(ValueError):
+        jaccard_join.similar_groups(spark.range(1).selectExpr("id AS doc_id", "'a' AS text"), threshold=0.4)
+
+
 def brute_spans(rows, w):
     first = {}
     for i, t in sorted((i, t) for i, t in rows if i is not None):
@@ -125,7 +176,30 @@ def test_repeats_are_those_of_brute_force(spark, hot):
     rows = [(i, f"{prose(r.randint(0, 60), i)} {passage[r.randint(0, 99):]} {prose(r.randint(0, 30), -i)}" if i % 3 else prose(40, i // 6)) for i in range(60)]
     rows += [(100, "ab" * 200), (101, "ab" * 100 + "c"), (102, "ba" * 60), (103, "é" * 80), (104, "xé" + "é" * 60)]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert removed(df, hot_blocks=hot) == brute_spans([(i, t.encode()) for i, t in rows], 50)
+    assert removed(df, hot_contexts=hot) == brute_spans([(i, t.encode()) for i, t in rows], 50)
+
+
+def test_hot_anchors_at_default_settings(spark):
+    passage = prose(12, 7)[:64]
+    rows = [(i, f"{prose(4, i)} {passage} {prose(4, 10_000 + i)}".encode()) for i in range(2600)]
+    data = np.frombuffer(b"".join(t for _, t in rows), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for _, t in rows])])
+    h, row, first, last = suffix_dedup._anchors(data, at, 50, suffix_dedup.GRAM)
+    back = suffix_dedup._by_hash(h, row, 1)[3]
+    assert suffix_dedup._different(data, back, first, last, 50).max() >= suffix_dedup.HOT_CONTEXTS
+    df = spark.createDataFrame([(i, t.decode()) for i, t in rows], "doc_id long, text string")
+    assert removed(df) == brute_spans(rows, 50)
+
+
+def test_a_text_in_pieces(spark, monkeypatch):
+    text = prose(2000, 5)
+    data = np.frombuffer(text.encode(), np.uint8)
+    at = np.array([0, len(data)])
+    whole = suffix_dedup._anchors(data, at, 50, 20)
+    monkeypatch.setattr(suffix_dedup, "PIECE_BYTES", 700)
+    pieces = suffix_dedup._anchors(data, at, 50, 20)
+    of = lambda x: [(int(h), int(s)) for h, _, a, b in zip(*x, strict=True) for s in range(a, b + 1)]
+    assert of(whole) == of(pieces) and len(of(whole)) == len(data) - 49
 
 
 def test_repeats_of_a_whole_table(spark):

@@ -9,7 +9,7 @@ from siftgrain.llm import sentencepiece as S
 from siftgrain.llm import token_counts as C
 from siftgrain.llm.pieces import Pieces
 from siftgrain.llm.trie import DoubleArray
-from tests.llm.helpers import DATA, awkward, docs, empty
+from tests.llm.helpers import DATA, awkward, docs, empty, thue_morse
 
 PATH = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -55,6 +55,24 @@ def test_whole_table_counts(spark, library):
         assert got[r.doc_id] == (len((r.text or "").encode()), n, n > 4096)
 
 
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_long_words_do_not_collide(spark, pieces, library, size):
+    a, b = thue_morse(size)
+    texts = [a, b, f"{a} {b}", f"{b} {a} {a}"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_tokens for r in C.prefix_token_counts(df, pieces).orderBy("doc_id").collect()] == [len(x) for x in library.encode(texts)]
+    assert [r.decoded for r in S.encode(df, pieces, decoded=True).orderBy("doc_id").collect()] == texts
+
+
+def test_texts_over_a_megabyte(spark, pieces, library):
+    r = random.Random(7)
+    texts = [" ".join(r.choice(["the", "of", "wort", "naïve", "x1"]) for _ in range(400_000)), "q" * 30_000 + " end"]
+    assert len(texts[0]) > 1 << 20
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r.n_tokens for r in C.prefix_token_counts(df, pieces).orderBy("doc_id").collect()] == [len(x) for x in library.encode(texts)]
+    assert [r.decoded for r in S.encode(df, pieces, decoded=True).orderBy("doc_id").collect()] == texts
+
+
 def test_budget_and_truncation(spark, pieces, library):
     text = "the quick brown fox jumps over the lazy dog " * 5
     df = C.prefix_token_counts(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), pieces)
