@@ -97,18 +97,20 @@ def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
     return mix(h)
 
 
-def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the `size` bytes from places a on and from places b on differ."""
+def differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the `size` bytes from places a on and those from places b on, of other bytes if there are any, differ."""
     look = _windows(data)
+    same = (a == b) if other is None else np.zeros(len(a), bool)
+    beside, other = (look, data) if other is None else (_windows(other), other)
     out = np.zeros(len(a), bool)
-    own = np.flatnonzero((size <= LONG) & (a != b))
+    own = np.flatnonzero((size <= LONG) & ~same)
     for k in range(0, LONG, 8):
         own = own[size[own] > k]
         if not len(own):
             break
-        out[own] |= ((look[a[own] + k] ^ look[b[own] + k]) & _MASKS[np.minimum(size[own] - k, 8)]) != 0
-    for k in np.flatnonzero((size > LONG) & (a != b)).tolist():
-        out[k] = not np.array_equal(data[a[k] : a[k] + size[k]], data[b[k] : b[k] + size[k]])
+        out[own] |= ((look[a[own] + k] ^ beside[b[own] + k]) & _MASKS[np.minimum(size[own] - k, 8)]) != 0
+    for k in np.flatnonzero((size > LONG) & ~same).tolist():
+        out[k] = not np.array_equal(data[a[k] : a[k] + size[k]], other[b[k] : b[k] + size[k]])
     return out
 
 

@@ -255,18 +255,37 @@ def test_decontamination_of_awkward_tables(spark):
     assert decontaminate.contamination(docs(spark), items.filter("false")).filter("contaminated").count() == 0
 
 
+def near(words, window, slop):
+    """Least spans by definition."""
+    want, wide, out = set(window), len(window) + slop, set()
+    for f in range(len(words)):
+        for z in range(f, min(len(words), f + wide)):
+            if want <= set(words[f : z + 1]):
+                out.add((f, z))
+                break
+    return {(f, z) for f, z in out if not any(f <= g and y <= z and (f, z) != (g, y) for g, y in out)}
+
+
 def test_proximity(spark):
-    rows = [(1, "a x b y c"), (2, "c b a"), (3, "a x x x x b c"), (4, "a b"), (5, "c q a b")]
-    texts = spark.createDataFrame(rows, "i long, text string").select(F.struct("i").alias("key"), "text")
-    windows = decontaminate.item_windows(spark.createDataFrame([(1, "a b c")], "item_id long, text string"), 10, "item_id", "text")
-    terms = np.sort(np.array(windows.first().terms, np.int64).view(np.uint64))
-    plan_rows, anchors = decontaminate._plan(windows, decontaminate.term_counts(texts, terms))
-    plan = spark.createDataFrame(plan_rows, "window long, rank int, term long, offset int")
-    index = decontaminate.positional_index(texts, terms, anchors, 9)
-    postings = index.select("key", F.explode("lists").alias("x")).select("key", "x.term", "x.positions")
-    sizes = plan.groupBy("window").agg(F.count("*").alias("n"))
-    got = {(r.key.i, r["first"], r["last"]) for r in decontaminate.proximity(postings, plan, sizes, 2).collect()}
-    assert got == {(1, 0, 4), (2, 0, 2), (5, 0, 3)}
+    r = random.Random(2)
+    rows = [(1, "a x b y c"), (2, "c b a"), (3, "a x x x x b c"), (4, "a b"), (5, "c q a b"), (6, None), (None, "b a c")]
+    rows += [(10 + k, " ".join(r.choice("abcxyz") for _ in range(r.randint(0, 60)))) for k in range(25)]
+    items = [(1, "a b c"), (2, "x a x"), (3, "y"), (4, None), (None, "a")]
+    frames = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {(i, str(k), f, z) for i, t in rows for k, item in items if k and item for f, z in near((t or "").split(), item.split(), 2)}
+    assert {tuple(x) for x in decontaminate.near_matches(*frames, slop=2).collect()} == want
+    # a window of 10 words that stands spread over more than its length
+    w = prose(10, 3).split()
+    rows = [(1, " ".join(prose(20, 4).split() + w[:9] + ["q", "q"] + w[9:])), (2, " ".join(w[:9] + ["q"] * 3 + w[9:])), (3, " ".join(w[::-1]))]
+    got = decontaminate.near_matches(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(w))], "item_id long, text string"), slop=2).collect()
+    assert {(x.doc_id, x["first"], x["last"]) for x in got} == {(1, 20, 31), (3, 0, 9)}
+
+
+def test_a_stored_index_answers_as_a_scan_does(spark, tmp_path):
+    tables = [spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark")]
+    decontaminate.write_index(tables[0], str(tmp_path / "index"))
+    want = sorted(map(tuple, decontaminate.contamination(*tables).collect()), key=str)
+    assert sorted(map(tuple, decontaminate.search_index(spark, str(tmp_path / "index"), tables[1]).collect()), key=str) == want
 
 
 def test_embeddings_against_brute_force(spark):
