@@ -28,6 +28,9 @@ from siftgrain.llm.trie import SHORT_BYTES, WORDS, DoubleArray, char_sizes, matr
 #: Pairs of pieces that a task remembers at a time; beyond it they are checked anew.
 MEMO_PAIRS = 1 << 19
 
+#: Characters of the longest piece, so that a count never changes by more than a signed byte holds: a character adds at most its bytes, and takes at most those of a piece.
+LONGEST = 30
+
 #: Stands for no piece: the start of a word, or a character given as bytes.
 NONE = -1
 
@@ -186,8 +189,11 @@ def prefix_token_counts(df: DataFrame, pieces: Pieces, id_col: str = "doc_id", t
     A null or empty text has 0 tokens and an empty prefix_delta; a null id is
     kept as null; equal rows give equal rows; other columns of df, whatever
     their names, are not looked at; an empty table gives an empty table. Texts
-    of any length are handled, one at a time when long.
+    of any length are handled, one at a time when long. Raises ValueError for a
+    vocabulary with pieces of more than LONGEST characters.
     """
+    if max((len(pieces.texts[i]) for i in pieces.matchable()), default=0) > LONGEST:
+        raise ValueError(f"a piece has more than {LONGEST} characters")
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(pieces)
 
@@ -273,12 +279,16 @@ def over_budget(counted: DataFrame, budget: int) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """op10: token counts of every document under the public 32k byte-pair pieces, against a budget of 4096 tokens."""
+    """op10: token counts of every document under the public 32k byte-pair pieces, against a budget of 4096 tokens.
+
+    n_chars_fit is the length of the longest prefix within the budget, n_tokens_1000 the count of the first 1000 characters; both come from the prefix counts.
+    """
     import public_tokenizers
 
     pieces = Pieces.read(public_tokenizers.path("piece_bpe_32k.model"))
     counted = prefix_token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), pieces)
-    return over_budget(counted, 4096).select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars")
+    answers = tokens_at(fit_to_budget(over_budget(counted, 4096), 4096), 1000, "n_tokens_1000")
+    return answers.select("doc_id", "n_bytes", "n_tokens", "over_limit", "n_chars", "n_chars_fit", "n_tokens_1000")
 
 
 __all__ = ["PrefixCounter", "counts_of", "fit_to_budget", "over_budget", "prefix_token_counts", "query", "tokens_at"]
