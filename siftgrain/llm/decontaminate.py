@@ -294,7 +294,7 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("digest")).alias("key"), F.col(text_col).alias("text"))
 
 
-def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10) -> DataFrame:
+def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", n: int = 10, by_row: bool = False) -> DataFrame:
     """For each row of docs: id, n_words, n_hit, items array<string> (ascending), contaminated.
 
     Words are runs of lower-cased letters, digits and all beyond ASCII. A
@@ -303,7 +303,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     occurrence of a window. A null text has no words; rows with a null id, and
     repeated rows, are rows of their own; items with a null id or text are left
     out; other columns are not looked at. Empty documents give an empty result;
-    without items nothing is hit.
+    without items nothing is hit. by_row: with digest, xxhash64 of the text.
     """
     small_batches(docs.sparkSession)
     spark = docs.sparkSession
@@ -314,7 +314,7 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
         met = found.join(F.broadcast(own.select("window", "item")), "window").select("key", "at", "n", "item")
         hits = met if hits is None else hits.union(met)
         words = words if words is not None else index.select("key", "n_words")
-    result, _ = write_table(_summary(words, hits, id_col), "contamination")
+    result, _ = write_table(_summary(words, hits, id_col, by_row), "contamination")
     for path in dict.fromkeys(paths):
         drop_table(spark, path)
     return result
@@ -400,7 +400,7 @@ def search_index(spark: SparkSession, path: str, items: DataFrame, id_col: str =
     return result
 
 
-def _summary(words: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
+def _summary(words: DataFrame, hits: DataFrame, id_col: str, by_row: bool = False) -> DataFrame:
     spans = hits.select("key", "at", (F.col("at") + F.col("n")).alias("end")).groupBy("key", "at").agg(F.max("end").alias("end"))
     before = Window.partitionBy("key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     # of each span the words that no earlier one has
@@ -409,7 +409,7 @@ def _summary(words: DataFrame, hits: DataFrame, id_col: str) -> DataFrame:
     items = hits.groupBy("key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     out = words.join(n_hit.join(items, "key"), "key", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
-    return out.select(F.col("key.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"))
+    return out.select(F.col("key.id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), (n_hit > 0).alias("contaminated"), *([F.col("key.digest").alias("digest")] if by_row else []))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -236,7 +236,7 @@ def sketch(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray, key_bits: int) -> DataFrame:
-    """id, size, two halves of the set's digest, sketch, and keys (of the first of equal sets in a batch) for every text.
+    """id, size, two halves of the set's digest, sketch, keys (of the first of equal sets in a task) and the given digest for every (id, text, digest).
 
     Of a key that several records of a batch have, only the least record's goes
     on; the others, and all later ones of the task, are in `near` as (key, that
@@ -277,9 +277,9 @@ def _sets(texts: DataFrame, n: int, threshold: Fraction, common: np.ndarray, key
                             owner.append(np.full(len(keys[-1]), k))
                     a = b
             out, hot = _keyed(ids, size, digest, sketches, keys, owner, hot)
-            yield out
+            yield out.append_column("digest", batch.column(2))
 
-    kind = "id long, size long, h1 long, h2 long, sketch array<long>, keys array<long>, near array<struct<key: long, a: long>>"
+    kind = "id long, size long, h1 long, h2 long, sketch array<long>, keys array<long>, near array<struct<key: long, a: long>>, digest long"
     return texts.mapInArrow(run, kind)
 
 
@@ -540,7 +540,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int, threshold: Fraction) -
     return both.mapInArrow(run, "a long, b long")
 
 
-def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
+def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, by_row: bool = False) -> DataFrame:
     """For each row of df: id, n_shingles and component_id (the least id that links lead to, itself included).
 
     Two texts link when the Jaccard similarity of their sets of word n-grams is
@@ -550,12 +550,14 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     with a null component. Repeated rows come back repeated; rows of one id and
     different texts are compared each by itself. Other columns,
     whatever their names, are not looked at. Empty tables give empty results.
+    by_row: with digest (xxhash64 of the text) and first, whether the row is
+    the one that stands for its group; equal rows all are, and rows with a null id.
     """
     if threshold < 0.5:
         raise ValueError("sets of less than half the size aren't compared")
     small_batches(df.sparkSession)
     spark, share = df.sparkSession, Fraction(str(threshold))
-    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("digest"))
     known = texts.filter("id IS NOT NULL")
     count = known.count()
     common = common_shingles(known, n, count)
@@ -570,30 +572,30 @@ def similar_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         drop_table(spark, path)
     lost = _sets(texts.filter("id IS NULL").withColumn("id", F.lit(0).cast("long")), n, share, common, key_bits)
     null = F.lit(None).cast("long")
-    return out.union(lost.select(null, "size", null)).toDF(id_col, "n_shingles", "component_id")
+    out = out.union(lost.select(null, "size", null, "digest", F.lit(True))).toDF(id_col, "n_shingles", "component_id", "digest", "first")
+    return out if by_row else out.drop("digest", "first")
 
 
 def _numbered(known: DataFrame, count: int, n: int, threshold: float) -> DataFrame:
     """The result where rows of one id have different texts: (id, digest of the text) get numbers in their order, which stand for ids."""
     spark = known.sparkSession
-    keyed = known.withColumn("digest", F.xxhash64("text"))
-    number, path = write_table(row_numbers(keyed.select("id", "digest").distinct(), ["id", "digest"], "number"), "numbers")
-    named, named_path = write_table(keyed.join(number, ["id", "digest"]).select("number", "text"), "numbered")
-    groups, groups_path = write_table(similar_groups(named, "number", "text", n, threshold), "groups")
+    number, path = write_table(row_numbers(known.select("id", "digest").distinct(), ["id", "digest"], "number"), "numbers")
+    named, named_path = write_table(known.join(number, ["id", "digest"]).select("number", "text"), "numbered")
+    groups, groups_path = write_table(similar_groups(named, "number", "text", n, threshold, by_row=True), "groups")
     # the component of the least number is the one of the least id
-    own = groups.join(number.select("number", "id"), "number")
+    own = groups.drop("digest").join(number, "number")
     least = number.select(F.col("number").alias("component_id"), F.col("id").alias("component"))
     hot = groups.groupBy("component_id").count().filter(F.col("count") >= hot_count(count))
-    out, _ = write_table(looked_up(own, least, hot, ["component_id"]).select("id", "n_shingles", "component"), "groups")
+    out, _ = write_table(looked_up(own, least, hot, ["component_id"]).select("id", "n_shingles", "component", "digest", "first"), "groups")
     for p in (path, named_path, groups_path):
         drop_table(spark, p)
     return out
 
 
 def _grouped(table: DataFrame, known: DataFrame, count: int, n: int, share: Fraction) -> DataFrame:
-    """(id, n_shingles, component) of the rows of _sets, where rows of one id have one set. known: (id, text)."""
+    """(id, n_shingles, component, digest, first) of the rows of _sets, where rows of one id have one set. known: (id, text, digest)."""
     spark = known.sparkSession
-    sizes = table.select("id", "size", "h1", "h2")
+    sizes = table.select("id", "size", "h1", "h2", "digest")
 
     # equal sets: one class, named by its least id
     equal = ["size", "h1", "h2"]
@@ -626,7 +628,7 @@ def _grouped(table: DataFrame, known: DataFrame, count: int, n: int, share: Frac
 
     def verified(these: DataFrame) -> tuple[DataFrame, str]:
         wanted = these.select(F.col("a").alias("id")).union(these.select(F.col("b").alias("id"))).distinct()
-        bodies, bodies_path = write_table(only_ids(known, wanted, "id").dropDuplicates(["id"]), "texts")
+        bodies, bodies_path = write_table(only_ids(known.select("id", "text"), wanted, "id").dropDuplicates(["id"]), "texts")
         out = write_table(_verified(these, bodies, n, share), "links")
         drop_table(spark, bodies_path)
         return out
@@ -645,7 +647,8 @@ def _grouped(table: DataFrame, known: DataFrame, count: int, n: int, share: Frac
     label = joined.toDF("rep", "label")
 
     out = sizes.join(copies, "id", "left").withColumn("rep", F.coalesce("rep", "id"))
-    out = looked_up(out, label, hot.select("rep"), ["rep"]).select("id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component"))
+    out = looked_up(out, label, hot.select("rep"), ["rep"]).select("id", F.col("size").alias("n_shingles"), F.coalesce("label", "rep").alias("component"), "digest")
+    out = out.withColumn("first", F.col("id") == F.col("component"))
     out, _ = write_table(out, "groups")
     for p in (classes_path, copies_path, met_path, members_path, first_path, links_path, rest_path, more_path):
         drop_table(spark, p)

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgrain.llm import katz, language_id, licenses, quality
-from tests.llm.helpers import DATA, awkward, docs, empty
+from tests.llm.helpers import DATA, awkward, docs, empty, thue_morse
 
 
 def tokens(text):
@@ -71,6 +71,22 @@ def test_katz_is_brute_force(spark, order, hot):
         assert got[i].score == pytest.approx(b.score(own), rel=1e-9)
 
 
+def test_katz_tells_long_words_apart(spark):
+    a, b = thue_morse(1024)
+    df = spark.createDataFrame([(1, a, True), (2, b, False), (3, f"{a} {b}", False)], "doc_id long, text string, train boolean")
+    assert {r.doc_id: r.n_known for r in katz.katz_scores(df, "train").collect()} == {1: 2, 2: 1, 3: 2}
+
+
+def test_katz_splits_contexts_at_default_settings(spark):
+    # more occurrences of one context than HOT_COUNT, in a text of several units' size
+    n = katz.HOT_COUNT + 1000
+    text = "a " * (n // 2) + "b " + "a " * (n - n // 2) + "c"
+    df = spark.createDataFrame([(1, text, True), (2, "a c", False), (3, "a z b", False)], "doc_id long, text string, train boolean")
+    got = {r.doc_id: r.score for r in katz.katz_scores(df, "train", order=2).collect()}
+    b = Brute([tokens(text)], 2)
+    assert got[2] == pytest.approx(b.score(tokens("a c")), rel=1e-9) and got[3] == pytest.approx(b.score(tokens("a z b")), rel=1e-9)
+
+
 def test_katz_query_is_of_order_3(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     b = Brute([tokens(t) for i, t in rows if zlib.crc32(str(i).encode()) % 7 != 2], 3)
@@ -122,14 +138,96 @@ def test_kernel_is_the_blended_spectrum():
 
 
 def test_language_of_awkward_documents(spark):
-    model = language_id.fit(*language_id.sample(docs(spark), "doc_id", "text", "lang"))
+    model = language_id.fit_presences(*language_id.sample(docs(spark), "doc_id", "text", "lang"))
     rows = language_id.predict(docs(spark), model).collect()
     got = {r.doc_id: r.lang_pred for r in rows}
     assert len(rows) == len(awkward()) and got[4] == got[5] == got[6] == got[14] == "und" and got[9] in {"en", "de", "fr"}
     assert language_id.predict(empty(spark), model).count() == 0
     none = language_id.fit([], [])
     assert {r.lang_pred for r in language_id.predict(docs(spark), none).collect()} == {"und"}
-    assert language_id.sample(empty(spark), "doc_id", "text", "lang") == ([], [])
+    x, labels = language_id.sample(empty(spark), "doc_id", "text", "lang")
+    assert x.shape == (0, language_id.SPACE) and labels == []
+
+
+def test_languages_are_scored_as_kernel_ridge_regression_does(spark):
+    """Scores by the definition: the kernel of all pairs, the Nyström map of the landmarks, and the normal equations."""
+    rows = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect() if r.text and r.lang][:80]
+
+    def grams(t):
+        own = "".join(c.lower() if "A" <= c <= "Z" else c for c in t).encode()
+        own = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in own)
+        return {own[i : i + n] for n in (1, 2, 3) for i in range(len(own) - n + 1) if b" " not in own[i : i + n]}
+
+    fit_on, others = rows[:50], rows[50:]
+    model = language_id.fit([t for _, t, _ in fit_on], [lang for *_, lang in fit_on], landmarks=16)
+    names = sorted({lang for *_, lang in fit_on})
+    marks = sorted(i for name in names for i in [k for k, r in enumerate(fit_on) if r[2] == name][: 16 // len(names)])
+    sets = [grams(t) for _, t, _ in rows]
+    kernel = np.array([[len(a & sets[m]) / math.sqrt(max(1, len(a)) * max(1, len(sets[m]))) for m in marks] for a in sets])
+    value, vector = np.linalg.eigh(kernel[marks])
+    x = kernel @ (vector / np.sqrt(value))
+    y = np.where(np.array([lang for *_, lang in fit_on])[:, None] == np.array(names), 1.0, -1.0)
+    a, b = x[:50] - x[:50].mean(0), y - y.mean(0)
+    w = np.linalg.solve(a.T @ a + 1e-3 * 50 * np.eye(len(marks)), a.T @ b)
+    z = 4.0 * ((x[50:] - x[:50].mean(0)) @ w + y.mean(0))
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    got = {r.doc_id: r for r in language_id.predict(spark.createDataFrame([(i, t) for i, t, _ in others], "doc_id long, text string"), model).collect()}
+    for (i, _, _), own in zip(others, p, strict=True):
+        # n-grams share places of the hashed space now and then
+        assert got[i].score == pytest.approx(own.max(), abs=0.05) and (got[i].lang_pred == names[own.argmax()] or np.sort(own)[-1] - np.sort(own)[-2] < 0.05)
+
+
+def test_rows_for_fitting_are_even_and_bounded(spark):
+    rows = [(i, f"text number {i}", "de" if i % 10 == 0 else "en") for i in range(900)] + [(5, "text number 5", "en")] * 300
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(7)
+    x, labels = language_id.sample(df, "doc_id", "text", "lang", rows=120)
+    assert labels.count("de") == labels.count("en") == 60 and len(x) == 120
+    assert (x == language_id.sample(df.repartition(3), "doc_id", "text", "lang", rows=120)[0]).all()
+
+
+def test_quality_features_and_scores_by_definition(spark):
+    def features(text):
+        raw = (text or "").encode()
+        n = max(1, len(raw))
+        share = lambda f: sum(f(b) for b in raw) / n
+        marks = set(b'!#$%&*+/<=>@[]^_`{|}~"\\')
+        out = [share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122), share(lambda b: 48 <= b <= 57), share(lambda b: b in b".?"), share(lambda b: b in b",;:"), share(lambda b: b in marks), share(lambda b: b >= 0xC3), share(lambda b: b == 10)]
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", raw) if w]
+        lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in w) for w in words]
+        lines = [bytes(b + 32 if 65 <= b <= 90 else b for b in x) for x in raw.split(b"\n") if x]
+        if not words:
+            return [*out, 0, 0, 0, 0, 0, 0, 0, 0, 0, 1]
+        m, counts, pairs = len(words), collections.Counter(lower), set(zip(lower, lower[1:]))
+        shouted = lambda w: not any(97 <= b <= 122 for b in w) and sum(65 <= b <= 90 for b in w) > 1
+        out += [sum(any(b in marks for b in w) for w in words) / m, sum(map(shouted, words)) / m, math.log(1 + m), min(40, sum(map(len, words)) / m)]
+        out += [len(counts) / m**0.9, len(pairs) / (m - 1) if m > 1 else 1, max(counts.values()) / m, sum(a == b for a, b in zip(lower, lower[1:])) / (m - 1) if m > 1 else 0]
+        return [*out, len(set(lines)) / max(1, len(lines)), 0]
+
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    x = np.array([features(t) for _, t in rows])
+    label = (x[:, 6] + x[:, 13] > np.median(x[:, 6] + x[:, 13])).astype(int)
+    model = quality.fit(x, label, 0.4)
+    got = {r.doc_id: (r.score, r.predicted) for r in quality.rate(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    for (i, _), own in zip(rows, x, strict=True):
+        strength = sum(min(6, max(-6, (v - m) / s)) * w for v, m, s, w in zip(own, model.mean, model.scale, model.weights, strict=True))
+        score = 1 / (1 + math.exp(-(strength - model.threshold)) * 0.7 / 0.3)
+        assert got[i][0] == pytest.approx(score, rel=1e-6) and got[i][1] == int(score >= 0.3), i
+
+
+def test_pairwise_weights_are_the_optimum():
+    r = np.random.default_rng(2)
+    label = (r.random(300) > 0.5).astype(int)
+    x = r.standard_normal((300, len(quality.FEATURES))) + 0.7 * label[:, None]
+    model = quality.fit(x, label, 0.5, pairs=4000)
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    rng = np.random.default_rng(11)
+    d = z[rng.choice(np.flatnonzero(label == 1), 4000)] - z[rng.choice(np.flatnonzero(label == 0), 4000)]
+    loss = lambda w: np.log1p(np.exp(-d @ w)).mean() + 0.5e-3 * w @ w
+    best = loss(model.weights)
+    for k in range(len(model.weights)):
+        step = np.eye(len(model.weights))[k] * 1e-3
+        assert loss(model.weights + step) >= best - 1e-12 and loss(model.weights - step) >= best - 1e-12
 
 
 def test_quality_of_held_out_documents(spark):
