@@ -14,12 +14,12 @@ STAGES = ("metadata", "preview", "thumb", "hash", "face", "person_mask", "image_
 #: Direct dependencies of each analysis stage.
 DEPENDS = {
     "metadata": (),
-    "preview": ("metadata",),
+    "preview": (),
     "thumb": ("preview",),
     "hash": ("preview",),
-    "image_metrics": ("preview",),
     "face": ("preview",),
     "person_mask": ("preview", "face"),
+    "image_metrics": ("preview", "person_mask"),
     "embedding": ("preview", "person_mask"),
     "iqa": ("preview",),
 }

@@ -18,6 +18,7 @@ METRIC_FIELDS = (
     "brightness_mean", "brightness_median", "brightness_p01", "brightness_p05", "brightness_p95", "brightness_p99", "shadow_clip_ratio", "highlight_clip_ratio", "dynamic_range_p05_p95",
     "contrast_std_ratio", "saturation_mean", "saturation_median", "saturation_clip_ratio", "value_mean", "color_cast_strength", "white_balance_deviation", "laplacian_var", "tenengrad", "edge_density",
     "center_laplacian_var", "center_tenengrad", "center_sharpness_ratio", "aspect_ratio", "center_brightness_mean", "center_brightness_delta", "noise_proxy", "gradient_anisotropy", "dominant_angle_deg",
+    "rgb_mean_r", "rgb_mean_g", "rgb_mean_b", "color_cast_deviation_r", "color_cast_deviation_g", "color_cast_deviation_b",
 )
 
 
@@ -122,22 +123,28 @@ def metrics(rgb: np.ndarray) -> dict[str, float]:
     values = (
         g.mean(), p50, p01, p05, p95, p99, (g <= 4).mean(), (g >= 251).mean(), (p95 - p05) / 255,
         g.std() / 255, saturation.mean() / 255, np.median(saturation) / 255, (saturation >= 250).mean(), top.mean() / 255, np.linalg.norm(means - means.mean()) / 255, (means.max() - means.min()) / max(means.mean(), 1e-6), lap, tenengrad(g), edge_density(g),
-        center_lap, tenengrad(center), (center_lap + 1e-6) / (lap + 1e-6), w / h, middle, middle - g.mean(), noise_proxy(g), anisotropy, angle,
+        center_lap, tenengrad(center), (center_lap + 1e-6) / (lap + 1e-6), w / h, middle, middle - g.mean(), noise_proxy(g), anisotropy, angle, *means, *(means - means.mean()),
     )
     return dict(zip(METRIC_FIELDS, map(float, values), strict=True))
 
 
-def resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
-    """A grey picture of another size, by means of areas."""
-    rows = np.linspace(0, g.shape[0], height + 1)
-    cols = np.linspace(0, g.shape[1], width + 1)
+def _cubic(size: int, out: int) -> np.ndarray:
+    """Weights (out, size) of cubic convolution (a = -1/2), as wide as the picture shrinks."""
+    scale = size / out
+    wide = max(1.0, scale)
+    x = np.abs((np.arange(size) + 0.5 - (np.arange(out)[:, None] + 0.5) * scale) / wide)
+    w = np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+    return w / w.sum(1, keepdims=True)
 
-    def weights(edges: np.ndarray, n: int) -> np.ndarray:
-        at = np.arange(n)
-        part = np.clip(np.minimum(edges[1:, None], at + 1) - np.maximum(edges[:-1, None], at), 0, None)
-        return part / part.sum(1, keepdims=True)
 
-    return weights(rows, g.shape[0]) @ g @ weights(cols, g.shape[1]).T
+def resized(g: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A grey picture of another size by cubic convolution, first along rows, then along columns, each in whole steps from 0 to 255; of its own size it stays."""
+    out = g.astype(float)
+    if width != g.shape[1]:
+        out = np.clip(np.floor(out @ _cubic(g.shape[1], width).T + 0.5), 0, 255)
+    if height != g.shape[0]:
+        out = np.clip(np.floor(_cubic(g.shape[0], height) @ out + 0.5), 0, 255)
+    return out
 
 
 def _hex(bits: np.ndarray) -> str:

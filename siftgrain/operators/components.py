@@ -3,8 +3,9 @@
 Each round replaces the links of a vertex by links to the least vertex of its
 neighbourhood; the links become stars around the components' least vertices in
 a number of rounds that grows with the logarithm of the longest path. Minima
-are combined before a shuffle, so that a vertex with very many links costs no
-more in one task than any other, and a task never holds a vertex's neighbours.
+are combined before a shuffle, and the links of the few vertices that have a
+large share of them get the minima by broadcast, where they are; so no task gets
+all links of a vertex.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftgrain.operators.store import drop_table, write_table
+from siftgrain.operators.store import drop_table, hot_count, looked_up, write_table
 
 #: Links that one call of the local contraction holds.
 LOCAL_LINKS = 1 << 18
+#: Up to so many links a vertex may have all of them in one task.
+FEW_LINKS = 1 << 17
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -53,17 +56,24 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def _large_star(links: DataFrame) -> DataFrame:
+def _with_least(links: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """links (v, u) with m of their v; least: (v, m, n), n being how many links v has."""
+    if total <= FEW_LINKS:
+        return links.join(least.drop("n"), "v")
+    return looked_up(links, least.drop("n"), least.filter(F.col("n") >= hot_count(total)).select("v"), ["v"], "inner")
+
+
+def _large_star(links: DataFrame, total: int) -> DataFrame:
     """Links (v, u) with v > u: each vertex's larger neighbours go to its least neighbour."""
     both = links.select("v", "u").union(links.select(F.col("u").alias("v"), F.col("v").alias("u")))
-    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"))
-    return both.filter("u > v").join(least, "v").select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
+    least = both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("m"), F.count("*").alias("n"))
+    return _with_least(both.filter("u > v"), least, 2 * total).select(F.col("u").alias("v"), F.col("m").alias("u")).distinct()
 
 
-def _small_star(links: DataFrame) -> DataFrame:
+def _small_star(links: DataFrame, total: int) -> DataFrame:
     """Each vertex and its smaller neighbours go to the least of them."""
-    least = links.groupBy("v").agg(F.min("u").alias("m"))
-    joined = links.join(least, "v")
+    least = links.groupBy("v").agg(F.min("u").alias("m"), F.count("*").alias("n"))
+    joined = _with_least(links, least, total)
     kept = joined.filter("u != m").select(F.col("u").alias("v"), F.col("m").alias("u"))
     return kept.union(least.select("v", F.col("m").alias("u"))).distinct()
 
@@ -86,7 +96,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
                 now.select(F.col("u").alias("id"), F.col("u").alias("component")).distinct()
             )
         before = state
-        new, new_path = write_table(_small_star(_large_star(now)), "links")
+        new, new_path = write_table(_small_star(_large_star(now, state[0]), state[0]), "links")
         drop_table(spark, path)
         now, path = new, new_path
     raise RuntimeError(f"links don't settle in {max_rounds} rounds")

@@ -9,6 +9,10 @@ from siftgrain.config import Config
 from siftgrain.functions import exprs as X
 from siftgrain.operators.components import components
 from siftgrain.operators.stats import row_numbers
+from siftgrain.operators.store import write_table
+
+#: Photos of a block of a set.
+PAIR_BLOCK = 256
 
 
 def segments(photos: DataFrame, config: Config) -> DataFrame:
@@ -16,16 +20,39 @@ def segments(photos: DataFrame, config: Config) -> DataFrame:
 
     A segment ends at a change of date, at a gap, and where both cameras are
     known and differ. Photos without a time come first, as a day of their own.
+
+    Photos are dealt out by ranges of time and name, so that a busy day is spread
+    over tasks. Of each range only its ends and counts go on, one row a range,
+    from which the others learn what stands ahead of them.
     """
-    day = F.to_date("capture_time")
-    order = Window.partitionBy("day").orderBy("capture_time", "display_id")
-    prev = lambda c: F.lag(c).over(order)
-    gap = X.seconds_apart("capture_time", prev("capture_time")) > config.segment_gap_s
-    known = F.col("make").isNotNull() & F.col("model").isNotNull() & prev("make").isNotNull() & prev("model").isNotNull()
-    camera = known & ((F.col("make") != prev("make")) | (F.col("model") != prev("model")))
-    out = photos.withColumn("day", day).withColumn("breaks", F.coalesce((gap | camera).cast("int"), F.lit(0)))
-    out = out.withColumn("segment", F.sum("breaks").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("breaks")
-    return out.withColumn("rn", F.row_number().over(Window.partitionBy("day", "segment").orderBy("capture_time", "display_id")))
+    spark = photos.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+    place = ["capture_time", "display_id"]
+    dealt, _ = write_table(photos.repartitionByRange(n, *place).withColumn("_range", F.spark_partition_id()), "segmented")
+    mark = F.struct("capture_time", "display_id", "make", "model")
+    edges = dealt.groupBy("_range").agg(F.max_by(mark, F.struct(F.col("capture_time").isNotNull(), *place)).alias("_last"), F.count("*").alias("_n"))
+    ahead = Window.orderBy("_range")  # over one row a range
+    edges = edges.select("_range", F.lag("_last").over(ahead).alias("_ahead"), (F.sum("_n").over(ahead) - F.col("_n")).alias("_before"))
+    order = Window.partitionBy("_range").orderBy(*place)
+    out = dealt.join(F.broadcast(edges), "_range").withColumn("_prev", F.coalesce(F.lag(mark).over(order), "_ahead"))
+    out = out.withColumn("day", F.to_date("capture_time")).withColumn("_no", F.row_number().over(order) + F.col("_before"))
+    prev = F.col("_prev")
+    gap = X.seconds_apart("capture_time", prev["capture_time"]) > config.segment_gap_s
+    camera = ((F.col("make") != prev["make"]) | (F.col("model") != prev["model"])) & F.col("model").isNotNull() & prev["model"].isNotNull() & F.col("make").isNotNull() & prev["make"].isNotNull()
+    new_day = prev.isNull() | ~F.col("day").eqNullSafe(F.to_date(prev["capture_time"]))
+    begins = new_day | F.coalesce(gap | camera, F.lit(False))
+    out, _ = write_table(out.withColumn("_begins", begins).drop("_prev", "_ahead", "_before"), "segments")
+    # of each range how many segments began before it, and where the last of them began
+    begun = out.groupBy("_range").agg(F.count_if("_begins").alias("_k"), F.max(F.when(F.col("_begins"), F.col("_no"))).alias("_at"))
+    begun = begun.select("_range", (F.sum("_k").over(ahead) - F.col("_k")).alias("_past"), F.max("_at").over(ahead.rowsBetween(Window.unboundedPreceding, -1)).alias("_open"))
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    out = out.join(F.broadcast(begun), "_range").withColumn("_segment", F.sum(F.col("_begins").cast("long")).over(upto) + F.col("_past"))
+    start = F.coalesce(F.max(F.when(F.col("_begins"), F.col("_no"))).over(upto), F.col("_open"))
+    out = out.withColumn("rn", (F.col("_no") - start + 1).cast("long"))
+    # days are few: one row each
+    first = out.groupBy("day").agg(F.min("_segment").alias("_first")).withColumnRenamed("day", "_day")
+    out = out.join(F.broadcast(first), F.col("day").eqNullSafe(F.col("_day"))).withColumn("segment", F.col("_segment") - F.col("_first"))
+    return out.drop("_range", "_no", "_begins", "_past", "_open", "_segment", "_first", "_day")
 
 
 def band_pairs(photos: DataFrame, config: Config, carry: list[str]) -> DataFrame:
@@ -46,15 +73,21 @@ def band_pairs(photos: DataFrame, config: Config, carry: list[str]) -> DataFrame
     return met.filter(X.seconds_apart("a_capture_time", "b_capture_time") <= config.pair_window_s).drop("block", "b_block", "b_day", "b_segment")
 
 
-def edge_decision(pairs: DataFrame, config: Config) -> DataFrame:
+def with_unit_vectors(photos: DataFrame) -> DataFrame:
+    """photos with embedding, fg and bg at length 1: done once a photo, a pair's cosine is one product."""
+    return photos.withColumns({c: X.l2_normalize(c) for c in ("embedding", "fg", "bg")})
+
+
+def edge_decision(pairs: DataFrame, config: Config, unit: bool = False) -> DataFrame:
     """pairs with global_sim, fg_sim, bg_sim, combined, veto and edge.
 
-    pairs carries embedding, fg, bg and area of both photos; fg and bg may be null.
+    pairs carries embedding, fg, bg and area of both photos; fg and bg may be
+    null. unit: the vectors are those of with_unit_vectors.
     """
     has = lambda s: F.col(f"{s}_fg").isNotNull() & F.col(f"{s}_bg").isNotNull()
-    g = X.cosine("a_embedding", "b_embedding")
+    alike = X.dot if unit else X.cosine
     both, one = has("a") & has("b"), has("a") != has("b")
-    out = pairs.withColumns({"global_sim": g, "fg_sim": F.when(both, X.cosine("a_fg", "b_fg")), "bg_sim": F.when(both, X.cosine("a_bg", "b_bg"))})
+    out = pairs.withColumns({"global_sim": alike("a_embedding", "b_embedding"), "fg_sim": F.when(both, alike("a_fg", "b_fg")), "bg_sim": F.when(both, alike("a_bg", "b_bg"))})
     w = config.weights
     combined = F.when(both, X.weighted([("global_sim", w[0]), ("bg_sim", w[1]), ("fg_sim", w[2])]))
     area = F.least(F.coalesce("a_area", F.lit(0.0)), F.coalesce("b_area", F.lit(0.0)))
@@ -75,6 +108,20 @@ def review_sets(photos: DataFrame, edges: DataFrame) -> DataFrame:
     return photos.join(label, "photo_no", "left").withColumn("set_no", F.coalesce("_set", "photo_no")).drop("_set")
 
 
+def by_size(sets: DataFrame) -> DataFrame:
+    """sets (photo_count, set_no) with place: from 1, the largest first, equal ones by their number."""
+    return row_numbers(sets.withColumn("_rest", -F.col("photo_count")), ["_rest", "set_no"], "place").drop("_rest")
+
+
+def counters(photos: DataFrame, pairs: DataFrame, edges: DataFrame, sets: DataFrame) -> DataFrame:
+    """One row: hard_segments (of photos with day and segment), compared_pairs, accepted_edges and review_sets."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    own = n(photos.select("day", "segment").distinct(), "hard_segments")
+    for df, name in ((pairs, "compared_pairs"), (edges, "accepted_edges"), (sets, "review_sets")):
+        own = own.join(F.broadcast(n(df, name)))  # one row each
+    return own
+
+
 def set_names(photos: DataFrame) -> DataFrame:
     """(set_no, review_set_id): sets numbered by the time and name of their first photo."""
     first = photos.groupBy("set_no").agg(F.min(F.struct("capture_time", "display_id")).alias("first")).select("set_no", "first.*")
@@ -82,11 +129,19 @@ def set_names(photos: DataFrame) -> DataFrame:
 
 
 def set_similarity(photos: DataFrame) -> DataFrame:
-    """(set_no, n, sim_min, sim_mean, sim_max, set_type_similar) over all pairs of a set's vectors; 1 for a single photo."""
-    left = photos.select("set_no", F.col("photo_no").alias("a"), F.col("embedding").alias("ea"))
-    right = photos.select("set_no", F.col("photo_no").alias("b"), F.col("embedding").alias("eb"))
-    sims = left.join(right, "set_no").filter("a < b").withColumn("sim", X.cosine("ea", "eb")).groupBy("set_no").agg(F.min("sim").alias("lo"), F.avg("sim").alias("mean"), F.max("sim").alias("hi"))
-    out = photos.groupBy("set_no").agg(F.count("*").alias("n")).join(sims, "set_no", "left")
+    """(set_no, n, sim_min, sim_mean, sim_max) over all pairs of a set's vectors; 1 for a single photo.
+
+    A set's photos are dealt into blocks of about PAIR_BLOCK, and each pair of
+    blocks is compared by itself, so that a large set is spread over tasks.
+    """
+    unit, _ = write_table(photos.select("set_no", "photo_no", X.l2_normalize("embedding").alias("u")), "set-vectors")
+    sizes = unit.groupBy("set_no").agg(F.count("*").alias("n"))
+    blocks = F.ceil(F.col("n") / PAIR_BLOCK).cast("int")
+    dealt = unit.join(sizes.filter("n > 1"), "set_no").withColumn("own", F.pmod(F.xxhash64("photo_no"), blocks).cast("int")).withColumn("last", blocks - 1)
+    left = dealt.select("set_no", F.col("own").alias("x"), F.explode(F.sequence("own", "last")).alias("y"), F.col("photo_no").alias("a"), F.col("u").alias("ua"))
+    right = dealt.select("set_no", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), F.col("photo_no").alias("b"), F.col("u").alias("ub"))
+    sims = left.join(right, ["set_no", "x", "y"]).filter("x < y OR a < b").select("set_no", X.dot("ua", "ub").alias("sim"))
+    out = sizes.join(sims.groupBy("set_no").agg(F.min("sim").alias("lo"), F.avg("sim").alias("mean"), F.max("sim").alias("hi")), "set_no", "left")
     one = F.lit(1.0)
     return out.select("set_no", "n", F.coalesce("lo", one).alias("sim_min"), F.coalesce("mean", one).alias("sim_mean"), F.coalesce("hi", one).alias("sim_max"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siftgrain.config import Config
+from siftgrain.config import STAGES, Config
 from siftgrain.functions import exprs as X
 
 # Where a photo's artifacts are below the cache folder.
@@ -65,6 +65,19 @@ def with_event_defaults(events: DataFrame, default_type: str, now: Column) -> Da
     return events.withColumns({c: F.coalesce(F.col(c), d) if c in events.columns else d for c, d in defaults.items()})
 
 
+def manifest_record(photos: DataFrame) -> DataFrame:
+    """photos with record: struct<status struct<overall, stages>, ui_summary struct<orientation, face_count, foreground_area_ratio, quality_label, warning_flags>>.
+
+    photos: status map<stage, status>, width, height, face_count, area, shadow_clip and highlight_clip. overall is
+    success if every stage is done, else partial if one failed, else pending.
+    """
+    states = F.transform(F.array(*map(F.lit, STAGES)), lambda s: F.coalesce(F.col("status")[s], F.lit("pending")))
+    overall = F.when(F.forall(states, lambda s: s.isin("success", "skipped")), "success").when(F.exists(states, lambda s: s == "failed"), "partial").otherwise("pending")
+    flags = X.texts((X.finite("shadow_clip", 0.0) > 0.05, "shadow_clip"), (X.finite("highlight_clip", 0.0) > 0.03, "highlight_clip"))
+    shown = F.struct(X.orientation("width", "height").alias("orientation"), "face_count", F.col("area").alias("foreground_area_ratio"), F.lit("normal").alias("quality_label"), flags.alias("warning_flags"))
+    return photos.withColumn("record", F.struct(F.struct(overall.alias("overall"), F.col("status").alias("stages")).alias("status"), shown.alias("ui_summary")))
+
+
 def exif_fields(raw: str) -> Column:
     """The 15 useful tags of a raw EXIF document, by their names here."""
     # Tag names.

@@ -100,6 +100,18 @@ def run_totals(stages: DataFrame) -> DataFrame:
     )
 
 
+def task_state(stages: DataFrame, errors: int = 50) -> DataFrame:
+    """(task_id, status, current_stage, totals struct<total, success, failed, skipped>, errors): a snapshot of each task.
+
+    stages: (task_id, stage, status, message). The current stage is the last one by name; of the errors the last `errors` by stage stay.
+    """
+    n = lambda s: F.count_if(F.col("status") == s)
+    failed = F.sort_array(F.collect_list(F.when(F.col("status") == "failed", F.struct("stage", "message"))))
+    out = stages.groupBy("task_id").agg(F.max("stage").alias("current_stage"), F.struct(F.count("*").alias("total"), n("success").alias("success"), n("failed").alias("failed"), n("skipped").alias("skipped")).alias("totals"), failed.alias("errors"))
+    state = F.when(F.col("totals.failed") > 0, "partial_success").otherwise("success")
+    return out.select("task_id", state.alias("status"), "current_stage", "totals", F.slice("errors", F.greatest(F.lit(1), F.size("errors") - errors + 1), errors).alias("errors"))
+
+
 def carried_forward(scan: DataFrame, prior: DataFrame, columns: list[str]) -> DataFrame:
     """scan with the given columns of the prior documents where there are any."""
     old = prior.select(F.col("source_id").alias("_id"), *[F.col(c).alias(f"_{c}") for c in columns])

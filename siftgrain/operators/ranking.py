@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siftgrain.config import Config
 from siftgrain.functions import exprs as X
-from siftgrain.operators.scoring import CATEGORIES, ui_state
+from siftgrain.operators.scoring import CATEGORIES, compare_values, ui_state
 
 #: Weight of the base score and of each category in the score within a set.
 BLEND = {"base_overall": 0.75, "technical_quality": 0.1, "face_quality": 0.05, "iqa": 0.05, "composition": 0.05}
@@ -87,6 +87,30 @@ def challenger_queue(photos: DataFrame, key: str = "set_no") -> DataFrame:
     )
 
 
+# What sets a keeper apart from the other keepers.
+ONLY_KEEPER, APART, ALIKE = "该组首选 keeper", "与其他推荐图有一定差异", "与其他推荐图较相似，但质量排名靠前"
+
+
+def keeper_slots(photos: DataFrame, key: str = "set_no") -> DataFrame:
+    """(key, slot_id, keeper_photo_id, rank, confidence, reasons, weaknesses, diversity) of the keeper of each set.
+
+    photos: ranked ones with reasons and weaknesses. The one slot is the first photo's; alternates have none.
+    """
+    own = photos.filter("rank = 1")
+    return own.select(key, F.lit("slot_1").alias("slot_id"), F.col("display_id").alias("keeper_photo_id"), F.lit(1).alias("rank"), F.round("overall", 6).alias("confidence"), "reasons", "weaknesses", diversity(F.lit(None).cast("double")).alias("diversity"))
+
+
+def diversity(nearest: Column) -> Column:
+    """What sets a keeper apart, by its greatest similarity to another keeper; null where it is the only one."""
+    return F.when(nearest.isNull(), ONLY_KEEPER).when(nearest < 0.95, APART).otherwise(ALIKE)
+
+
+def challenger_meta(photos: DataFrame, queue: DataFrame, key: str = "set_no") -> DataFrame:
+    """photos with the columns of their row in the challenger queue, null where a photo has none."""
+    own = queue.select(key, F.col("photo_id").alias("display_id"), F.col("rank").alias("queue_rank"), "compare_to", "similarity_to_primary", "score_delta", "reason")
+    return photos.join(own, [key, "display_id"], "left")
+
+
 def slot_queue(photos: DataFrame, config: Config, key: str = "set_no") -> DataFrame:
     """For each keeper slot (the first photo's) the queue_size photos most like it."""
     queue = challenger_queue(photos, key).withColumnRenamed("rank", "queue_rank")
@@ -95,6 +119,19 @@ def slot_queue(photos: DataFrame, config: Config, key: str = "set_no") -> DataFr
     return queue.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= config.queue_size).select(key, F.lit("slot_1").alias("slot_id"), "photo_id", "rank", F.col("similarity_to_primary").alias("similarity_to_keeper"), "score_delta", "reason")
 
 
+def photo_payload(photos: DataFrame, key: str = "set_no") -> DataFrame:
+    """Ranked photos with similarity_to_cover, compare_values and whether they have foreground and background vectors."""
+    cover = photos.filter("rank = 1").select(key, X.l2_normalize("embedding").alias("_cover"))
+    out = compare_values(photos).join(cover, key).withColumn("similarity_to_cover", F.round(X.dot(X.l2_normalize("embedding"), "_cover"), 6))
+    return out.withColumns({"has_foreground_embedding": F.col("fg").isNotNull(), "has_background_embedding": F.col("bg").isNotNull()}).drop("_cover")
+
+
+def keepers_in_order(photos: DataFrame, key: str = "set_no") -> DataFrame:
+    """(key, keeper_ids): the given keepers of each set, the primary one first, then by rank."""
+    held = photos.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", "display_id"))).alias("k"))
+    return held.select(key, F.transform("k", lambda x: x["display_id"]).alias("keeper_ids"))
+
+
 def in_keeper_order(photos: DataFrame, primary: str = "primary_id") -> DataFrame:
     """Keepers, the primary one first, then by rank."""
     return photos.orderBy((F.col("display_id") == F.col(primary)).desc(), "rank", "display_id")

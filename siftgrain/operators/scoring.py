@@ -108,6 +108,25 @@ def compare_metrics(raw: list[str], normalised: list[str]) -> Column:
     return F.struct(own(normalised).alias("values"), own(raw).alias("raw"))
 
 
+def compare_values(photos: DataFrame) -> DataFrame:
+    """photos (METRICS) with compare_values map<string, double>: metrics as 0 to 1, by the name that a comparison shows; absent IQA values are left out."""
+    m = {c: X.finite(c) for c in METRICS}
+    or_ = lambda c, d: F.coalesce(m[c], F.lit(d))
+    values = {
+        "sharpness": X.log_ratio("laplacian_var", 800),
+        "center_sharpness": X.clamp01(or_("center_sharpness_ratio", 1.0) / 1.5),
+        "exposure_clip": X.clamp01(1 - 8 * or_("shadow_clip", 0.0) - 10 * or_("highlight_clip", 0.0)),
+        "brightness": X.clamp01(1 - F.abs(or_("brightness_mean", 127.5) - 127.5) / 127.5),
+        "contrast": X.clamp01(or_("contrast_std_ratio", 0.0) / 0.22),
+        "dynamic_range": X.clamp01(or_("dynamic_range", 0.0) / 0.45),
+        "saturation": X.clamp01(1 - F.abs(or_("saturation_mean", 0.35) - 0.35) / 0.45),
+        "color_cast": X.clamp01(1 - 1.5 * or_("color_cast", 0.0)),
+        "piqe": F.when(m["piqe"].isNotNull(), X.clamp01(1 - m["piqe"] / 100)),
+        "aesthetic": F.when(m["aesthetic"].isNotNull(), X.clamp01(m["aesthetic"])),
+    }
+    return photos.withColumn("compare_values", X.without_nulls(F.create_map(*[x for k, v in values.items() for x in (F.lit(k), v)]), 6))
+
+
 def metric_differences(left: str, right: str, weights: dict[str, float], limit: int | None = 5) -> Column:
     """The metrics of two maps by the weighted size of their difference, the greatest first."""
     keys = F.array(*map(F.lit, sorted(weights)))

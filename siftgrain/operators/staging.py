@@ -20,18 +20,11 @@ def photo_sources(sets: DataFrame) -> DataFrame:
     return each.filter("source IS NOT NULL").groupBy("display_id").agg(F.max_by("source", "seq").alias("source"))
 
 
-def sidecars(photos: DataFrame, inventory: DataFrame) -> DataFrame:
-    """(display_id, sidecar) of the files beside a photo that have its stem, of several that differ in case only the first."""
-    stem = F.regexp_replace("source", r"\.[^./]*$", "")
-    wanted = photos.select("display_id", F.explode(F.array(*[F.concat(stem, F.lit(f".{x}")) for x in SIDECARS])).alias("sidecar"))
-    there = wanted.join(inventory.select(F.col("path").alias("sidecar")).distinct(), "sidecar", "left_semi")
-    return there.groupBy("display_id", F.lower("sidecar").alias("k")).agg(F.max("sidecar").alias("sidecar")).select("display_id", "sidecar")
-
-
 def plan(photos: DataFrame, keep: DataFrame, inventory: DataFrame, folder: str, config: Config) -> DataFrame:
     """(display_id, outcome, kind, source, destination, bytes): one row for each operation, fact or issue.
 
     photos: (display_id, source); keep: (display_id); inventory: (path, size).
+    Of a photo's sidecars that differ in case only, the lower-case one counts.
     """
     files = inventory.groupBy("path").agg(F.max("size").alias("size"))
     at = lambda name: files.select(F.col("path").alias(f"_{name}"), F.col("size").alias(f"{name}_size"))
@@ -68,7 +61,9 @@ def plan(photos: DataFrame, keep: DataFrame, inventory: DataFrame, folder: str,
     beside = known.filter("staged IS NOT NULL").select("display_id", "keep", F.regexp_replace("source", r"\.[^./]*$", "").alias("stem"))
     beside = beside.select("display_id", "keep", F.explode(F.array(*[F.concat("stem", F.lit(f".{x}")) for x in SIDECARS])).alias("source"))
     beside = beside.withColumn("staged", staged_path("source", folder, config))
-    return decided(known, "source").union(decided(beside, "sidecar"))
+    rest = ["source", "kind", "destination", "bytes"]
+    one = decided(beside, "sidecar").groupBy("display_id", "outcome").agg(F.max(F.struct(*rest)).alias("x")).select("display_id", "outcome", "x.*")
+    return decided(known, "source").unionByName(one)
 
 
 def totals(ops: DataFrame) -> DataFrame:

@@ -8,10 +8,17 @@ from pyspark.sql import functions as F
 from siftgrain.operators.store import write_table
 
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """An aggregate: the value at place round(p / 100 * (n - 1)) of the sorted values, halves to even."""
-    at = F.bround(F.lit(p) / 100 * (F.count(values) - 1)).cast("int")
-    return F.element_at(F.sort_array(F.collect_list(values)), at + 1)
+def nearest_ranks(df: DataFrame, value: str, by: list[str], percents: dict[str, float]) -> DataFrame:
+    """(by..., one column for each percentile): the value at place round(p / 100 * (n - 1)) of a group's sorted values, halves to even.
+
+    Equal values are counted before they are sorted, so that a group costs what
+    its distinct values do, and no task holds its rows.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(*by).orderBy(value)
+    placed = counted.withColumn("_end", F.sum("_n").over(order.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
+    at = {name: F.bround(F.lit(p) / 100 * (F.col("_all") - 1)) for name, p in percents.items()}
+    return placed.groupBy(*by).agg(*[F.max(F.when((at[n] < F.col("_end")) & (at[n] >= F.col("_end") - F.col("_n")), F.col(value))).alias(n) for n in percents])
 
 
 def summary(df: DataFrame, value: str, by: list[str]) -> DataFrame:

@@ -53,12 +53,14 @@ def photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pairs(spark, sf_dir, config=GLOBAL) -> DataFrame:
-    return grouping.band_pairs(grouping.segments(photos(spark, sf_dir), config), config, ["photo_no", "embedding", "fg", "bg", "area"])
+    return grouping.band_pairs(grouping.segments(grouping.with_unit_vectors(photos(spark, sf_dir)), config), config, ["photo_no", "embedding", "fg", "bg", "area"])
 
 
 def _sets(spark, sf_dir) -> DataFrame:
-    edges = grouping.edge_decision(_pairs(spark, sf_dir), GLOBAL).filter("edge").select("a_photo_no", "b_photo_no")
-    return grouping.review_sets(grouping.segments(photos(spark, sf_dir), GLOBAL), edges)
+    ordered, _ = write_table(grouping.segments(photos(spark, sf_dir), GLOBAL), "ordered")
+    pairs = grouping.band_pairs(grouping.with_unit_vectors(ordered), GLOBAL, ["photo_no", "embedding", "fg", "bg", "area"])
+    edges = grouping.edge_decision(pairs, GLOBAL, unit=True).filter("edge").select("a_photo_no", "b_photo_no")
+    return grouping.review_sets(ordered, edges)
 
 
 def _ranked(spark, sf_dir) -> DataFrame:
@@ -209,15 +211,19 @@ def _(spark, sf_dir):
     return incremental.source_changed(now, prior).select("source_id", "changed")
 
 
-_STALE = """WITH v(stage, version, config_hash) AS (VALUES ('metadata', '1', 'a'), ('preview', '2', 'a'), ('face', '1', 'b'), ('person_mask', '1', 'c'), ('embedding', '3', 'a')),
+_STALE = """WITH v(stage, version, config_hash) AS (VALUES ('metadata', '1', 'a'), ('preview', '2', 'a'), ('face', '1', 'b'), ('person_mask', '1', 'c'), ('image_metrics', '1', 'a'), ('hash', '2', 'a'), ('embedding', '3', 'a')),
 own AS (SELECT event_id AS source_id, stage, CASE WHEN event_id % 9 = 0 THEN 'source_changed' WHEN (event_id + length(stage)) % 17 = 0 THEN 'missing' WHEN (event_id + length(stage)) % 5 = 0 THEN 'not_done' WHEN stage = 'preview' AND event_id % 3 = 0 THEN 'version' END AS reason FROM events, v),
-up(stage, other) AS (VALUES ('preview', 'metadata'), ('face', 'metadata'), ('face', 'preview'), ('person_mask', 'metadata'), ('person_mask', 'preview'), ('person_mask', 'face'), ('embedding', 'metadata'), ('embedding', 'preview'), ('embedding', 'face'), ('embedding', 'person_mask'))
+need(stage, other) AS (VALUES ('thumb', 'preview'), ('hash', 'preview'), ('face', 'preview'), ('person_mask', 'preview'), ('person_mask', 'face'), ('image_metrics', 'preview'), ('image_metrics', 'person_mask'), ('embedding', 'preview'), ('embedding', 'person_mask'), ('iqa', 'preview')),
+up AS (SELECT * FROM need UNION SELECT a.stage, b.other FROM need a JOIN need b ON a.other = b.stage UNION SELECT a.stage, c.other FROM need a JOIN need b ON a.other = b.stage JOIN need c ON b.other = c.stage)
 SELECT source_id, stage, coalesce(reason, 'dependency') AS reason FROM own o WHERE reason IS NOT NULL OR EXISTS (SELECT 1 FROM up JOIN own p ON p.stage = up.other WHERE up.stage = o.stage AND p.source_id = o.source_id AND p.reason IS NOT NULL)"""
 
 
+_VERSIONS = [("metadata", "1", "a"), ("preview", "2", "a"), ("face", "1", "b"), ("person_mask", "1", "c"), ("image_metrics", "1", "a"), ("hash", "2", "a"), ("embedding", "3", "a")]
+
+
 @query("incremental_stale", _STALE)
 def _(spark, sf_dir):
-    versions = spark.createDataFrame([("metadata", "1", "a"), ("preview", "2", "a"), ("face", "1", "b"), ("person_mask", "1", "c"), ("embedding", "3", "a")], "stage string, version string, config_hash string")
+    versions = spark.createDataFrame(_VERSIONS, "stage string, version string, config_hash string")
     scan = table(spark, sf_dir, "events").select(F.col("event_id").alias("source_id"), (F.col("event_id") % 9 == 0).alias("changed"))
     n = F.col("source_id") + F.length("stage")
     results = scan.crossJoin(F.broadcast(versions)).filter(n % 17 != 0)
@@ -282,7 +288,7 @@ def _(spark, sf_dir):
 
 @query("edge_global", f"WITH {PAIR} SELECT a, b, round(sim, 4) AS global_sim FROM pair WHERE sim >= 0.25")
 def _(spark, sf_dir):
-    return grouping.edge_decision(_pairs(spark, sf_dir), GLOBAL).filter("edge").select(F.col("a_photo_no").alias("a"), F.col("b_photo_no").alias("b"), *_r("global_sim"))
+    return grouping.edge_decision(_pairs(spark, sf_dir), GLOBAL, unit=True).filter("edge").select(F.col("a_photo_no").alias("a"), F.col("b_photo_no").alias("b"), *_r("global_sim"))
 
 
 _MULTI = f"""{PAIR}, m AS (SELECT *, la % 2 = 0 AS ha, lb % 2 = 0 AS hb, list_cosine_similarity(ea[1:32], eb[1:32]) AS f, list_cosine_similarity(ea[33:64], eb[33:64]) AS g FROM pair),
@@ -291,7 +297,7 @@ w AS (SELECT *, CASE WHEN ha AND hb THEN {mean(("sim", "0.45"), ("g", "0.3"), ("
 
 @query("edge_multi", f"WITH {_MULTI} SELECT a, b, veto, round(combined, 4) AS combined, CASE WHEN ha AND hb THEN veto IS NULL AND combined >= 0.2 WHEN ha OR hb THEN sim >= 0.27 ELSE sim >= 0.25 END AS edge FROM w")
 def _(spark, sf_dir):
-    return grouping.edge_decision(_pairs(spark, sf_dir, CONFIG), CONFIG).select(F.col("a_photo_no").alias("a"), F.col("b_photo_no").alias("b"), "veto", *_r("combined"), "edge")
+    return grouping.edge_decision(_pairs(spark, sf_dir, CONFIG), CONFIG, unit=True).select(F.col("a_photo_no").alias("a"), F.col("b_photo_no").alias("b"), "veto", *_r("combined"), "edge")
 
 
 @query("components", f"WITH RECURSIVE {SETS} SELECT photo_no, set_no FROM sets")
@@ -394,15 +400,15 @@ def _(spark, sf_dir):
     return contract.review_violations(shown, sets, photos(spark, sf_dir).select("display_id"))
 
 
-@query("compare_metrics", f"""WITH {PHOTO}, {SCORE}, v AS (SELECT photo_no, unnest(['technical_quality', 'face_quality', 'iqa', 'composition']) AS metric, unnest([technical_quality, face_quality, iqa, composition]) AS x, unnest([2.0, 1.5, 1.0, 0.5]) AS w FROM score),
+@query("compare_metrics", f"""WITH {PHOTO}, {SCORE}, v AS (SELECT photo_no, unnest(['technical_quality', 'face_quality', 'iqa', 'composition']) AS metric, unnest([round(technical_quality, 6), round(face_quality, 6), round(iqa, 6), round(composition, 6)]) AS x, unnest([2.0, 1.5, 1.0, 0.5]) AS w FROM score),
 d AS (SELECT a.photo_no, a.metric, a.x - b.x AS delta, abs((a.x - b.x) * a.w) AS impact FROM v a JOIN v b ON b.photo_no = a.photo_no + 1 AND a.metric = b.metric),
-t AS (SELECT *, row_number() OVER (PARTITION BY photo_no ORDER BY impact DESC, metric) AS k FROM d) SELECT photo_no, k, metric, round(delta, 4) AS delta FROM t WHERE k <= 3""")
+t AS (SELECT *, row_number() OVER (PARTITION BY photo_no ORDER BY impact DESC, metric) AS k FROM d) SELECT photo_no, k, metric, round(delta, 4) + 0.0 AS delta FROM t WHERE k <= 5""")
 def _(spark, sf_dir):
-    own = scoring.scored(photos(spark, sf_dir)).select("photo_no", F.create_map(*[x for c in scoring.CATEGORIES for x in (F.lit(c), F.col(c))]).alias("m"))
+    own = scoring.scored(photos(spark, sf_dir)).select("photo_no", F.create_map(*[x for c in scoring.CATEGORIES for x in (F.lit(c), F.round(c, 6))]).alias("m"))
     right = own.select((F.col("photo_no") - 1).alias("photo_no"), F.col("m").alias("r"))
     weights = {"technical_quality": 2.0, "face_quality": 1.5, "iqa": 1.0, "composition": 0.5}
-    rows = own.join(right, "photo_no").select("photo_no", F.posexplode(scoring.metric_differences("m", "r", weights, 3)).alias("k", "d"))
-    return rows.select("photo_no", (F.col("k") + 1).cast("long").alias("k"), "d.metric", F.round("d.delta", 4).alias("delta"))
+    rows = own.join(right, "photo_no").select("photo_no", F.posexplode(scoring.metric_differences("m", "r", weights)).alias("k", "d"))
+    return rows.select("photo_no", (F.col("k") + 1).cast("long").alias("k"), "d.metric", (F.round("d.delta", 4) + 0.0).alias("delta"))
 
 
 # decisions
@@ -471,13 +477,14 @@ def _(spark, sf_dir):
 # staging
 
 _INVENTORY = f"""{_ALL}, photo AS (SELECT printf('P%05d', vec_id) AS display_id, vec_id AS n, CASE WHEN vec_id % 29 = 0 THEN '' ELSE '/lib/' || (vec_id % 3) || '/' || printf('P%05d', vec_id) || '.jpg' END AS source FROM embeddings),
-inv AS (SELECT source AS path, n * 10 AS size FROM photo WHERE n % 4 < 2 AND source <> '' UNION ALL SELECT '/lib/.to_delete/' || substr(source, 6), n * 10 + 7 FROM photo WHERE n % 4 IN (1, 2) AND source <> '' UNION ALL SELECT replace(source, '.jpg', '.xmp'), 3 FROM photo WHERE n % 5 = 0 AND source <> '' UNION ALL SELECT '/lib/.to_delete/' || substr(replace(source, '.jpg', '.XMP'), 6), 4 FROM photo WHERE n % 7 = 0 AND source <> ''),
+inv AS (SELECT source AS path, n * 10 AS size FROM photo WHERE n % 4 < 2 AND source <> '' UNION ALL SELECT '/lib/.to_delete/' || substr(source, 6), n * 10 + 7 FROM photo WHERE n % 4 IN (1, 2) AND source <> '' UNION ALL SELECT replace(source, '.jpg', '.xmp'), 3 FROM photo WHERE n % 5 = 0 AND source <> '' UNION ALL SELECT replace(source, '.jpg', '.XMP'), 5 FROM photo WHERE n % 15 = 0 AND source <> '' UNION ALL SELECT '/lib/.to_delete/' || substr(replace(source, '.jpg', '.XMP'), 6), 4 FROM photo WHERE n % 7 = 0 AND source <> ''),
 known AS (SELECT *, coalesce(display_id IN (SELECT display_id FROM last WHERE s = 'user_keep'), false) AS keep, '/lib/.to_delete/' || substr(source, 6) AS staged FROM photo),
 main AS (SELECT display_id, keep, source, staged, a.size AS sa, b.size AS sb, a.path IS NOT NULL AS here, b.path IS NOT NULL AS there FROM known LEFT JOIN inv a ON a.path = source LEFT JOIN inv b ON b.path = staged AND source <> ''),
 mo AS (SELECT *, CASE WHEN source = '' THEN 'missing_source_path' WHEN keep AND here THEN 'already_kept' WHEN keep AND there THEN 'restore' WHEN keep THEN 'source_missing' WHEN here THEN 'move' WHEN there THEN 'already_staged' ELSE 'source_missing' END AS outcome FROM main),
 side AS (SELECT display_id, keep, replace(source, '.jpg', x) AS source, replace(staged, '.jpg', x) AS staged FROM known, (VALUES ('.xmp'), ('.XMP')) t(x) WHERE source <> ''),
 so AS (SELECT display_id, side.source, side.staged, a.size AS sa, b.size AS sb, CASE WHEN keep AND a.path IS NULL AND b.path IS NOT NULL THEN 'restore_sidecar' WHEN NOT keep AND a.path IS NOT NULL THEN 'move_sidecar' END AS outcome FROM side LEFT JOIN inv a ON a.path = side.source LEFT JOIN inv b ON b.path = side.staged),
-plan AS (SELECT display_id, outcome, source, staged, sa, sb FROM mo UNION ALL SELECT display_id, outcome, source, staged, sa, sb FROM so WHERE outcome IS NOT NULL)"""
+sone AS (SELECT * FROM so WHERE outcome IS NOT NULL QUALIFY row_number() OVER (PARTITION BY display_id, outcome ORDER BY source LIKE '%.XMP') = 1),
+plan AS (SELECT display_id, outcome, source, staged, sa, sb FROM mo UNION ALL SELECT display_id, outcome, source, staged, sa, sb FROM sone)"""
 
 
 def _plan(spark, sf_dir) -> DataFrame:
@@ -491,6 +498,7 @@ def _plan(spark, sf_dir) -> DataFrame:
         real.filter("n % 4 < 2").select(F.col("source").alias("path"), (F.col("n") * 10).alias("size"))
         .union(real.filter("n % 4 IN (1, 2)").select(staged(F.col("source")), F.col("n") * 10 + 7))
         .union(real.filter("n % 5 = 0").select(beside(".xmp"), F.lit(3).cast("long")))
+        .union(real.filter("n % 15 = 0").select(beside(".XMP"), F.lit(5).cast("long")))
         .union(real.filter("n % 7 = 0").select(staged(beside(".XMP")), F.lit(4).cast("long")))
     )
     keep = decisions.keep_set(_seeds(spark, sf_dir).filter("ui_initial_state = 'recommended_keep'"), _log(spark, sf_dir))
@@ -551,8 +559,7 @@ def _(spark, sf_dir):
 
 @query("nearest_rank_pct", "WITH s AS (SELECT l_suppkey, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, v[(round_even(0.95 * (len(v) - 1), 0))::INT + 1] AS p95, v[(round_even(0.5 * (len(v) - 1), 0))::INT + 1] AS p50 FROM s")
 def _(spark, sf_dir):
-    v = F.col("l_extendedprice")
-    return table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(stats.nearest_rank(v, 95).alias("p95"), stats.nearest_rank(v, 50).alias("p50"))
+    return stats.nearest_ranks(table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_suppkey"], {"p95": 95, "p50": 50})
 
 
 @query("metric_summary", "SELECT (l_shipdate::DATE::VARCHAR)[1:7] AS month, count(l_quantity) AS n, round(avg(l_quantity), 4) AS mean, round(median(l_quantity), 4) AS median, min(l_quantity) AS min, max(l_quantity) AS max, round(quantile_cont(l_quantity, 0.95), 4) AS p95 FROM lineitem GROUP BY 1")

@@ -53,6 +53,13 @@ def preprocess(spark: SparkSession, folder: str, prior: DataFrame, results: Data
     return photos.withColumn("gone", F.lit(False)).unionByName(gone.withColumn("gone", F.lit(True)), allowMissingColumns=True), todo
 
 
+def with_features(photos: DataFrame, features: DataFrame) -> DataFrame:
+    """The photos of a folder that are there and have features, with both; photo_no numbers them by time and name. features: (source_id, the columns of `review`)."""
+    here = photos.filter("NOT gone").select("source_id", "display_id")
+    met = here.join(features.drop("display_id", "photo_no"), "source_id")
+    return stats.row_numbers(met, ["capture_time", "display_id"], "photo_no").withColumn("photo_no", F.col("photo_no").cast("long"))
+
+
 def review(photos: DataFrame, config: Config) -> Review:
     """Review sets of photos.
 
@@ -66,11 +73,11 @@ def review(photos: DataFrame, config: Config) -> Review:
         rejects, photos = judged.filter("reject IS NOT NULL").select("display_id", "reject"), judged.filter("reject IS NULL").drop("reject")
     else:
         rejects = photos.filter("false").select("display_id", F.lit("").alias("reject"))
-    input_hash = incremental.fingerprint(photos, ["display_id", "capture_time", "embedding", "fg", "bg"], config.snapshot())
+    input_hash = incremental.fingerprint(photos, sorted(photos.columns), config.snapshot())
     scored = scoring.explained(scoring.scored(photos))
-    ordered = grouping.segments(scored, config)
-    pairs = grouping.band_pairs(ordered, config, ["photo_no", "embedding", "fg", "bg", "area"])
-    edges = grouping.edge_decision(pairs, config).filter("edge").select("a_photo_no", "b_photo_no")
+    ordered, _ = write_table(grouping.segments(scored, config), "ordered")
+    pairs = grouping.band_pairs(grouping.with_unit_vectors(ordered), config, ["photo_no", "embedding", "fg", "bg", "area"])
+    edges = grouping.edge_decision(pairs, config, unit=True).filter("edge").select("a_photo_no", "b_photo_no")
     grouped, _ = write_table(grouping.review_sets(ordered, edges), "review")
     ranked = ranking.ranked(ranking.blended(ranking.group_normalized(grouped)), config)
     signals = grouping.set_type(grouping.set_similarity(ranked), config).drop("n")

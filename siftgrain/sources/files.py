@@ -60,6 +60,12 @@ def read_manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return latest(parsed.select("file", "line", "d.*"), ["source_id"], ["file", "line"]).drop("file", "line")
 
 
+def malformed_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """(file, line, text) of the lines that aren't blank and don't read as a document of the schema with a source_id: what a strict reader's error names."""
+    parsed = read_lines(spark, path).withColumn("d", F.from_json("text", schema, {"mode": "PERMISSIVE"}))
+    return parsed.filter("d.source_id IS NULL").select("file", "line", "text")
+
+
 def latest(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The last row of each key by the order columns; combined before the shuffle."""
     rest = [c for c in df.columns if c not in keys]

@@ -59,10 +59,15 @@ def rolled_up(state: DataFrame, stages: list[str]) -> DataFrame:
     return at.select("task_id", F.round((F.col("place") * 100 + F.col("percent")) / len(stages), 4).alias("overall"))
 
 
-def task_status(events: DataFrame) -> DataFrame:
-    """(task_id, status, events): the last terminal event of a task, or running."""
-    end = F.when(F.col("type").isin(*ENDS), F.col("type"))
-    return events.groupBy("task_id").agg(F.coalesce(F.max(end), F.lit("running")).alias("status"), F.count("*").alias("events"))
+def task_status(events: DataFrame, seq: str = "seq") -> DataFrame:
+    """(task_id, status, events): what the last event that says so makes of a task; running before any.
+
+    An end is its own status, progress after it makes the task run again, and
+    other events leave it as it is. On a stream a running state.
+    """
+    says = F.when(F.col("type").isin(*ENDS), F.col("type")).when(F.col("type") == "progress", "running")
+    at = F.when(says.isNotNull(), F.col(seq))  # max_by passes over rows with a null place
+    return events.groupBy("task_id").agg(F.coalesce(F.max_by(says, at), F.lit("running")).alias("status"), F.count("*").alias("events"))
 
 
 def recent(events: DataFrame, k: int = 21) -> DataFrame:

@@ -1,6 +1,6 @@
 import pytest
 
-from siftgrain.plans.queries import QUERIES, SQL
+from siftgrain.plans.more_queries import QUERIES, SQL
 from tests.conftest import DATA
 
 

@@ -113,7 +113,10 @@ def test_progress_stream(spark, tmp_path):
     raw = spark.createDataFrame([(x,) for x in lines], "raw string")
     events = progress.parsed(raw, F.lit("t"))
     assert {r.type for r in events.collect()} == {"stage_progress", "log", "note", "completed"}
-    assert progress.task_status(events).first().status == "completed"
+    numbered = events.withColumn("seq", F.monotonically_increasing_id())
+    assert progress.task_status(numbered).first().status == "completed"
+    ends = spark.createDataFrame([("a", "failed", 1), ("a", "completed", 2), ("b", "completed", 1), ("b", "progress", 2), ("b", "note", 3), ("c", "note", 1), ("d", "completed", 1), ("d", "cancelled", 2)], "task_id string, type string, seq int")
+    assert {r.task_id: (r.status, r.events) for r in progress.task_status(ends).collect()} == {"a": ("completed", 2), "b": ("running", 3), "c": ("running", 1), "d": ("cancelled", 2)}
 
 
 def test_streamed_latest_decision(spark, tmp_path):
