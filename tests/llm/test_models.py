@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siftgrain.llm import katz, language_id, licenses, quality
-from tests.llm.helpers import DATA, awkward, docs, empty, thue_morse
+from tests.llm.helpers import DATA, awkward, docs, empty, prose, thue_morse
 
 
 def tokens(text):
@@ -325,3 +325,74 @@ def test_each_template_is_found_however_it_is_wrapped(spark, model):
     rows = [(100 * width + k, fill(t, width, break_long_words=False), "en") for width in (1, 20, 72) for k, (_, t) in enumerate(every)]
     for r in licenses.scan(docs(spark, rows), model).collect():
         assert r.families == [every[r.doc_id % 100][0]], (r, every[r.doc_id % 100])
+
+
+def test_paragraphs_kept_from_training(spark, model):
+    rows = [(k, t, "en") for k, (_, t) in enumerate(licenses.HELD_OUT)]
+    got = {r.doc_id: r.families for r in licenses.scan(docs(spark, rows), model).collect()}
+    assert got == {k: [f] if f != licenses.UNKNOWN else [] for k, (f, _) in enumerate(licenses.HELD_OUT)}
+    assert 0.5 < model.temperature < 3
+
+
+# Notices as they stand at the head of files, and the whole text of two short licences.
+HEADERS = {
+    "apache": """/*
+ * Copyright 2020 The Example Authors
+ *
+ * Licensed under the Apache License, Version 2.0 (the "License");
+ * you may not use this file except in compliance with the License.
+ * You may obtain a copy of the License at
+ *
+ *     http://www.apache.org/licenses/LICENSE-2.0
+ *
+ * Unless required by applicable law or agreed to in writing, software
+ * distributed under the License is distributed on an "AS IS" BASIS,
+ * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+ * See the License for the specific language governing permissions and
+ * limitations under the License.
+ */""",
+    "gpl": """# This program is free software: you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# (at your option) any later version.
+#
+# You should have received a copy of the GNU General Public License
+# along with this program.""",
+    "mpl": """// This Source Code Form is subject to the terms of the Mozilla Public
+// License, v. 2.0. If a copy of the MPL was not distributed with this
+// file, You can obtain one at a web page.""",
+    "mit": """Copyright (c) 2018 Jane Doe
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.""",
+    "bsd": """Copyright (c) 2015, Example
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.""",
+}
+
+
+def test_whole_notices_name_their_family_alone(spark, model):
+    rows = [(k, text, "en") for k, text in enumerate(HEADERS.values())] + [(10 + k, prose(200, k).replace(" ", "\n") + "\n\n" + text + "\n\n" + prose(50, -k), "en") for k, text in enumerate(HEADERS.values())]
+    got = {r.doc_id: r.families for r in licenses.scan(docs(spark, rows), model).collect()}
+    for k, family in enumerate(HEADERS):
+        assert got[k] == got[10 + k] == [family], (family, got[k], got[10 + k])
