@@ -400,15 +400,15 @@ def _(spark, sf_dir):
     return contract.review_violations(shown, sets, photos(spark, sf_dir).select("display_id"))
 
 
-@query("compare_metrics", f"""WITH {PHOTO}, {SCORE}, v AS (SELECT photo_no, unnest(['technical_quality', 'face_quality', 'iqa', 'composition']) AS metric, unnest([round(technical_quality, 6), round(face_quality, 6), round(iqa, 6), round(composition, 6)]) AS x, unnest([2.0, 1.5, 1.0, 0.5]) AS w FROM score),
+@query("compare_metrics", f"""WITH {PHOTO}, {SCORE}, v AS (SELECT photo_no, unnest(['technical_quality', 'face_quality', 'iqa', 'composition']) AS metric, unnest([round(technical_quality * 1e6), round(face_quality * 1e6), round(iqa * 1e6), round(composition * 1e6)]) AS x, unnest([2.0, 1.5, 1.0, 0.5]) AS w FROM score),
 d AS (SELECT a.photo_no, a.metric, a.x - b.x AS delta, abs((a.x - b.x) * a.w) AS impact FROM v a JOIN v b ON b.photo_no = a.photo_no + 1 AND a.metric = b.metric),
-t AS (SELECT *, row_number() OVER (PARTITION BY photo_no ORDER BY impact DESC, metric) AS k FROM d) SELECT photo_no, k, metric, round(delta, 4) + 0.0 AS delta FROM t WHERE k <= 5""")
+t AS (SELECT *, row_number() OVER (PARTITION BY photo_no ORDER BY impact DESC, metric) AS k FROM d) SELECT photo_no, k, metric, delta::BIGINT AS delta_millionths FROM t WHERE k <= 5""")
 def _(spark, sf_dir):
-    own = scoring.scored(photos(spark, sf_dir)).select("photo_no", F.create_map(*[x for c in scoring.CATEGORIES for x in (F.lit(c), F.round(c, 6))]).alias("m"))
+    own = scoring.scored(photos(spark, sf_dir)).select("photo_no", F.create_map(*[x for c in scoring.CATEGORIES for x in (F.lit(c), F.round(F.col(c) * 1e6))]).alias("m"))
     right = own.select((F.col("photo_no") - 1).alias("photo_no"), F.col("m").alias("r"))
     weights = {"technical_quality": 2.0, "face_quality": 1.5, "iqa": 1.0, "composition": 0.5}
     rows = own.join(right, "photo_no").select("photo_no", F.posexplode(scoring.metric_differences("m", "r", weights)).alias("k", "d"))
-    return rows.select("photo_no", (F.col("k") + 1).cast("long").alias("k"), "d.metric", (F.round("d.delta", 4) + 0.0).alias("delta"))
+    return rows.select("photo_no", (F.col("k") + 1).cast("long").alias("k"), "d.metric", F.col("d.delta").cast("long").alias("delta_millionths"))
 
 
 # decisions
