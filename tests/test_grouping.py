@@ -74,6 +74,43 @@ def test_components_of_chain_star_and_repeats(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_a_hub_are_joined_by_broadcast(spark, monkeypatch):
+    import siftgrain.operators.components as C
+
+    monkeypatch.setattr(C, "FEW_LINKS", 0)
+    monkeypatch.setattr(C, "LOCAL_LINKS", 16)
+    pairs = [(500, k) for k in range(501, 700)] + [(k, k + 1) for k in range(30)] + [(29, 500), (900, 901)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(pairs, "a long, b long").repartition(5)).collect()}
+    assert got == {**{k: 0 for p in pairs[:-1] for k in p}, 900: 900, 901: 900}
+
+
+def test_sessions_are_the_same_for_any_number_of_ranges(spark):
+    rows = [(f"p{k:03d}", START + timedelta(seconds=k * 1800 + (k % 7 == 0) * 9000 * (k // 7)) if k % 9 else None, "a" if k % 5 else None, "m" if k % 11 else "n") for k in range(200)]
+    df = spark.createDataFrame(rows, "display_id string, capture_time timestamp_ntz, make string, model string")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        found = []
+        for n in ("1", "3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            found.append(sorted((r.display_id, str(r.day), r.segment, r.rn) for r in grouping.segments(df, Config()).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert found[0] == found[1] == found[2]
+    # by definition
+    order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or START, r[0]))
+    want, prev, segment, rn = [], None, 0, 0
+    for name, time, make, model in order:
+        day = time and time.date()
+        if prev is None or (prev[1] and prev[1].date()) != day:
+            segment, rn = 0, 0
+        elif time and prev[1] and (time - prev[1]).total_seconds() > 3600 or (make and prev[2] and (make, model) != prev[2:]):
+            segment, rn = segment + 1, 0
+        rn += 1
+        want.append((name, str(day), segment, rn))
+        prev = (name, time, make, model)
+    assert found[0] == sorted(want)
+
+
 def test_role_policy_golden(spark):
     sizes = [1] * 21 + [2] * 4 + [3] * 5 + [4] * 2 + [5] * 2 + [6, 7, 8, 30]
     rows = [(s, f"P{s}_{i}", 1 - i / 100) for s, n in enumerate(sizes) for i in range(n)]
@@ -140,6 +177,10 @@ def test_row_numbers_and_command(spark, tmp_path):
     spark.createDataFrame([("metadata", "1", "h")], "stage string, version string, config_hash string").write.parquet(str(tmp_path / "out/versions"))
     assert main(["preprocess", str(tmp_path / "lib"), "--tables", str(tmp_path / "out"), "--progress", "jsonl"], spark) == 0
     assert spark.read.parquet(str(tmp_path / "out/todo")).count() == 1
+    ids = [r.source_id for r in spark.read.parquet(str(tmp_path / "out/photos")).collect()]
+    features(spark, 1).withColumn("source_id", F.lit(ids[0])).write.parquet(str(tmp_path / "out/features"))
+    assert main(["run", str(tmp_path / "lib"), "--tables", str(tmp_path / "out"), "--skip-preprocess", "--progress", "quiet"], spark) == 0
+    assert spark.read.json(str(tmp_path / "out/summary")).first().photos == 1
 
 
 def test_foreground_enrichment(spark):

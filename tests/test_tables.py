@@ -172,3 +172,37 @@ def test_small_helpers(spark):
     assert incremental.cached({"status": "success", "schema_version": "1", "input_hash": "x"}, "h", "1") is None
     status = spark.createDataFrame([({"metadata": "success"},)], "s map<string, string>")
     assert status.select(incremental.ready("s", "preview").alias("a"), incremental.ready("s", "thumb").alias("b")).first() == (True, False)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace as N
+
+    from siftgrain.operators.store import shared_folder
+
+    spark = N(conf=N(get=lambda k, d=None: d), sparkContext=N(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(spark)
+
+
+def test_one_sidecar_of_those_that_differ_in_case(spark):
+    photos = spark.createDataFrame([("a", "/r/a.jpg"), ("b", "/r/b.jpg")], "display_id string, source string")
+    inventory = spark.createDataFrame([("/r/a.jpg", 1), ("/r/a.xmp", 2), ("/r/a.XMP", 3), ("/r/b.XMP", 4)], "path string, size long")
+    ops = staging.plan(photos, photos.filter("false"), inventory, "/r", Config()).filter("outcome = 'move_sidecar'")
+    assert sorted((r.display_id, r.source, r.bytes) for r in ops.collect()) == [("a", "/r/a.xmp", 2), ("b", "/r/b.XMP", 4)]
+
+
+def test_stage_dependencies():
+    from siftgrain.config import DEPENDS
+
+    assert DEPENDS["image_metrics"] == ("preview", "person_mask") and DEPENDS["preview"] == () and incremental._upstream("image_metrics") == {"preview", "person_mask", "face"}
+
+
+def test_pictures_are_resized_by_cubic_convolution():
+    rng = np.random.default_rng(4)
+    g = rng.integers(0, 256, (40, 64)).astype(float)
+    assert (images.resized(g, 40, 64) == g).all() and images.resized(np.full((30, 50), 90.0), 8, 9).tolist() == np.full((8, 9), 90.0).tolist()
+    # one value by definition: columns shrink by 8, so the kernel is 32 wide
+    row = g[3]
+    x = np.abs((np.arange(64) + 0.5 - 2.5 * 8) / 8)
+    w = np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0))
+    assert images.resized(g, 40, 8)[3, 2] == min(255, max(0, np.floor((w * row).sum() / w.sum() + 0.5)))
