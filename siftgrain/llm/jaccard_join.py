@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from siftgrain.llm import kernels as K
 from siftgrain.operators.components import components
 from siftgrain.operators.stats import row_numbers
-from siftgrain.llm.store import drop_table, hot_count, looked_up, only_ids, small_batches, tasks, write_table
+from siftgrain.llm.store import drop_table, freed, hot_count, looked_up, only_ids, small_batches, tasks, write_table
 
 #: Rows of the sample from which common shingles are learned, and how many are kept (8 bytes each are broadcast).
 SAMPLE_ROWS, COMMON = 1 << 15, 1 << 18
@@ -611,6 +611,7 @@ def _grouped(table: DataFrame, known: DataFrame, count: int, n: int, share: Frac
     index = index.repartition(tasks(spark, rows, INDEX_ROWS), "key")
     met = index.mapInArrow(_paired, "key long, a long, b long").union(near.select("key", F.col("b"), F.lit(None).cast("long")))
     met, met_path = write_table(met, "met")
+    freed(spark)
 
     def named(frame: DataFrame, column: str) -> DataFrame:
         """frame with the class's least id instead of an id."""

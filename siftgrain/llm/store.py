@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import gc
+import time
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftgrain.operators.store import drop_table, shared_folder, write_table
+from siftgrain.operators.store import HOT_KEYS, drop_table, hot_count, looked_up, shared_folder, unique_names, write_table
 
 #: Bytes of a batch of rows on its way to Python.
 BATCH_BYTES = 8 << 20
@@ -14,10 +17,7 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
 FILTER_BITS = 1 << 24
 
-#: Keys that are counted as hot, at most, where each of them has a share of 1 / HOT_KEYS of the rows.
-HOT_KEYS = 2000
-
-__all__ = ["HOT_KEYS", "drop_table", "hot_count", "looked_up", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
+__all__ = ["HOT_KEYS", "drop_table", "freed", "hot_count", "looked_up", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -29,22 +29,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH, str(BATCH_BYTES))
 
 
+def freed(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of what nothing refers to any more.
+
+    It does so when the driver collects garbage, by itself each half an hour; a
+    job of several steps, each of which leaves about the input's size, can't wait for that.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    time.sleep(1)  # executors delete them meanwhile
+
+
 def tasks(spark: SparkSession, rows: int, each: int) -> int:
     """Partitions of about `each` rows, at least as many as a shuffle has by default."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), -(-rows // each))
 
 
-def unique_names(df: DataFrame, wanted: list[str]) -> list[str]:
-    """Names like the wanted ones that no column of df has, whatever its case."""
-    taken, out = {c.lower() for c in df.columns}, []
-    for name in wanted:
-        while name.lower() in taken:
-            name = "_" + name
-        taken.add(name.lower())
-        out.append(name)
-    return out
-
-
 def _marked(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Column]:
     """df with the bits of a fixed-size bitmap of the ids beside its rows, and whether a row's id may be among them."""
     word, bits, slot = unique_names(df, ["slot_word", "slot_bits", "slot"])
@@ -74,20 +74,3 @@ def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     columns = [F.col(f"`{c}`") for c in df.columns]
     unsure = marked.filter(likely).select(*columns).join(gone, F.col(id_col) == F.col(gone_id), "left_anti")
     return marked.filter(~likely).select(*columns).union(unsure.select(*columns))
-
-
-def hot_count(rows: int) -> int:
-    """Rows of a key from which on it is hot: so many that at most HOT_KEYS keys can be, and two at least."""
-    return max(2, -(-rows // HOT_KEYS))
-
-
-def looked_up(df: DataFrame, table: DataFrame, hot: DataFrame, keys: list[str], how: str = "left") -> DataFrame:
-    """df joined ("left" or "inner") with a table of one row a key; the rows of the `hot` keys (at most HOT_KEYS of them) stay where they are.
-
-    The table's rows of hot keys are broadcast; the rest of df is shuffled. Both are read twice.
-    """
-    known = unique_names(df.join(table.limit(0), keys, "left"), ["is_hot"])[0]
-    few = table.join(F.broadcast(hot.select(*keys).distinct()), keys, "left_semi").withColumn(known, F.lit(True))
-    marked = df.join(F.broadcast(few), keys, "left")
-    rest = marked.filter(F.col(known).isNull()).select(*[F.col(f"`{c}`") for c in df.columns]).join(table, keys, how)
-    return marked.filter(F.col(known)).drop(known).unionByName(rest)

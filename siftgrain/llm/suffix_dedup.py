@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import drop_table, shared_folder, small_batches, write_table
+from siftgrain.llm.store import drop_table, freed, shared_folder, small_batches, write_table
 from siftgrain.llm.suffix_array import maximal_repeats
 
 #: Bytes of an anchor.
@@ -43,7 +43,7 @@ PIECE_BYTES = 1 << 19
 #: Blocks of a unit.
 UNIT = 2
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
-ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 600_000, 4 << 20, 1 << 20
+ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 250_000, 2 << 20, 1 << 19
 #: Distinct contexts of a hot anchor, summed over the blocks, at least.
 HOT_CONTEXTS = 1024
 #: Buckets of the table of blocks, at most.
@@ -99,7 +99,8 @@ def _piece(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np
     new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
     begin = np.flatnonzero(new)
     end = np.append(begin[1:], len(starts)) - 1
-    return h[least[begin]], row[begin], starts[begin], starts[end]
+    # a least hash is a small one; mixed, anchors spread evenly over the parts
+    return K.mix(h[least[begin]]), row[begin], starts[begin], starts[end]
 
 
 def _pack(docs: DataFrame) -> DataFrame:
@@ -446,6 +447,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     announced = _announce(blocks, window, gram, n_parts)
     spread = announced.repartition(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "part")
     answers, answers_path = write_table(_met(spread, hot_contexts), "anchors")
+    freed(spark)
     repeated = answers.agg(F.sum("repeated")).first()[0] or 0
     shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
 
@@ -488,6 +490,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = blocks.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(contexts, _CONTEXTS)
     shared = found.repartition(max(shares, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "share")
     cuts, cuts_path = write_table(shared.mapInArrow(spans, "unit long, block int, cuts binary"), "cuts")
+    freed(spark)
     out = blocks.groupBy("unit").cogroup(cuts.groupBy("unit")).applyInArrow(cut, f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, carried {carried}")
     out = out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carried.{c}") for c in carry])
     out, _ = write_table(derive(out) if derive else out, "repeats")
