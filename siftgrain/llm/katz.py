@@ -9,13 +9,17 @@ exactly the words it has. Each distribution sums to 1 over the training types
 and one type for all unknown words.
 
 Texts become units of tokens, written once and bucketed by unit. Order by order
-the units send their distinct n-grams, with training counts and lower-order
-probabilities, to tables partitioned by context; back come, for each n-gram that
+the units send their distinct n-grams, with training counts and the counts of
+the lower order, to tables partitioned by context; back come, for each n-gram that
 a unit asked for, its count, and for each context that has words which the unit
-doesn't, how many words it has once, twice, ..., and the sum of their lower-order
-probabilities. From these each unit evaluates its tokens recursively. Contexts with a very large share of the corpus
-are spread over all partitions by word, and their sums, a bounded number of
-them, are combined separately.
+doesn't, how many words it has once, twice, ..., and the sum of their discounted
+lower-order counts (a seen word's lower-order probability is that count over a
+total, which is the same for all words of a context). From these each unit evaluates its tokens recursively. A context
+with very many occurrences is split by word into as many contexts as its count
+calls for; a unit that has it asks each of them, and adds up what they answer.
+
+Words and n-grams are named by 64-bit hashes that no pattern of bytes makes
+collide; two of a billion distinct ones do so by chance once in 37 corpora.
 """
 
 from __future__ import annotations
@@ -31,16 +35,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftgrain.llm import kernels as K
-from siftgrain.llm.store import drop_table, shared_folder, small_batches, write_table
+from siftgrain.llm.store import drop_table, freed, shared_folder, small_batches, write_table
 
 #: Text bytes of a unit, tokens that one task counts, and the largest count that is discounted.
-UNIT_BYTES, PART_TOKENS, LARGEST = 8 << 20, 2_500_000, 5
-#: A context is spread over the partitions from so many occurrences, or from so large a share of the corpus, whichever is more.
-HOT_COUNT, HOT_SHARE = 1 << 20, 1000
+UNIT_BYTES, PART_TOKENS, LARGEST = 8 << 20, 1_500_000, 5
+#: Occurrences of a context from which on it is split, and those that a part of it has at most, about.
+HOT_COUNT = 1 << 22
+#: Buckets of the tables of units, at most.
+MOST_BUCKETS = 20_000
 _U64 = np.uint64
 _END = _U64(0x5BD1E995A3B7C4D1)
 #: Stands for what is ahead of a text.
 _BEGIN = _U64(0xFFFFFFFFFFFFFFFF)
+#: Stands for no word, where a unit asks for a part of a context.
+_NONE = _U64(0xFFFFFFFFFFFFFFFF)
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -63,6 +71,27 @@ def _from_steps(b: bytes) -> np.ndarray:
     return np.cumsum(_open(b, _U64), dtype=_U64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each distinct value, in ascending order, stands first, and which of them each value is. Values and places in one number sort fast."""
+    low = len(x).bit_length()
+    if not len(x) or int(x.max()).bit_length() + low > 63:
+        return np.unique(x, return_index=True, return_inverse=True)[1:]
+    both = np.sort(x << low | np.arange(len(x)))
+    at = both & ((1 << low) - 1)
+    new = np.concatenate([[True], (both[1:] >> low) != (both[:-1] >> low)])
+    back = np.empty(len(x), np.int64)
+    back[at] = np.cumsum(new) - 1
+    return at[new], back
+
+
+def _order(x: np.ndarray) -> np.ndarray:
+    """Places of 64-bit hashes in ascending order, of equal ones in their own."""
+    low = _U64((1 << len(x).bit_length()) - 1)
+    order = (np.sort((x & ~low) | np.arange(len(x), dtype=_U64)) & low).astype(np.int64)
+    y = x[order]
+    return np.argsort(x, kind="stable") if (y[1:] < y[:-1]).any() else order  # hashes that differ in their last bits only
+
+
 def discounts(nr: list[int]) -> np.ndarray:
     """d[c] for counts 0 to LARGEST, from the numbers of types that occur 1 to LARGEST + 1 times.
 
@@ -82,9 +111,12 @@ def discounts(nr: list[int]) -> np.ndarray:
 
 def unigram_probability(count: np.ndarray, stats: dict) -> np.ndarray:
     """Of words by their training counts; that of count 0 is what all unknown words have together."""
-    d, total = discounts(stats["nr"]), max(1, stats["total"])
-    kept = np.where(count > LARGEST, 1.0, d[np.minimum(count, LARGEST)])
-    return np.where(count > 0, kept * count / total * stats["scale"], stats["left"])
+    return np.where(count > 0, discounted(count, stats) * stats["scale"] / max(1, stats["total"]), stats["left"])
+
+
+def discounted(count: np.ndarray, stats: dict) -> np.ndarray:
+    """Counts of a level less their discounts."""
+    return np.where(count > LARGEST, 1.0, discounts(stats["nr"])[np.minimum(count, LARGEST)]) * count
 
 
 def _tokenized(docs: DataFrame) -> DataFrame:
@@ -116,18 +148,15 @@ def _tokenized(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "unit long, ids array<long>, train array<boolean>, sizes array<long>, words binary, tokens binary")
 
 
-_ENTRIES = "part int, unit long, contexts binary, n binary, words binary, counts binary, lower binary, kinds binary, hot binary"
-_ANSWERS = "level int, part int, unit long, counts binary, names binary, shared binary, sums binary, lower binary, total long, types long, nr array<long>, hot array<struct<context: long, n: array<long>, lower: double>>"
+_WORDS = "part int, unit long, words binary, counts binary"
+_ENTRIES = "part int, unit long, contexts binary, n binary, words binary, counts binary, lower binary"
+#: unit is below 0 where the totals of a part are.
+_ANSWERS = "level int, part int, unit long, counts binary, names binary, shared binary, sums binary, lower binary, kinds binary, total long, types long, nr array<long>"
 
 
 def _schema(ddl: str) -> pa.Schema:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
-    kinds["array<struct<context: long, n: array<long>, lower: double>>"] = pa.list_(pa.struct([("context", pa.int64()), ("n", pa.list_(pa.int64())), ("lower", pa.float64())]))
-    out = []
-    for x in ddl.replace(", n: array", "; n: array").replace(", lower: double", "; lower: double").split(", "):
-        name, kind = x.split(" ", 1)
-        out.append((name, kinds[kind.replace("; ", ", ")]))
-    return pa.schema(out)
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split(" ") for x in ddl.split(", "))])
 
 
 class _Unit:
@@ -142,85 +171,112 @@ class _Unit:
         self.first[self.at[:-1]] = True
         self.gram = self.tokens  # of each token the n-gram of this level that ends there
 
-    def _spread(self, key: np.ndarray) -> np.ndarray:
-        return (((K.mix(key) >> _U64(32)) * _U64(self.parts)) >> _U64(32)).astype(np.int64)
+    def _spread(self, key: np.ndarray, spread: bool = False) -> np.ndarray:
+        """Parts of keys; of `spread` ones, which are hashes as they are, they grow with the key."""
+        return ((((key if spread else K.mix(key)) >> _U64(32)) * _U64(self.parts)) >> _U64(32)).astype(np.int64)
 
-    def unigrams(self) -> Iterator[dict]:
-        train = np.bincount(self.tokens[self.train], minlength=len(self.words)).astype(np.int32)
+    def _by_word(self) -> None:
         part = self._spread(self.words)
         self.order = np.argsort(part, kind="stable")
-        edges = np.searchsorted(part[self.order], np.arange(self.parts + 1))
-        self.edges = edges
-        for p in np.flatnonzero(np.diff(edges)).tolist():
-            own = self.order[edges[p] : edges[p + 1]]
+        self.edges = np.searchsorted(part[self.order], np.arange(self.parts + 1))
+
+    def unigrams(self) -> Iterator[dict]:
+        """The words with their training counts, by part."""
+        self._by_word()
+        train = np.bincount(self.tokens[self.train], minlength=len(self.words)).astype(np.int32)
+        for p in np.flatnonzero(np.diff(self.edges)).tolist():
+            own = self.order[self.edges[p] : self.edges[p + 1]]
             yield {"part": p, "unit": self.unit, "words": _steps(self.words[own]), "counts": _pack(train[own])}
 
     def learn_unigrams(self, answers: dict[int, dict], stats: dict) -> None:
-        for _ in self.unigrams():
-            pass
+        self._by_word()
         n = len(self.words)
         self.count, self.name = np.zeros(n, np.int64), np.zeros(n, _U64)
         for p, x in answers.items():
             own = self.order[self.edges[p] : self.edges[p + 1]]
             self.count[own], self.name[own] = _open(x["counts"], np.int64), _open(x["names"], _U64)
+        # words by name from here on: those of a context then go in ascending order
+        by_name = np.argsort(self.name)
+        rank = np.empty(n, np.int64)
+        rank[by_name] = np.arange(n)
+        self.count, self.name, self.gram = self.count[by_name], self.name[by_name], rank[self.tokens]
+        self.by_name = self.gram
         self.p = unigram_probability(self.count, stats)
-        self.word_count = self.count
+        self.per_count = np.full(n, stats["scale"] / max(1, stats["total"]))
         self.key = self.name
 
-    def grams(self, level: int, hot: float, begin: int) -> Iterator[dict]:
-        """The distinct n-grams of the next level by part, of the form (context, word)."""
+    def _extend(self, begin: int, hot: int) -> None:
+        """The distinct n-grams of the next level, of the form (context, word), and how they are asked for: by part, context and word.
+
+        A context of `hot` occurrences or more is split into 2, 4, ... by a hash
+        of the word. Behind the n-grams come rows that ask for each part of
+        such a context, whether the unit has a word of it or not.
+        """
         n = len(self.key)
         context = np.where(self.first, n, np.concatenate([[0], self.gram[:-1]]))
-        keys = np.append(self.key, _BEGIN)
-        is_hot = np.append(self.count >= hot, begin >= hot)
-        code = context * len(self.words) + self.tokens
-        distinct, sample, gram = np.unique(code, return_index=True, return_inverse=True)
-        own_context, own_word = context[sample], self.tokens[sample]
-        train = np.bincount(gram[self.train], minlength=len(distinct)).astype(np.int32)
-        lower = self.p[self.gram[sample]] if level == 2 else self.p[self.short[sample]]
-        ctx, word = keys[own_context], self.name[own_word]
-        hot_gram = is_hot[own_context]
-        part = self._spread(np.where(hot_gram, ctx ^ K.mix(word), ctx))
-        order = np.lexsort((word, ctx, part))
-        self.next = (gram, own_context, own_word, order, np.searchsorted(part[order], np.arange(self.parts + 1)), ctx, word, hot_gram, lower)
-        for p in np.flatnonzero(np.diff(self.next[4])).tolist():
-            own = order[self.next[4][p] : self.next[4][p + 1]]
-            change = np.flatnonzero(np.concatenate([[True], ctx[own][1:] != ctx[own][:-1]]))
-            if level == 2:  # the word's count says it
-                kinds, kind = np.zeros(0), self.word_count[own_word[own]]
-            else:
-                kinds, kind = np.unique(lower[own], return_inverse=True)
+        self.sample, self.grams = _distinct(context * len(self.words) + self.by_name)
+        self.context, self.word = context[self.sample], self.by_name[self.sample]
+        seen = np.append(self.count, begin)
+        bits = np.maximum(0, np.ceil(np.log2(np.maximum(1, seen) / hot))).astype(np.int64)
+        many = np.unique(self.context[bits[self.context] > 0])
+        parts = 1 << bits[many]
+        asked = np.repeat(many, parts)
+        piece = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        own = self.name[self.word]
+        of_word = (K.mix(own) >> _U64(20)).astype(np.int64) & ((1 << bits[self.context]) - 1)
+        self.asking = np.concatenate([self.context, asked])
+        self.asked_word = np.concatenate([own, np.full(len(asked), _NONE)])
+        piece = np.concatenate([of_word, piece]).astype(_U64)
+        # contexts are asked for by spread hashes of their names, which part and order come from
+        self.asked = K.mix(np.append(self.key, _BEGIN)[self.asking] * _U64(0xC2B2AE3D27D4EB4F) + np.where(bits[self.asking] > 0, piece + _U64(1), _U64(0)))
+        self.lower = np.append(self.count[self.gram[self.sample]], np.zeros(len(asked), np.int64))
+        self.order = _order(self.asked)
+        part = self._spread(self.asked[self.order], spread=True)
+        self.edges = np.searchsorted(part, np.arange(self.parts + 1))
+
+    def ask(self, begin: int, hot: int) -> Iterator[dict]:
+        """The distinct n-grams of the next level with their training counts in the unit and their lower-order counts, by part."""
+        self._extend(begin, hot)
+        none = np.zeros(len(self.asked) - len(self.context), np.int64)
+        train = np.append(np.bincount(self.grams[self.train], minlength=len(self.context)), none).astype(np.int32)
+        for p in np.flatnonzero(np.diff(self.edges)).tolist():
+            own = self.order[self.edges[p] : self.edges[p + 1]]
+            ctx = self.asked[own]
+            change = np.flatnonzero(np.concatenate([[True], ctx[1:] != ctx[:-1]]))
             yield {
                 "part": p,
                 "unit": self.unit,
-                "contexts": _steps(ctx[own][change]),
+                "contexts": _steps(ctx[change]),
                 "n": _pack(np.diff(np.append(change, len(own))).astype(np.int32)),
-                "words": _pack(word[own]),
+                "words": _pack(self.asked_word[own]),
                 "counts": _pack(train[own]),
-                "lower": _pack(kind.astype(np.int32)),
-                "kinds": _pack(kinds),
-                "hot": _pack(hot_gram[own][change].astype(np.uint8)),
+                "lower": _pack(self.lower[own]),
             }
 
-    def learn(self, level: int, answers: dict[int, dict], stats: dict, hot: float, begin: int) -> None:
-        for _ in self.grams(level, hot, begin):
-            pass
-        gram, own_context, own_word, order, edges, ctx, word, hot_gram, lower = self.next
-        n = len(order)
-        count, sums, below = np.zeros(n, np.int64), np.zeros((LARGEST + 1, n), np.int64), np.zeros(n)
+    def learn(self, level: int, answers: dict[int, dict], stats: dict, lower_stats: dict, begin: int, hot: int) -> None:
+        self._extend(begin, hot)
+        weight = discounted(self.lower, lower_stats)
+        n, contexts = len(self.context), len(self.key) + 1
+        found, sums, below = np.zeros(len(self.asked), np.int64), np.zeros((LARGEST + 1, contexts), np.int64), np.zeros(contexts)
         for p, x in answers.items():
-            own = order[edges[p] : edges[p + 1]]
-            count[own] = c = _open(x["counts"], np.int32)
-            change = np.concatenate([[True], ctx[own][1:] != ctx[own][:-1]])
-            at = np.cumsum(change) - 1
-            total, low = _sums(at, c, lower[own])
+            own = self.order[self.edges[p] : self.edges[p + 1]]
+            found[own] = c = _open(x["counts"], np.int64)
+            ctx = self.asked[own]
+            change = np.concatenate([[True], ctx[1:] != ctx[:-1]])
+            total, low = _sums(np.cumsum(change) - 1, c, weight[own])
             others = np.flatnonzero(np.unpackbits(np.frombuffer(x["shared"], np.uint8), count=total.shape[1]))
             total[:, others] = _open(x["sums"], np.int64).reshape(LARGEST + 1, -1)
-            low[others] = _open(x["lower"], np.float64)
-            sums[:, own], below[own] = total[:, at], low[at]
-        for key, (n_, low) in stats["hot"].items():
-            mine = hot_gram & (ctx == _U64(key))
-            sums[:, mine], below[mine] = np.array(n_)[:, None], low
+            low[others] = _open(x["kinds"], np.float64)[_open(x["lower"], np.int32)]
+            of = self.asking[own[change]]
+            if (np.diff(np.sort(of)) > 0).all():
+                sums[:, of] += total
+                below[of] += low
+            else:  # several parts of a context
+                for k in range(LARGEST + 1):
+                    np.add.at(sums[k], of, total[k])
+                np.add.at(below, of, low)
+        short = self.gram[self.sample]  # of each n-gram the one that is a word shorter
+        count, lower, sums, below = found[:n], self.p[short], sums[:, self.context], below[self.context] * self.per_count[short]
         d = discounts(stats["nr"])
         r = np.arange(1, LARGEST + 1)
         total = r @ sums[:-1] + sums[-1]
@@ -230,13 +286,12 @@ class _Unit:
         some = np.maximum(1, total)
         left = (1 - kept / some) / np.maximum(1e-300, 1 - below)
         own = np.where(count > LARGEST, 1.0, d[np.minimum(count, LARGEST)]) * count / some
-        self.short = gram
-        self.p = np.where(count > 0, own, np.where(total > 0, left * lower, lower))
-        self.gram, self.count = gram, count
-        self.key = K.mix(ctx * _U64(0x9E3779B97F4A7C15) + word + _U64(level))
+        self.p, self.per_count = np.where(count > 0, own, np.where(total > 0, left * lower, lower)), 1 / some
+        self.key = K.mix(np.append(self.key, _BEGIN)[self.context] * _U64(0x9E3779B97F4A7C15) + self.name[self.word] + _U64(level))
+        self.gram, self.count = self.grams, count
 
     def result(self, stats: dict, known: np.ndarray) -> pa.Table:
-        c = known[self.tokens]
+        c = known[self.by_name]
         base = np.log10((c + 1) / (stats["total"] + stats["types"] + 1))
         score = np.log10(self.p[self.gram])
         at = self.at[:-1]
@@ -264,29 +319,27 @@ def _counted(rows: list[dict], parts: int) -> Iterator[dict]:
     for r, a, b in zip(rows, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         yield {"level": 1, "part": r["part"], "unit": r["unit"], "counts": _pack(count[back[a:b]]), "names": _pack(names[back[a:b]])}
     nr = [int((count == c).sum()) for c in range(1, LARGEST + 2)]
-    yield {"level": 1, "part": rows[0]["part"], "unit": -1, "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr, "hot": []}
+    yield {"level": 1, "part": rows[0]["part"], "unit": -1 - rows[0]["part"], "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr}
 
 
 def _sums(of: np.ndarray, count: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """By context (`of`, from 0 without gaps): how many words have counts 1 to LARGEST, the sum of the larger counts, and of all words' lower-order probabilities."""
+    """By context (`of`, from 0 without gaps): how many words have counts 1 to LARGEST, the sum of the larger counts, and of all words' lower-order weights."""
     n = int(of[-1]) + 1 if len(of) else 0
     by_count = [np.bincount(of[count == k], minlength=n) for k in range(1, LARGEST + 1)]
     large = np.bincount(of, np.where(count > LARGEST, count, 0), n).astype(np.int64)
     return np.stack([*by_count, large]).astype(np.int64), np.bincount(of, np.where(count > 0, lower, 0.0), n)
 
 
-def _reduced(rows: list[dict], level: int, unigrams: dict) -> Iterator[dict]:
+def _reduced(rows: list[dict], level: int, lower_stats: dict) -> Iterator[dict]:
     """Answers to the n-grams of one part."""
     contexts, sizes = [_from_steps(r["contexts"]) for r in rows], [_open(r["n"], np.int32) for r in rows]
-    ctx = np.concatenate([np.repeat(c, n) for c, n in zip(contexts, sizes, strict=True)])
-    word = np.concatenate([_open(r["words"], _U64) for r in rows])
-    if level == 2:
-        lower = unigram_probability(np.concatenate([_open(r["lower"], np.int32) for r in rows]).astype(np.int64), unigrams)
-    else:
-        lower = np.concatenate([_open(r["kinds"], np.float64)[_open(r["lower"], np.int32)] for r in rows])
+    # each row goes by context and word, so that a stable sort of all has little to do
+    named = np.unique(np.concatenate(contexts), return_index=True, return_inverse=True)[2]
+    ctx = np.repeat(named, np.concatenate(sizes))
+    word = np.minimum(np.concatenate([_open(r["words"], _U64) for r in rows]), _U64((1 << 40) - 1)).astype(np.int64)
+    lower = discounted(np.concatenate([_open(r["lower"], np.int64) for r in rows]), lower_stats)
     given = np.concatenate([_open(r["counts"], np.int32) for r in rows])
-    hot = np.concatenate([np.repeat(_open(r["hot"], np.uint8), n) for r, n in zip(rows, sizes, strict=True)]).astype(bool)
-    order = np.lexsort((word, ctx))
+    order = np.argsort(ctx << 40 | word, kind="stable")  # names of words are below 2**40, contexts of a part below 2**23
     c, w = ctx[order], word[order]
     new_ctx = np.concatenate([[True], c[1:] != c[:-1]])
     new = new_ctx | np.concatenate([[True], w[1:] != w[:-1]])
@@ -303,12 +356,17 @@ def _reduced(rows: list[dict], level: int, unigrams: dict) -> Iterator[dict]:
         own = np.bincount(np.repeat(np.arange(len(n)), n), count_of[a:b] > 0, len(n))
         shared = known[mine] != own
         some = mine[shared]
-        yield {"level": level, "part": r["part"], "unit": r["unit"], "counts": _pack(count_of[a:b].astype(np.int32)), "shared": np.packbits(shared).tobytes(), "sums": _pack(sums[:, some].ravel()), "lower": _pack(below[some])}
+        totals, low = sums[:, some].copy(), below[some].copy()
+        # where the unit has only words that training has too (and the context is whole), what is left for others isn't asked: the total is enough
+        seen = np.bincount(np.repeat(np.arange(len(n)), n), count_of[a:b] == 0, len(n))[shared] == 0
+        discounted_ones = (totals[:-1].sum(0) > 0).astype(np.int64)
+        total = np.arange(1, LARGEST + 1) @ totals[:-1] + totals[-1]
+        totals[:, seen], low[seen] = 0, 0
+        totals[0, seen], totals[-1, seen] = discounted_ones[seen], (total - discounted_ones)[seen]
+        kinds, kind = np.unique(low, return_inverse=True)
+        yield {"level": level, "part": r["part"], "unit": r["unit"], "counts": _pack(count_of[a:b]), "shared": np.packbits(shared).tobytes(), "sums": _pack(totals.ravel()), "lower": _pack(kind.astype(np.int32)), "kinds": _pack(kinds)}
     nr = [int((count == k).sum()) for k in range(1, LARGEST + 2)]
-    at = np.unique(ctx_of[hot]).tolist()
-    first = c[np.flatnonzero(new_ctx)]
-    parts = [{"context": int(first[k : k + 1].view(np.int64)[0]), "n": sums[:, k].tolist(), "lower": float(below[k])} for k in at]
-    yield {"level": level, "part": rows[0]["part"], "unit": -1, "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr, "hot": parts}
+    yield {"level": level, "part": rows[0]["part"], "unit": -1 - rows[0]["part"], "total": int(count.sum()), "types": int((count > 0).sum()), "nr": nr}
 
 
 def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str = "text", order: int = 3, hot_count: int = HOT_COUNT) -> DataFrame:
@@ -328,9 +386,13 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
     name = f"siftgrain_tokens_{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.coalesce(train, F.lit(False)).alias("train"), F.col(text_col).alias("text"))
     least = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-    place = f"{shared_folder(spark)}/siftgrain/{name}"
-    _tokenized(docs).write.format("parquet").bucketBy(max(least, docs.rdd.getNumPartitions()), "unit").sortBy("unit").option("path", place).saveAsTable(name)
-    units = spark.table(name)
+    buckets = min(MOST_BUCKETS, max(least, docs.rdd.getNumPartitions()))
+
+    def bucketed(frame: DataFrame, table: str, mode: str = "errorifexists") -> DataFrame:
+        frame.write.format("parquet").mode(mode).bucketBy(buckets, "unit").sortBy("unit").option("path", f"{shared_folder(spark)}/siftgrain/{table}").saveAsTable(table)
+        return spark.table(table)
+
+    units = bucketed(_tokenized(docs), name)
     tokens = units.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x))).first()[0] or 0
     parts = max(1, tokens // PART_TOKENS)
 
@@ -362,43 +424,43 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
         for b in batches:
             for k in range(b.num_rows):
                 rows = list(_Unit(b.slice(k, 1).to_pylist()[0], parts).unigrams())
-                yield pa.RecordBatch.from_pylist(rows, schema=_schema("part int, unit long, words binary, counts binary"))
+                yield pa.RecordBatch.from_pylist(rows, schema=_schema(_WORDS))
 
-    entries = units.mapInArrow(first, "part int, unit long, words binary, counts binary").repartition(max(least, parts), "part")
-    answered, path = write_table(entries.mapInArrow(by_part(lambda rows: _counted(rows, parts)), _ANSWERS), "unigrams")
-    tables, stats = [(answered, path)], [_stats(answered, 1)]
+    stats: list[dict] = []
+
+    def answered(asked: DataFrame, level: int, answer) -> DataFrame:
+        """All answers so far, those of the level with them: back at the units' buckets, where later steps read them without a shuffle."""
+        own, path = write_table(asked.repartition(max(least, parts), "part").mapInArrow(by_part(answer), _ANSWERS), "answers")
+        stats.append(_stats(own, level))
+        freed(spark)  # what was asked
+        out = bucketed(own.repartition(buckets, "unit"), f"{name}_answers", "append")
+        drop_table(spark, path)
+        freed(spark)
+        return out.filter("unit >= 0").drop("nr", "total", "types")
+
+    answers = answered(units.mapInArrow(first, _WORDS), 1, lambda rows: _counted(rows, parts))
     begin = units.agg(F.sum(F.size(F.filter("train", lambda x: x)))).first()[0] or 0
-    hot = max(hot_count, stats[0]["total"] // HOT_SHARE) if hot_count == HOT_COUNT else hot_count
 
     def known(unit: _Unit, answers: dict[int, dict[int, dict]], levels: int) -> np.ndarray:
         unit.learn_unigrams(answers.get(1, {}), stats[0])
         count = unit.count
         for level in range(2, levels + 1):
-            unit.learn(level, answers.get(level, {}), stats[level - 1], hot, begin)
+            unit.learn(level, answers.get(level, {}), stats[level - 1], stats[level - 2], begin, hot_count)
         return count
 
-    def all_answers() -> DataFrame:
-        out = None
-        for t, _ in tables:
-            own = t.filter("unit >= 0").drop("hot", "nr", "total", "types").withColumnRenamed("unit", "of")
-            out = own if out is None else out.union(own)
-        return out
-
     def ask(level: int):
         def run(left: pa.Table, right: pa.Table) -> pa.Table:
             rows = []
             for unit, answers in each(left, right):
                 known(unit, answers, level - 1)
-                rows += unit.grams(level, hot, begin)
+                rows += unit.ask(begin, hot_count)
             return pa.Table.from_pylist(rows, schema=_schema(_ENTRIES))
 
         return run
 
     for level in range(2, order + 1):
-        asked = units.groupBy("unit").cogroup(all_answers().groupBy("of")).applyInArrow(ask(level), _ENTRIES)
-        met = asked.repartition(max(least, parts), "part").mapInArrow(by_part(lambda rows, level=level: _reduced(rows, level, stats[0])), _ANSWERS)
-        tables.append(write_table(met, f"grams-{level}"))
-        stats.append(_stats(tables[-1][0], level))
+        asked = units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(ask(level), _ENTRIES)
+        answers = answered(asked, level, lambda rows, level=level: _reduced(rows, level, stats[level - 2]))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
@@ -408,18 +470,17 @@ def katz_scores(df: DataFrame, train: str, id_col: str = "doc_id", text_col: str
         return pa.concat_tables(out)
 
     kind = "id long, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    result, _ = write_table(units.groupBy("unit").cogroup(all_answers().groupBy("of")).applyInArrow(score, kind), "scores")
-    spark.sql(f"DROP TABLE {name}")
-    for path in [place, *(p for _, p in tables)]:
-        drop_table(spark, path)
+    result, _ = write_table(units.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(score, kind), "scores")
+    for table in (name, f"{name}_answers"):
+        spark.sql(f"DROP TABLE {table}")
+        drop_table(spark, f"{shared_folder(spark)}/siftgrain/{table}")
     return result.withColumnRenamed("id", id_col)
 
 
 def _stats(answers: DataFrame, level: int) -> dict:
-    """Totals of a level, and the sums of its hot contexts (a bounded number)."""
-    own = answers.filter("unit < 0")
-    r = own.agg(F.sum("total").alias("total"), F.sum("types").alias("types"), *[F.sum(F.col("nr")[k]).alias(f"n{k}") for k in range(LARGEST + 1)]).first()
-    out = {"total": r.total or 0, "types": r.types or 0, "nr": [r[f"n{k}"] or 0 for k in range(LARGEST + 1)], "hot": {}}
+    """Totals of a level."""
+    r = answers.filter((F.col("unit") < 0) & (F.col("level") == level)).agg(F.sum("total").alias("total"), F.sum("types").alias("types"), *[F.sum(F.col("nr")[k]).alias(f"n{k}") for k in range(LARGEST + 1)]).first()
+    out = {"total": r.total or 0, "types": r.types or 0, "nr": [r[f"n{k}"] or 0 for k in range(LARGEST + 1)]}
     if level == 1:
         d, total = discounts(out["nr"]), max(1, out["total"])
         left = sum((1 - d[c]) * c * out["nr"][c - 1] for c in range(1, LARGEST + 1)) / total
@@ -427,11 +488,6 @@ def _stats(answers: DataFrame, level: int) -> dict:
         out["scale"], out["left"] = (1.0, left) if left > 0 else (total / (total + 1), 1 / (total + 1))
         if not out["total"]:
             out["left"] = 1.0
-        return out
-    x = own.select(F.explode("hot").alias("x")).groupBy("x.context")
-    sums = x.agg(F.array(*[F.sum(F.col("x.n")[k]) for k in range(LARGEST + 1)]).alias("n"), F.sum("x.lower").alias("lower"))
-    for h in sums.collect():
-        out["hot"][h.context & 0xFFFFFFFFFFFFFFFF] = (list(h.n), h.lower)
     return out
 
 
