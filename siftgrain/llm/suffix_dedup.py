@@ -8,7 +8,9 @@ anchor: the bytes of the successive strings that have it.
 1. Texts are packed into compressed blocks, written once, bucketed by the unit
    of blocks that a task handles; later steps read them in place, without a shuffle.
 2. Hashes of the blocks' anchors meet by hash; back go two bits for each anchor:
-   whether it stands in several documents, and whether it is hot.
+   whether it stands in several documents, and whether it is hot. What a unit and a
+   part have for each other, here and below, is one row, and units, parts and shares
+   grow with the corpus as far as memory goes, as each such row has its cost.
 3. The contexts of repeated anchors meet by anchor, each distinct one of a block
    once. An enhanced suffix array of a share of the contexts is scanned for
    common-prefix intervals of `window` bytes or more; those with different bytes
@@ -22,7 +24,7 @@ from __future__ import annotations
 
 import struct
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -40,12 +42,18 @@ GRAM = 20
 BLOCK_BYTES = 4 << 20
 #: Text bytes of a block that are hashed at a time.
 PIECE_BYTES = 1 << 19
-#: Blocks of a unit.
-UNIT = 2
+#: Blocks of a unit: the less, and with so many input partitions for each block of a unit up to the more.
+UNIT, MOST_UNIT, UNIT_PARTITIONS = 2, 8, 32
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
 ANCHORS, SHARE_BYTES, CONTEXT_BYTES = 250_000, 2 << 20, 1 << 19
-#: Distinct contexts of a hot anchor, summed over the blocks, at least.
+#: Parts and shares beyond which these sizes grow instead, and how many times.
+SPREAD, GROWTH = 256, 8
+#: Distinct contexts of a hot anchor, summed over the blocks, at least; as many times more as parts have grown.
 HOT_CONTEXTS = 1024
+#: Contexts that are counted in a block at most.
+MOST_CONTEXTS = 30_000
+#: Bytes that a unit gathers for the others before it packs them.
+GATHERED_BYTES = 64 << 20
 #: Buckets of the table of blocks, at most.
 MOST_BUCKETS = 20_000
 _U64 = np.uint64
@@ -61,6 +69,32 @@ def _full(x: bytes, kind) -> np.ndarray:
     return np.frombuffer(pa.decompress(memoryview(x)[8:], n, codec="zstd", asbytes=True), kind)
 
 
+def _packed(*arrays: np.ndarray) -> bytes:
+    """Arrays of one dimension as one compressed string."""
+    raws = [_planes(x).tobytes() if x.dtype.itemsize == 8 else np.ascontiguousarray(x).tobytes() for x in arrays]
+    return _squeezed(b"".join([struct.pack(f"<{len(raws)}q", *map(len, raws)), *raws]))
+
+
+def _planes(x: np.ndarray) -> np.ndarray:
+    """Bytes of one weight together: the high ones of small values, and of steps between sorted ones, are zero."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(-1, 8).T)
+
+
+def _unpacked(x: bytes, *kinds) -> list[np.ndarray]:
+    raw = _full(x, np.uint8)
+    at, out = 8 * len(kinds), []
+    for n, kind in zip(raw[:at].view(np.int64).tolist(), kinds, strict=True):
+        own = raw[at : at + n]
+        out.append(own.reshape(8, -1).T.copy().view(kind).ravel() if np.dtype(kind).itemsize == 8 else np.frombuffer(own.tobytes(), kind))
+        at += n
+    return out
+
+
+def _parts(total: int, each: int) -> int:
+    """Parts of `each`, or if those are more than SPREAD of up to GROWTH times as much."""
+    return max(1, min(SPREAD, total // each), -(-total // (GROWTH * each)))
+
+
 def _anchors(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, row, first, last) of the anchors of a block: the strings that begin at first..last have the anchor.
 
@@ -103,7 +137,7 @@ def _piece(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np
     return K.mix(h[least[begin]]), row[begin], starts[begin], starts[end]
 
 
-def _pack(docs: DataFrame) -> DataFrame:
+def _pack(docs: DataFrame, blocks_of_unit: int = UNIT) -> DataFrame:
     """(id long, text, carried struct) as blocks: (unit, block, ids, ends, body, carried)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,7 +148,7 @@ def _pack(docs: DataFrame) -> DataFrame:
                 own, at = K.gather(data, start[i:j], end[i:j])
                 ids = batch.column(0).slice(i, j - i)
                 columns = [
-                    pa.array([task << 32 | block // UNIT]),
+                    pa.array([task << 32 | block // blocks_of_unit]),
                     pa.array([block], pa.int32()),
                     pa.ListArray.from_arrays(pa.array([0, j - i], pa.int32()), ids),
                     pa.array([at[1:].tolist()], pa.list_(pa.int64())),
@@ -155,39 +189,64 @@ def _different(data: np.ndarray, back: np.ndarray, first: np.ndarray, last: np.n
     return out
 
 
+def _announcements(rows: Iterable[dict], window: int, gram: int, parts: int) -> Iterator[dict]:
+    """For each unit of the blocks and each part one row: the blocks' distinct anchor hashes, and how many contexts each has."""
+    unit, gathered, size = None, [], 0
+
+    def told() -> Iterator[dict]:
+        edges = np.stack([at for _, at, *_ in gathered])
+        for p in np.flatnonzero((np.diff(edges) > 0).any(0)).tolist():
+            own = [(block, at[p], at[p + 1], *rest) for block, at, *rest in gathered if at[p + 1] > at[p]]
+            hashes, several, contexts = (np.concatenate([x[k][x[1] : x[2]] for x in own]) for k in (3, 4, 5))
+            body = _packed(np.diff(hashes, prepend=_U64(0)), contexts, np.packbits(several))
+            yield {"part": p, "unit": unit, "blocks": [x[0] for x in own], "sizes": [int(x[2] - x[1]) for x in own], "body": body}
+
+    for r in rows:
+        if gathered and (r["unit"] != unit or size > GATHERED_BYTES):
+            yield from told()
+            gathered, size = [], 0
+        unit = r["unit"]
+        data, ends = _block(r["ends"], r["body"])
+        h, row, first, last = _anchors(data, ends, window, gram)
+        distinct, several, at, back = _by_hash(h, row, parts)
+        contexts = np.minimum(_different(data, back, first, last, window), MOST_CONTEXTS).astype(np.int16)
+        if len(distinct):
+            gathered.append((r["block"], at, distinct, several, contexts))
+            size += 11 * len(distinct)
+    if gathered:
+        yield from told()
+
+
+_ANNOUNCED = "part int, unit long, blocks array<int>, sizes array<int>, body binary"
+_ANSWERS = "unit long, part int, blocks array<int>, sizes array<int>, found binary, hot binary, repeated long"
+
+
+def _batched(rows: Iterable[dict], schema: pa.Schema, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Rows with a column body as batches of about `most` bytes."""
+    own, size = [], 0
+    for r in rows:
+        own.append(r)
+        size += len(r["body"])
+        if size >= most:
+            yield pa.RecordBatch.from_pylist(own, schema=schema)
+            own, size = [], 0
+    if own:
+        yield pa.RecordBatch.from_pylist(own, schema=schema)
+
+
 def _announce(blocks: DataFrame, window: int, gram: int, parts: int) -> DataFrame:
-    """(part, unit, block, several, contexts, hashes): the blocks' distinct anchor hashes by part, and how many contexts each has."""
+    """The announcements of all blocks; a unit of which the reading task has only some blocks gives more rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.settle()
-        for batch in batches:
-            for r in batch.select(["unit", "block", "ends", "body"]).to_pylist():
-                data, ends = _block(r["ends"], r["body"])
-                h, row, first, last = _anchors(data, ends, window, gram)
-                distinct, several, at, back = _by_hash(h, row, parts)
-                contexts = np.minimum(_different(data, back, first, last, window), HOT_CONTEXTS).astype(np.int16)
-                full = np.flatnonzero(np.diff(at))
-                if not len(full):
-                    continue
-                steps = [np.diff(distinct[at[p] : at[p + 1]], prepend=_U64(0)) for p in full]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(full.astype(np.int32)),
-                        pa.array(np.full(len(full), r["unit"], np.int64)),
-                        pa.array(np.full(len(full), r["block"], np.int32)),
-                        pa.array([np.packbits(several[at[p] : at[p + 1]]).tobytes() for p in full], pa.binary()),
-                        pa.array([_squeezed(contexts[at[p] : at[p + 1]]) for p in full], pa.binary()),
-                        # bytes of one weight together: the high ones of steps between sorted hashes are zero
-                        pa.array([_squeezed(s.view(np.uint8).reshape(-1, 8).T) for s in steps], pa.binary()),
-                    ],
-                    names=["part", "unit", "block", "several", "contexts", "hashes"],
-                )
-
-    return blocks.mapInArrow(run, "part int, unit long, block int, several binary, contexts binary, hashes binary")
+        rows = (b.slice(k, 1).select(["unit", "block", "ends", "body"]).to_pylist()[0] for b in batches for k in range(b.num_rows))
+        yield from _batched(_announcements(rows, window, gram, parts), _schema(_ANNOUNCED))
+
+    return blocks.mapInArrow(run, _ANNOUNCED)
 
 
 def _met(announced: DataFrame, hot_contexts: int) -> DataFrame:
-    """(unit, block, part, found, repeated, hot): two bits for each announced hash, and how many are repeated."""
+    """Two bits for each announced hash, and how many are repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.settle()
@@ -196,46 +255,91 @@ def _met(announced: DataFrame, hot_contexts: int) -> DataFrame:
             for r in b.to_pylist():
                 by_part.setdefault(r["part"], []).append(r)
         for part in sorted(by_part):
-            own = by_part.pop(part)
-            hashes = [np.cumsum(_full(r["hashes"], np.uint8).reshape(8, -1).T.copy().view(_U64).ravel()) for r in own]
-            several = [np.unpackbits(np.frombuffer(r["several"], np.uint8), count=len(h)) for r, h in zip(own, hashes, strict=True)]
-            all_ = np.concatenate(hashes)
-            order = np.argsort(all_, kind="stable")
-            ordered = all_[order]
-            new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
-            at = np.flatnonzero(new)
-            n = np.diff(np.append(at, len(ordered)))
-            again = (n > 1) | (np.maximum.reduceat(np.concatenate(several)[order], at) > 0)
-            group = np.cumsum(new) - 1
-            found, hot = np.zeros(len(all_), bool), np.zeros(len(all_), bool)
-            contexts = np.concatenate([_full(r["contexts"], np.int16) for r in own]).astype(np.int64)
-            found[order], hot[order] = again[group], (np.add.reduceat(contexts[order], at) >= hot_contexts)[group]
-            ends = np.cumsum([len(h) for h in hashes])
-            for r, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
-                if found[a:b].any():
-                    columns = [[r["unit"]], [r["block"]], [r["part"]], [np.packbits(found[a:b]).tobytes()], [np.packbits(hot[a:b]).tobytes()], [int(found[a:b].sum())]]
-                    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["unit", "block", "part", "found", "hot", "repeated"])
-            del own, hashes, several, all_, order, ordered, group, found, hot
+            yield pa.RecordBatch.from_pylist(_answered(by_part.pop(part), hot_contexts), schema=_schema(_ANSWERS))
             K.settle()
 
-    return announced.mapInArrow(run, "unit long, block int, part int, found binary, hot binary, repeated long")
+    return announced.mapInArrow(run, _ANSWERS)
+
+
+def _answered(own: list[dict], hot_contexts: int) -> list[dict]:
+    """The answers to the announcements of one part."""
+    hashes, contexts, several = [], [], []
+    for r in own:
+        steps, n, bits = _unpacked(r["body"], _U64, np.int16, np.uint8)
+        hashes.append(np.cumsum(steps))
+        contexts.append(n)
+        several.append(np.unpackbits(bits, count=len(n)))
+    ends = np.cumsum([len(h) for h in hashes])
+    all_ = np.concatenate(hashes)
+    order = np.argsort(all_, kind="stable")
+    ordered = all_[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    at = np.flatnonzero(new)
+    n = np.diff(np.append(at, len(ordered)))
+    again = (n > 1) | (np.maximum.reduceat(np.concatenate(several)[order], at) > 0)
+    group = np.cumsum(new) - 1
+    found, hot = np.zeros(len(all_), bool), np.zeros(len(all_), bool)
+    found[order], hot[order] = again[group], (np.add.reduceat(np.concatenate(contexts)[order].astype(np.int64), at) >= hot_contexts)[group]
+    out = []
+    for r, a, b in zip(own, [0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+        if found[a:b].any():
+            out.append({k: r[k] for k in ("unit", "part", "blocks", "sizes")} | {"found": np.packbits(found[a:b]).tobytes(), "hot": np.packbits(hot[a:b]).tobytes(), "repeated": int(found[a:b].sum())})
+    return out
 
 
-_CONTEXTS = "share int, unit long, block int, keys binary, sizes binary, bodies binary, counts binary, rows binary, starts binary, ids binary"
+_CONTEXTS = "share int, unit long, body binary"
+#: What a row of contexts holds: the contexts' keys, sizes, numbers of occurrences and bytes; the occurrences' places (block and row), starts and ids.
+_HELD = (_U64, np.int16, np.int32, np.uint8, np.int64, np.int32, np.int64)
 
 
-def _contexts(r: dict, answers: list[dict], window: int, gram: int, parts: int, shares: int) -> Iterator[dict]:
+def _block_answers(answers: Iterable[dict]) -> dict[int, list[tuple[int, np.ndarray, np.ndarray]]]:
+    """(part, found, hot) by block."""
+    out: dict[int, list[tuple[int, np.ndarray, np.ndarray]]] = {}
+    for x in answers:
+        n = sum(x["sizes"])
+        found, hot = (np.unpackbits(np.frombuffer(x[k], np.uint8), count=n).astype(bool) for k in ("found", "hot"))
+        at = 0
+        for block, size in zip(x["blocks"], x["sizes"], strict=True):
+            out.setdefault(block, []).append((x["part"], found[at : at + size], hot[at : at + size]))
+            at += size
+    return out
+
+
+def _unit_contexts(rows: Iterable[dict], answers: Iterable[dict], window: int, gram: int, parts: int, shares: int) -> Iterator[dict]:
+    """The contexts of a unit's repeated anchors: for each share one row, or more where they are many bytes."""
+    by_block = _block_answers(answers)
+    gathered: dict[int, list[tuple[np.ndarray, ...]]] = {}
+    size, unit = 0, None
+
+    def told() -> Iterator[dict]:
+        for share in sorted(gathered):
+            held = [np.concatenate(x) for x in zip(*gathered.pop(share), strict=True)]
+            held[-1] = np.diff(held[-1], prepend=0)
+            yield {"share": share, "unit": unit, "body": _packed(*held)}
+
+    for r in rows:
+        unit = r["unit"]
+        for share, own in _contexts(r, by_block.get(r["block"], []), window, gram, parts, shares):
+            gathered.setdefault(share, []).append(own)
+            size += sum(x.nbytes for x in own)
+        if size > GATHERED_BYTES:
+            yield from told()
+            size = 0
+    yield from told()
+
+
+def _contexts(r: dict, answers: list[tuple[int, np.ndarray, np.ndarray]], window: int, gram: int, parts: int, shares: int) -> Iterator[tuple[int, tuple[np.ndarray, ...]]]:
     """The contexts of a block's repeated anchors, by share; each distinct one once, with its occurrences."""
+    if not answers:
+        return
     data, at = _block(r["ends"], r["body"])
     ids = np.array([np.iinfo(np.int64).min if i is None else i for i in r["ids"]], np.int64)
     h, row, first, last = _anchors(data, at, window, gram)
     distinct, _, where, back = _by_hash(h, row, parts)
     found, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
-    for x in answers:
-        a, b = where[x["part"]], where[x["part"] + 1]
-        found[a:b] = np.unpackbits(np.frombuffer(x["found"], np.uint8), count=b - a)
-        hot[a:b] = np.unpackbits(np.frombuffer(x["hot"], np.uint8), count=b - a)
+    for part, own_found, own_hot in answers:
+        found[where[part] : where[part + 1]] = own_found
+        hot[where[part] : where[part + 1]] = own_hot
     known = np.array([i is not None for i in r["ids"]], bool)
     take = found[back] & known[row] if len(h) else np.zeros(0, bool)
     own_hot = hot[back][take] if len(h) else take
@@ -264,30 +368,17 @@ def _contexts(r: dict, answers: list[dict], window: int, gram: int, parts: int,
         heads = head[own]
         many = np.repeat(heads - (np.cumsum(count[own]) - count[own]), count[own]) + np.arange(count[own].sum())
         body, _ = K.gather(data, begin[heads], end[heads])
-        yield {
-            "share": s,
-            "unit": r["unit"],
-            "block": r["block"],
-            "keys": _squeezed(key[heads]),
-            "sizes": _squeezed((end - begin)[heads].astype(np.int16)),
-            "bodies": _squeezed(body),
-            "counts": _squeezed(count[own].astype(np.int32)),
-            "rows": _squeezed(row[many].astype(np.int32)),
-            "starts": _squeezed((begin - at[row])[many].astype(np.int32)),
-            "ids": _squeezed(np.diff(ids[row[many]], prepend=0)),
-        }
-
-
-def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(unit, block, row, start, end) of the bytes that an earlier document holds, for the contexts of one share."""
-    key = np.concatenate([_full(r["keys"], _U64) for r in rows])
-    size = np.concatenate([_full(r["sizes"], np.int16) for r in rows]).astype(np.int64)
-    body = np.concatenate([_full(r["bodies"], np.uint8) for r in rows])
-    count = np.concatenate([_full(r["counts"], np.int32) for r in rows]).astype(np.int64)
-    source = np.repeat(np.arange(len(rows)), [len(_full(r["counts"], np.int32)) for r in rows])
-    doc_row = np.concatenate([_full(r["rows"], np.int32) for r in rows])
-    start = np.concatenate([_full(r["starts"], np.int32) for r in rows]).astype(np.int64)
-    doc = np.concatenate([np.cumsum(_full(r["ids"], np.int64)) for r in rows])
+        yield s, (key[heads], (end - begin)[heads].astype(np.int16), count[own].astype(np.int32), body, r["block"] << 32 | row[many], (begin - at[row])[many].astype(np.int32), ids[row[many]])
+
+
+def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(unit, place, start, end) of the bytes that an earlier document holds, for the contexts of one share."""
+    held = [_unpacked(r["body"], *_HELD) for r in rows]
+    key, size, count, body, place, start = (np.concatenate([x[k] for x in held]) for k in range(6))
+    doc = np.concatenate([np.cumsum(x[6]) for x in held])
+    source = np.repeat(np.arange(len(rows)), [len(x[2]) for x in held])
+    del held
+    size, count, start = size.astype(np.int64), count.astype(np.int64), start.astype(np.int64)
     at = np.concatenate([[0], np.cumsum(size)])
     text = K.distinct_spans(body, at[:-1], at[1:])[1]
     # equal contexts of different blocks are one
@@ -330,10 +421,10 @@ def _spans(rows: list[dict], window: int) -> Iterator[tuple[int, int, np.ndarray
         span = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
         keep = by[span] < doc[occ]
         occ, span = occ[keep], span[keep]
-        for s in np.unique(owner[occ]).tolist():
-            mine = owner[occ] == s
-            o, x = occ[mine], span[mine]
-            yield rows[s]["unit"], rows[s]["block"], doc_row[o], start[o] + offset[x], start[o] + offset[x] + length[x]
+        begins = np.flatnonzero(np.diff(owner[occ], prepend=-1))  # occurrences are in order of their rows
+        for i, j in zip(begins.tolist(), [*begins[1:].tolist(), len(occ)], strict=False):
+            o, x = occ[i:j], span[i:j]
+            yield rows[owner[o[0]]]["unit"], place[o], start[o] + offset[x], start[o] + offset[x] + length[x]
 
 
 def _sharing(body: np.ndarray, at: np.ndarray, sample: np.ndarray, window: int) -> np.ndarray:
@@ -378,31 +469,42 @@ def _closed(wide: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def _grouped(spans) -> pa.Table:
-    """(unit, block, cuts) rows of merged spans."""
-    gathered: dict[tuple[int, int], list[np.ndarray]] = {}
-    for unit, block, row, a, b in spans:
-        if len(row):
-            gathered.setdefault((unit, block), []).append(np.stack([row, a, b], 1).astype(np.int64))
-    out = [(t, b, _squeezed(_union(np.concatenate(x)))) for (t, b), x in gathered.items()]
-    cols = list(zip(*out, strict=True)) or [(), (), ()]
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["unit", "block", "cuts"])
+    """(unit, cuts) rows of merged spans."""
+    gathered: dict[int, list[np.ndarray]] = {}
+    for unit, place, a, b in spans:
+        if len(place):
+            gathered.setdefault(unit, []).append(np.stack([place, a, b], 1).astype(np.int64))
+    out = [(t, _packed(*_union(np.concatenate(x)).T)) for t, x in gathered.items()]
+    cols = list(zip(*out, strict=True)) or [(), ()]
+    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.binary()), strict=True)], names=["unit", "cuts"])
 
 
 def _union(x: np.ndarray) -> np.ndarray:
-    """(row, start, end) spans by row with those that meet or overlap as one."""
+    """(place, start, end) spans by place with those that meet or overlap as one."""
     x = x[np.lexsort((x[:, 1], x[:, 0]))]
-    lift = x[:, 0] * (1 << 40)
+    lift = np.cumsum(np.diff(x[:, 0], prepend=x[:1, 0]) != 0) * (1 << 40)
     reach = np.maximum.accumulate(x[:, 2] + lift)
     new = np.concatenate([[True], x[1:, 1] + lift[1:] > reach[:-1]])
     at = np.flatnonzero(new)
     return np.stack([x[at, 0], x[at, 1], reach[np.append(at[1:], len(x)) - 1] - lift[at]], 1)
 
 
-def _cut(r: dict, carried: pa.Array, cuts: list[dict], whole_chars: bool) -> pa.RecordBatch:
+def _unit_cuts(cuts: list[bytes]) -> dict[int, np.ndarray]:
+    """Merged (row, start, end) spans by block."""
+    if not cuts:
+        return {}
+    x = _union(np.concatenate([np.stack(_unpacked(c, np.int64, np.int64, np.int64), 1) for c in cuts]))
+    block = x[:, 0] >> 32
+    x[:, 0] &= (1 << 32) - 1
+    at = np.flatnonzero(np.diff(block, prepend=-1))
+    return {int(block[i]): x[i:j] for i, j in zip(at.tolist(), [*at[1:].tolist(), len(x)], strict=True)}
+
+
+def _cut(r: dict, carried: pa.Array, x: np.ndarray | None, whole_chars: bool) -> pa.RecordBatch:
     """(id, n_bytes, spans, kept, carried) of a block's rows."""
     data, at = _block(r["ends"], r["body"])
     n = len(at) - 1
-    x = _union(np.concatenate([_full(c["cuts"], np.int64).reshape(-1, 3) for c in cuts])) if cuts else np.zeros((0, 3), np.int64)
+    x = np.zeros((0, 3), np.int64) if x is None else x
     counts = np.bincount(x[:, 0], minlength=n)
     gone = np.zeros(len(data) + 1, np.int8)
     gone[at[x[:, 0]] + x[:, 1]] += 1
@@ -436,27 +538,23 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gram = min(GRAM, window)
     name = f"siftgrain_blocks_{uuid.uuid4().hex}"
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.struct(F.lit(0).alias("none"), *carry).alias("carried"))
-    packed = _pack(docs)
-    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), docs.rdd.getNumPartitions()))
+    read_parts = docs.rdd.getNumPartitions()
+    packed = _pack(docs, min(MOST_UNIT, max(UNIT, read_parts // UNIT_PARTITIONS)))
+    buckets = min(MOST_BUCKETS, max(int(spark.conf.get("spark.sql.shuffle.partitions", "200")), read_parts))
     place = f"{shared_folder(spark)}/siftgrain/{name}"
     packed.write.format("parquet").bucketBy(buckets, "unit").sortBy("unit").option("path", place).saveAsTable(name)
     blocks = spark.table(name)
     size = blocks.agg(F.sum(F.element_at("ends", -1)), F.count("*")).first()
-    n_parts = max(1, int((size[0] or 0) * 2 // (window - gram + 2)) // ANCHORS)
+    n_anchors = int((size[0] or 0) * 2 // (window - gram + 2))
+    n_parts = _parts(n_anchors, ANCHORS)
+    hot_contexts *= max(1, n_anchors // n_parts // ANCHORS)
 
     announced = _announce(blocks, window, gram, n_parts)
     spread = announced.repartition(max(n_parts, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "part")
     answers, answers_path = write_table(_met(spread, hot_contexts), "anchors")
     freed(spark)
     repeated = answers.agg(F.sum("repeated")).first()[0] or 0
-    shares = max(1, int(repeated * (window + (window - gram) // 2) // SHARE_BYTES))
-
-    def answered(right: pa.Table) -> dict[int, list[dict]]:
-        K.settle()
-        out: dict[int, list[dict]] = {}
-        for x in right.to_pylist():
-            out.setdefault(x["block"], []).append(x)
-        return out
+    shares = _parts(int(repeated * (window + (window - gram) // 2)), SHARE_BYTES)
 
     def each(left: pa.Table) -> Iterator[tuple[dict, pa.RecordBatch]]:
         """Each row, and the batch that it is, without what is only carried."""
@@ -467,9 +565,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 yield one.select([n for n in one.schema.names if n != "carried"]).to_pylist()[0], one.column(at)
 
     def contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_block, schema = answered(right), _schema(_CONTEXTS)
-        parts = [x for r, _ in each(left) if r["block"] in by_block for x in _contexts(r, by_block[r["block"]], window, gram, n_parts, shares)]
-        return pa.Table.from_pylist(parts, schema=schema)
+        K.settle()
+        parts = list(_unit_contexts((r for r, _ in each(left)), right.to_pylist(), window, gram, n_parts, shares))
+        return pa.Table.from_pylist(parts, schema=_schema(_CONTEXTS))
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.settle()
@@ -481,15 +579,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield from _grouped(_spans(by_share.pop(share), window)).to_batches()
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        by_block, out = answered(right), []
+        K.settle()
+        by_block, out = _unit_cuts(right.column("cuts").to_pylist()), []
         for r, carried in each(left):
-            out.append(_cut(r, carried.flatten(), by_block.get(r["block"], []), whole_chars))
+            out.append(_cut(r, carried.flatten(), by_block.get(r["block"]), whole_chars))
         return pa.Table.from_batches(out)
 
     carried = docs.schema["carried"].dataType.simpleString()
     found = blocks.groupBy("unit").cogroup(answers.groupBy("unit")).applyInArrow(contexts, _CONTEXTS)
     shared = found.repartition(max(shares, int(spark.conf.get("spark.sql.shuffle.partitions", "200"))), "share")
-    cuts, cuts_path = write_table(shared.mapInArrow(spans, "unit long, block int, cuts binary"), "cuts")
+    cuts, cuts_path = write_table(shared.mapInArrow(spans, "unit long, cuts binary"), "cuts")
     freed(spark)
     out = blocks.groupBy("unit").cogroup(cuts.groupBy("unit")).applyInArrow(cut, f"id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary, carried {carried}")
     out = out.select(F.col("id").alias(id_col), "n_bytes", "spans", "kept", *[F.col(f"carried.{c}") for c in carry])
@@ -501,7 +600,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _schema(ddl: str) -> pa.Schema:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<int>": pa.list_(pa.int32())}
     return pa.schema([(n, kinds[k]) for n, k in (x.split() for x in ddl.split(", "))])
 
 

@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +203,40 @@ def test_a_text_in_pieces(spark, monkeypatch):
     assert of(whole) == of(pieces) and len(of(whole)) == len(data) - 49
 
 
+@pytest.mark.parametrize("hot", [2, 4096])
+def test_a_unit_and_a_part_exchange_one_row(hot):
+    """Rows by block and part grow with the square of the corpus; those of a unit's blocks are one."""
+    passage = prose(70, 7)
+    texts = [(i, f"{prose(30, i)} {passage[i % 90 :]} {prose(20, i // 9)}".encode()) for i in range(96)]
+    blocks, parts, shares = [], 5, 3
+    for k in range(0, 96, 8):
+        own = [t for _, t in texts[k : k + 8]]
+        body = suffix_dedup._squeezed(np.frombuffer(b"".join(own), np.uint8))
+        blocks.append({"unit": k // 48, "block": k // 8, "ids": [i for i, _ in texts[k : k + 8]], "ends": np.cumsum([len(t) for t in own]).tolist(), "body": body})
+    told = list(suffix_dedup._announcements(blocks, 50, 20, parts))
+    assert len(told) <= 2 * parts and max(len(r["blocks"]) for r in told) == 6
+    answers = [x for p in range(parts) for x in suffix_dedup._answered([r for r in told if r["part"] == p], hot)]
+    held = []
+    for unit in (0, 1):
+        rows = list(suffix_dedup._unit_contexts([b for b in blocks if b["unit"] == unit], [x for x in answers if x["unit"] == unit], 50, 20, parts, shares))
+        assert 0 < len(rows) <= shares
+        held += rows
+    cuts = [r for s in range(shares) for r in suffix_dedup._grouped(suffix_dedup._spans([r for r in held if r["share"] == s], 50)).to_pylist()]
+    assert len(cuts) <= 2 * shares
+    got = []
+    for unit in (0, 1):
+        by_block = suffix_dedup._unit_cuts([c["cuts"] for c in cuts if c["unit"] == unit])
+        for b in blocks:
+            if b["unit"] == unit:
+                out = suffix_dedup._cut(b, pa.nulls(8), by_block.get(b["block"]), False).to_pylist()
+                got += [(r["id"], r["n_bytes"], sum(x["end"] - x["start"] for x in r["spans"]), len(r["spans"]), r["kept"]) for r in out]
+    assert sorted(got, key=str) == brute_spans(texts, 50)
+
+
+def test_parts_grow_before_they_become_many():
+    assert [suffix_dedup._parts(n, 10) for n in (0, 35, 2560, 5120, 20_480, 204_800)] == [1, 3, 256, 256, 256, 2560]
+
+
 def test_repeats_of_a_whole_table(spark):
     rows = [(r.doc_id, (r.text or "").encode()) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
     want = {i: (n, gone, spans, hashlib.sha256(kept).hexdigest()) for i, n, gone, spans, kept in brute_spans(rows, 50)}
