@@ -17,7 +17,7 @@ _BATCH, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", 64 << 20
 #: Bits of the filter of only_ids: 2**18 words of it are broadcast, whatever the data.
 FILTER_BITS = 1 << 24
 
-__all__ = ["HOT_KEYS", "drop_table", "freed", "hot_count", "looked_up", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
+__all__ = ["HOT_KEYS", "drop_table", "freed", "hot_count", "likely_ids", "looked_up", "only_ids", "shared_folder", "small_batches", "tasks", "without_ids", "write_table"]
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -55,15 +55,20 @@ def _marked(df: DataFrame, ids: DataFrame, id_col: str) -> tuple[DataFrame, Colu
     return marked, F.coalesce(F.col(bits).bitwiseAND(bit) != 0, F.lit(False))
 
 
+def likely_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """The rows of df whose id is in `ids`, and some others that a bitmap of fixed size can't tell from them; nothing of df is shuffled."""
+    marked, likely = _marked(df, ids, id_col)
+    return marked.filter(likely).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def only_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The rows of df whose id is in `ids` (one column of the same name).
 
     A bitmap of fixed size keeps most of the other rows out of the shuffle of
     the join that decides.
     """
-    marked, likely = _marked(df, ids, id_col)
     # not a semi-join, which would be moved below the filter
-    return marked.filter(likely).select(*[F.col(f"`{c}`") for c in df.columns]).join(ids.distinct(), id_col)
+    return likely_ids(df, ids, id_col).join(ids.distinct(), id_col)
 
 
 def without_ids(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:

@@ -1,5 +1,6 @@
 import collections
 import math
+import random
 import re
 import zlib
 
@@ -230,6 +231,26 @@ def test_pairwise_weights_are_the_optimum():
         assert loss(model.weights + step) >= best - 1e-12 and loss(model.weights - step) >= best - 1e-12
 
 
+def test_quality_is_learned_from_all_rows_and_pairs(spark):
+    r = random.Random(3)
+    rows = [(i, prose(r.randint(3, 12), i) + (" !!" * r.randint(0, 2) if i % 9 else " A" * r.randint(0, 3)), int(i % 9 > 0)) for i in range(5400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    model = quality.learn(df, df.select("doc_id", "quality"))
+    raw = [t.encode() for _, t, _ in rows]
+    x = quality.features(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]))
+    label = np.array([q for *_, q in rows])
+    assert model.mean == pytest.approx(x.mean(0), rel=1e-9, abs=1e-12) and model.scale == pytest.approx(np.maximum(1e-9, x.std(0)), rel=1e-6)
+    # the gradient over all pairs, one by one, is zero
+    z = np.clip((x - model.mean) / model.scale, -6, 6)
+    s = z @ model.weights
+    good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
+    lost = 1 / (1 + np.exp(s[good][:, None] - s[bad]))
+    gradient = (lost.sum(0) @ z[bad] - lost.sum(1) @ z[good]) / lost.size + 1e-3 * model.weights
+    assert np.abs(model.weights).max() > 0.1 and np.abs(gradient).max() < 1e-8
+    assert np.sum(s < model.threshold) <= len(bad) <= np.sum(s <= model.threshold + 1e-3)
+    assert quality.fit(x, label, len(bad) / len(rows)).weights == pytest.approx(model.weights, abs=1e-6)
+
+
 def test_quality_of_held_out_documents(spark):
     sf = DATA.replace("0.001", "0.1")
     got = quality.query(spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").filter("held_out").collect()
