@@ -61,7 +61,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     they share; rows with a null id are kept whole.
     """
     text = F.col("kept").cast("string")
-    left = (F.col("n_bytes") == 0) | (F.trim(F.regexp_replace(text, r"\s+", " ")) != "")
+    left = (F.col("n_bytes") == 0) | text.rlike(r"\S")
     result = lambda out: out.filter(left).select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
     return suffix_dedup.remove_repeats(docs, carry=("lang", "source"), whole_chars=True, derive=result)
 

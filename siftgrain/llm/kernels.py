@@ -48,10 +48,11 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 def mix(h: np.ndarray) -> np.ndarray:
     """A finaliser (splitmix64) that spreads all bits of 64-bit values."""
     h = h ^ (h >> _U64(30))
-    h = h * _U64(0xBF58476D1CE4E5B9)
-    h = h ^ (h >> _U64(27))
-    h = h * _U64(0x94D049BB133111EB)
-    return h ^ (h >> _U64(31))
+    h *= _U64(0xBF58476D1CE4E5B9)
+    h ^= h >> _U64(27)
+    h *= _U64(0x94D049BB133111EB)
+    h ^= h >> _U64(31)
+    return h
 
 
 def _windows(data: np.ndarray) -> np.ndarray:
@@ -92,7 +93,9 @@ def rolling_hash(data: np.ndarray, size: int) -> np.ndarray:
         return np.zeros(0, _U64)
     look, h = _windows(data), np.zeros(n, _U64)
     for k in [*range(0, size - 7, 8), *([max(0, size - 8)] if size % 8 else [])]:
-        h = (h ^ (h >> _U64(32))) * _STEP
+        if k:  # nothing of 0 to mix
+            h ^= h >> _U64(32)
+            h *= _STEP
         h += look[k : k + n] & _MASKS[min(8, size)]
     return mix(h)
 

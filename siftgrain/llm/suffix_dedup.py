@@ -40,8 +40,8 @@ from siftgrain.llm.suffix_array import maximal_repeats
 GRAM = 20
 #: Text bytes of a block; a longer document is a block of its own.
 BLOCK_BYTES = 4 << 20
-#: Text bytes of a block that are hashed at a time.
-PIECE_BYTES = 1 << 19
+#: Text bytes of a block that are hashed at a time: so few that their hashes stay in a core's cache.
+PIECE_BYTES = 1 << 15
 #: Blocks of a unit: the less, and with so many input partitions for each block of a unit up to the more.
 UNIT, MOST_UNIT, UNIT_PARTITIONS = 2, 8, 32
 #: Anchors that one task compares, context bytes of one share, and those that one suffix array is built of.
@@ -118,23 +118,29 @@ def _piece(data: np.ndarray, at: np.ndarray, window: int, gram: int) -> tuple[np
     h = K.rolling_hash(data, gram)
     # the upper bits of a hash with its place below them: the least is the least hash, and the leftmost of equal ones
     low = _U64((1 << len(h).bit_length()) - 1)
-    least, size, wide = (h & ~low) | np.arange(len(h), dtype=_U64), 1, window - gram + 1
+    least, size, wide = h & ~low, 1, window - gram + 1
+    least |= np.arange(len(h), dtype=_U64)
     while size * 2 <= wide:
         least, size = np.minimum(least[:-size], least[size:]), size * 2
     if wide > size:
         least = np.minimum(least[:n], least[wide - size : wide - size + n])
-    least = (least & low).astype(np.int64)
-    row = np.repeat(np.arange(len(at) - 1), np.diff(at))[:n]
-    whole = np.arange(n) + window <= at[row + 1]
-    starts = np.flatnonzero(whole)
-    least, row = least[starts], row[starts]
-    if not len(starts):
+    # strings that don't reach beyond their row; between those of two rows stand others
+    rows = np.flatnonzero(np.diff(at) >= window)
+    if not len(rows):
         return none.astype(_U64), none, none, none
-    new = np.concatenate([[True], (least[1:] != least[:-1]) | (row[1:] != row[:-1])])
-    begin = np.flatnonzero(new)
-    end = np.append(begin[1:], len(starts)) - 1
+    edge = np.zeros(n + 1, np.int8)
+    edge[at[rows]] += 1
+    edge[at[rows + 1] - window + 1] -= 1
+    whole = np.cumsum(edge[:n], dtype=np.int8).view(bool)
+    same = whole[1:] & whole[:-1]
+    same &= least[1:] == least[:-1]
+    new, old = whole.copy(), whole.copy()
+    new[1:] &= ~same
+    old[:-1] &= ~same
+    first, last = np.flatnonzero(new), np.flatnonzero(old)
+    row = np.searchsorted(at, first, side="right") - 1
     # a least hash is a small one; mixed, anchors spread evenly over the parts
-    return K.mix(h[least[begin]]), row[begin], starts[begin], starts[end]
+    return K.mix(h[(least[first] & low).astype(np.int64)]), row, first, last
 
 
 def _pack(docs: DataFrame, blocks_of_unit: int = UNIT) -> DataFrame:

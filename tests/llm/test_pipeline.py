@@ -49,6 +49,15 @@ def test_rows_of_one_id_and_different_texts(spark):
     assert P.without_near_copies(spark, docs(spark, near), SF).count() == 1
 
 
+def test_blank_rests_go_and_no_text_is_rewritten_to_see_it(spark, monkeypatch):
+    rests = [(1, 9, " \t\n\x0b\x0c\r "), (2, 9, "\u00a0"), (3, 9, "\n a \n"), (4, 0, ""), (5, 9, ""), (6, 9, "\x00"), (7, 9, "é"), (8, 9, "\u2003\n")]
+    cut = spark.createDataFrame([(i, n, bytearray(t.encode()), "en", "s") for i, n, t in rests], "doc_id long, n_bytes long, kept binary, lang string, source string")
+    monkeypatch.setattr(P.suffix_dedup, "remove_repeats", lambda docs, derive, **_: derive(cut))
+    out = P.without_repeats(spark, cut, SF)
+    assert {r.doc_id: (r.text, r.n_chars) for r in out.collect()} == {i: (t, len(t)) for i, _, t in rests if i not in (1, 5)}
+    assert "regexp_replace" not in out._jdf.queryExecution().toString()
+
+
 def test_contaminated_rows_with_a_null_id_go(spark):
     item = next(r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect() if len(r.text.split()) > 15)
     rows = [(None, "clean words " + item, "en"), (None, "clean words alone", "en"), (1, item, "en"), (1, "other", "en"), (2, None, "en")]

@@ -203,6 +203,23 @@ def test_a_text_in_pieces(spark, monkeypatch):
     assert of(whole) == of(pieces) and len(of(whole)) == len(data) - 49
 
 
+def test_anchors_are_hashed_in_pieces_that_a_cache_holds(monkeypatch):
+    """Each byte has 8 bytes of hashes that are gone over a dozen times; half a MB of them stays in a core's cache."""
+    seen, hashes = [], suffix_dedup.K.rolling_hash
+    monkeypatch.setattr(suffix_dedup.K, "rolling_hash", lambda data, size: seen.append(len(data)) or hashes(data, size))
+    texts = [prose(n, k % 40).encode() for k, n in enumerate([0, 1, 9, 30, 400] * 40 + [30_000])]
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    h, row, first, last = suffix_dedup._anchors(data, at, 50, 20)
+    assert len(data) > 1 << 18 and max(seen) <= 1 << 16
+    # every string of a row has an anchor, and equal strings have equal ones
+    strings = [(k, s) for k, a, b in zip(row, first, last, strict=True) for s in range(a, b + 1)]
+    assert strings == [(k, s) for k in range(len(texts)) for s in range(at[k], at[k + 1] - 49)]
+    of = {}
+    for (_, s), x in zip(strings, np.repeat(h, last - first + 1).tolist(), strict=True):
+        assert of.setdefault(data[s : s + 50].tobytes(), x) == x
+
+
 @pytest.mark.parametrize("hot", [2, 4096])
 def test_a_unit_and_a_part_exchange_one_row(hot):
     """Rows by block and part grow with the square of the corpus; those of a unit's blocks are one."""
